@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from candlewick.plans import series_queries  # noqa: F401  (registers)
+from candlewick.plans import pattern_queries, series_queries  # noqa: F401  (registers)
 from candlewick.plans.registry import ORACLES, QUERIES, Query
 from candlewick.session import configure
 
