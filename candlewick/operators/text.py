@@ -30,10 +30,15 @@ def words(text: Column, pattern: str = ALPHA) -> Column:
 def tokens(
     df: DataFrame, text: str = "text", doc: str = "doc_id", pattern: str = ALPHA
 ) -> DataFrame:
-    """One row per token: (doc, pos, token). The whole text is tokenised."""
-    return df.filter(F.col(text).isNotNull()).select(
-        doc, F.posexplode(words(F.col(text), pattern)).alias("pos", "token")
+    """One row per token: (doc, pos, token). The whole text is tokenised.
+
+    The outer form keeps Catalyst from copying the tokeniser into a scan filter
+    ("array is not empty"), which would run it several times per text.
+    """
+    rows = df.filter(F.col(text).isNotNull()).select(
+        doc, F.posexplode_outer(words(F.col(text), pattern)).alias("pos", "token")
     )
+    return rows.filter(F.col("token").isNotNull())
 
 
 def drop_stop_words(tok: DataFrame, stop_words: Sequence[str]) -> DataFrame:
@@ -136,48 +141,51 @@ def sentiment(
     )
 
 
+def _runs(n: int) -> Column:
+    """All runs of n consecutive words of the array ``w``."""
+    if n == 1:
+        return F.col("w")
+    starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
+    joined = F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))
+    return F.when(F.size("w") >= n, joined).otherwise(F.array().cast("array<string>"))
+
+
 def ngrams(
     df: DataFrame, lo: int = 2, hi: int = 2, text: str = "text", doc: str = "doc_id"
 ) -> DataFrame:
-    """(doc, term, tf) for every run of lo to hi consecutive words.
-
-    The runs are cut inside each row's token array, so the only shuffle is the
-    count, after its map-side half.
-    """
+    """(doc, term) for every run of lo to hi consecutive words, cut inside the row."""
     base = df.filter(F.col(text).isNotNull()).select(doc, words(F.col(text), WORD).alias("w"))
-    runs = [
-        F.when(
-            F.size("w") >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.size("w") - (n - 1)),
-                lambda i, n=n: F.array_join(F.slice("w", i, n), " "),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in range(lo, hi + 1)
-    ]
+    runs = [_runs(n) for n in range(lo, hi + 1)]
     every = F.concat(*runs) if len(runs) > 1 else runs[0]
-    return (
-        base.select(doc, F.explode(every).alias("term"))
-        .groupBy(doc, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    return base.select(doc, F.explode_outer(every).alias("term")).filter(F.col("term").isNotNull())
+
+
+def term_counts(terms: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, term, tf): one shuffle, after its map-side half."""
+    return terms.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+
 
+def vocabulary(terms: DataFrame, size: int) -> DataFrame:
+    """The ``size`` most frequent terms of the corpus, ties in term order.
 
-def vocabulary(tf: DataFrame, size: int) -> DataFrame:
-    """The ``size`` most frequent terms of the corpus, ties in term order."""
+    Counts terms directly, so the shuffle carries one row per term and task.
+    """
     return (
-        tf.groupBy("term")
-        .agg(F.sum("tf").alias("total"))
+        terms.groupBy("term")
+        .agg(F.count(F.lit(1)).alias("total"))
         .orderBy(F.desc("total"), F.asc("term"))
         .limit(size)
     )
 
 
-def limit_vocabulary(tf: DataFrame, size: int) -> DataFrame:
-    """Keep the terms of a capped vocabulary; at most ``size`` rows are broadcast."""
-    if size > 1_000_000:
-        return tf.join(vocabulary(tf, size).select("term"), "term", "left_semi")
-    return tf.join(F.broadcast(vocabulary(tf, size).select("term")), "term", "left_semi")
+def limit_vocabulary(terms: DataFrame, size: int) -> DataFrame:
+    """Keep the terms of a capped vocabulary; at most ``size`` rows are broadcast.
+
+    Catalyst moves the semi-join below later counts, so rare terms never reach
+    their shuffle.
+    """
+    kept = vocabulary(terms, size).select("term")
+    return terms.join(F.broadcast(kept) if size <= 1_000_000 else kept, "term", "left_semi")
 
 
 def tfidf(tf: DataFrame, docs: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -188,7 +196,9 @@ def tfidf(tf: DataFrame, docs: DataFrame, doc: str = "doc_id") -> DataFrame:
     by the document's own vocabulary.
     """
     n = docs.select(F.count(F.lit(1)).alias("n")).scalar()
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Reading tf keeps this branch equal to the other one up to its shuffle, which
+    # Spark then runs once instead of tokenising twice.
+    df = tf.groupBy("term").agg(F.sum(F.least("tf", F.lit(1))).alias("df"))
     raw = F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1)
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(doc)))
     return (
