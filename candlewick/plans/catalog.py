@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from functools import wraps
 
-from candlewick.plans import pattern_queries, series_queries, text_queries  # noqa: F401  (registers)
+from candlewick.plans import (  # noqa: F401  (importing registers)
+    model_queries,
+    pattern_queries,
+    series_queries,
+    text_queries,
+)
 from candlewick.plans.registry import ORACLES, QUERIES, Query
 from candlewick.session import configure
 
