@@ -89,7 +89,7 @@ class Fitted:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a one-row-per-symbol table, on shared storage."""
+    """Cut the lineage of a table that later steps read repeatedly, on shared storage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
@@ -334,6 +334,7 @@ def forecast_garch_band(bars: DataFrame, horizon: int) -> DataFrame:
     order = MODELS["SARIMAX_GARCH"]
     model = fit(prepare(bars, ("close", *order.exog)), order)
     resid = model.series.rows().filter(F.col("resid").isNotNull()).select("symbol", "d", "resid")
+    resid = _small(resid)
     scale = resid.groupBy("symbol").agg(F.stddev_samp("resid").alias("scale"))
     scaled = resid.join(scale, "symbol").withColumn("resid", F.try_divide("resid", "scale"))
     path = (

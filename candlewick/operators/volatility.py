@@ -33,20 +33,20 @@ FINE_BETA = (-0.03, -0.015, 0.0, 0.015, 0.03)
 PERSISTENCE = 0.995
 
 
-def _variance(alpha: Column, beta: Column, var: Column, shock: str) -> Column:
-    """Conditional variance from the decayed sum of past squared residuals.
+def _variance(alpha: str, beta: str, i: int) -> str:
+    """SQL of the conditional variance from the decayed sum of past squares.
 
     With the long-run variance targeted, h[t] splits into a part that depends on
     t alone and alpha times the sum over past squares; the sum depends on beta
-    only, so one recurrence serves every alpha.
+    only, so one recurrence (``_s<i>``, weight of the start ``_f<i>``) serves
+    every alpha.
     """
-    decay = F.pow(beta, F.col(RN))
-    constant = (1 - alpha - beta) * var * (1 - decay) / (1 - beta) + decay * var
-    return constant + alpha * F.col(shock)
+    constant = f"(1D - {alpha} - {beta}) * var * (1D - _f{i}) / (1D - {beta}) + _f{i} * var"
+    return f"({constant} + {alpha} * _s{i})"
 
 
-def _nll(h: Column) -> Column:
-    return F.sum(F.log(h) + F.col("r2") / h)
+def _nll(h: str) -> str:
+    return f"sum(ln({h}) + r2 / {h})"
 
 
 def garch_fit(residuals: DataFrame, value: str = "resid") -> DataFrame:
@@ -65,24 +65,16 @@ def garch_fit(residuals: DataFrame, value: str = "resid") -> DataFrame:
     s = whole(base.select("symbol", "d", "r2", "var", "mu"))
     s = s.add({"_p2": F.coalesce(ind.lag(s, "r2"), F.lit(0.0))})
     s = recurrences(s, [Recurrence(f"_s{i}", F.col("_p2"), b) for i, b in enumerate(BETAS)])
+    s = s.add({f"_f{i}": F.pow(F.lit(b), F.col(RN)) for i, b in enumerate(BETAS)})
     points = [
         (a, b, i) for i, b in enumerate(BETAS) for a in ALPHAS if a + b <= PERSISTENCE
     ]
-    costs = s.df.groupBy("symbol").agg(
-        *[
-            _nll(_variance(F.lit(a), F.lit(b), F.col("var"), f"_s{i}")).alias(f"c{j}")
-            for j, (a, b, i) in enumerate(points)
-        ]
+    cells = ", ".join(
+        f"struct({_nll(_variance(f'{a}D', f'{b}D', i))} AS nll, {a}D AS alpha, {b}D AS beta)"
+        for a, b, i in points
     )
-    best = F.array_min(
-        F.array(
-            *[
-                F.struct(F.col(f"c{j}").alias("nll"), F.lit(a).alias("alpha"), F.lit(b).alias("beta"))
-                for j, (a, b, _) in enumerate(points)
-            ]
-        )
-    )
-    coarse = costs.select("symbol", best.alias("p")).select(
+    costs = s.df.groupBy("symbol").agg(F.expr(f"array_min(array({cells}))").alias("p"))
+    coarse = costs.select(
         "symbol", F.col("p.alpha").alias("a0"), F.col("p.beta").alias("b0")
     )
     return _refine(s, coarse)
@@ -90,7 +82,8 @@ def garch_fit(residuals: DataFrame, value: str = "resid") -> DataFrame:
 
 def _refine(s: Series, coarse: DataFrame) -> DataFrame:
     """Local grid around (a0, b0), with each symbol's own decay and block length."""
-    df = s.df.drop(*[f"_s{i}" for i in range(len(BETAS))]).join(coarse, "symbol")
+    spent = [f"_{x}{i}" for x in "sf" for i in range(len(BETAS))]
+    df = s.df.drop(*spent).join(coarse, "symbol")
     betas = [
         F.least(F.greatest(F.col("b0") + x, F.lit(0.05)), F.lit(0.985)) for x in FINE_BETA
     ]
@@ -106,22 +99,22 @@ def _refine(s: Series, coarse: DataFrame) -> DataFrame:
         }
     )
     df = scan(df, {f"_s{i}": (F.col("_p2"), F.col(f"_b{i}")) for i in range(len(betas))})
-    alphas = [F.least(F.greatest(F.col("a0") + x, F.lit(0.005)), F.lit(0.5)) for x in FINE_ALPHA]
+    df = df.withColumns(
+        {f"_f{i}": F.pow(F.col(f"_b{i}"), F.col(RN)) for i in range(len(betas))}
+        | {f"_a{j}": F.least(F.greatest(F.col("a0") + x, F.lit(0.005)), F.lit(0.5))
+           for j, x in enumerate(FINE_ALPHA)}
+    )
     cells = []
     for i in range(len(betas)):
-        b = F.col(f"_b{i}")
-        for j, a in enumerate(alphas):
-            h = _variance(a, b, F.col("var"), f"_s{i}")
-            ok = F.max(a + b) <= PERSISTENCE
+        for j in range(len(FINE_ALPHA)):
+            a, b = f"_a{j}", f"_b{i}"
+            h = _variance(a, b, i)
             cells.append(
-                F.struct(
-                    F.when(ok, _nll(F.when(a + b <= PERSISTENCE, h))).alias("nll"),
-                    F.max(a).alias("alpha"),
-                    F.max(b).alias("beta"),
-                    F.max_by(h, RN).alias("h_last"),
-                )
+                f"struct(CASE WHEN max({a} + {b}) <= {PERSISTENCE}D "
+                f"THEN sum(CASE WHEN {a} + {b} <= {PERSISTENCE}D THEN ln({h}) + r2 / {h} END) END AS nll, "
+                f"max({a}) AS alpha, max({b}) AS beta, max_by({h}, {RN}) AS h_last)"
             )
-    best = F.array_min(F.filter(F.array(*cells), lambda x: x["nll"].isNotNull()))
+    best = F.expr(f"array_min(filter(array({', '.join(cells)}), x -> x.nll IS NOT NULL))")
     return (
         df.groupBy("symbol")
         .agg(

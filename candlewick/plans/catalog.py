@@ -8,6 +8,7 @@ from candlewick.plans import (  # noqa: F401  (importing registers)
     model_queries,
     pattern_queries,
     series_queries,
+    stream_queries,
     text_queries,
 )
 from candlewick.plans.registry import ORACLES, QUERIES, Query
