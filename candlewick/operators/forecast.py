@@ -23,7 +23,7 @@ from candlewick.operators.regress import gram, per_key, solve_scaled
 from candlewick.operators.series import RN, Series, whole
 from candlewick.operators.tables import chrono_split
 from candlewick.operators.volatility import garch_fit, garch_forecast, garch_path
-from candlewick.session import ensure_checkpoint_dir
+from candlewick.session import settle
 
 Z95 = 1.96
 
@@ -88,12 +88,6 @@ class Fitted:
     order: Order
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a table that later steps read repeatedly, on shared storage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def _solve(df: DataFrame, k: int) -> DataFrame:
     """Least squares from Gram rows whose last entry is the target."""
 
@@ -111,7 +105,7 @@ def _solve(df: DataFrame, k: int) -> DataFrame:
         }
 
     schema = "symbol string, n bigint, rank int, beta array<double>, sigma2 double"
-    return _small(per_key(gram(df), solve, schema))
+    return settle(per_key(gram(df), solve, schema))
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -278,7 +272,7 @@ def forecast(model: Fitted, horizon: int) -> DataFrame:
 
 def backtest(df: DataFrame, order: Order, horizon: int, target: str = "close") -> DataFrame:
     """Fit on the first 80 % of each series, forecast on, join with what happened."""
-    parts = chrono_split(whole(df))
+    parts = settle(chrono_split(whole(df)))
     train = parts.filter(F.col("part") == "train").drop("part")
     ahead = forecast(fit(train, order, target), horizon)
     actual = parts.filter(F.col("part") == "test").select(
@@ -324,9 +318,9 @@ MODELS: dict[str, Order] = {
 
 
 def prepare(bars: DataFrame, columns: Sequence[str] = ("close",)) -> DataFrame:
-    """Indicator features on a gap-free daily grid."""
+    """Indicator features on a gap-free daily grid, written once for several passes."""
     features = ind.forecast_features(whole(bars))
-    return filled_grid(features.select("symbol", "d", *columns), list(columns))
+    return settle(filled_grid(features.select("symbol", "d", *columns), list(columns)))
 
 
 def forecast_garch_band(bars: DataFrame, horizon: int) -> DataFrame:
@@ -334,11 +328,10 @@ def forecast_garch_band(bars: DataFrame, horizon: int) -> DataFrame:
     order = MODELS["SARIMAX_GARCH"]
     model = fit(prepare(bars, ("close", *order.exog)), order)
     resid = model.series.rows().filter(F.col("resid").isNotNull()).select("symbol", "d", "resid")
-    resid = _small(resid)
     scale = resid.groupBy("symbol").agg(F.stddev_samp("resid").alias("scale"))
     scaled = resid.join(scale, "symbol").withColumn("resid", F.try_divide("resid", "scale"))
     path = (
-        garch_path(_small(garch_fit(scaled.na.drop(subset=["resid"]))), horizon)
+        garch_path(settle(garch_fit(scaled.na.drop(subset=["resid"]))), horizon)
         .join(scale, "symbol")
         .select("symbol", "step", (F.sqrt("variance") * F.col("scale")).alias("volatility"))
     )
@@ -385,7 +378,8 @@ def auto_seasonal_backtest(df: DataFrame, horizon: int, column: str = "close") -
 
     Symbols sharing an order are fitted together: one job per order, not per symbol.
     """
-    orders = _small(integration_order(df, column))
+    df = settle(df)
+    orders = settle(integration_order(df, column))
     out: DataFrame | None = None
     for d in (1, 2):
         group = df.join(orders.filter(F.col("order") == d).select("symbol"), "symbol", "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from candlewick.operators.series import number_rows
 from candlewick.operators.tables import top
+from candlewick.session import settle
 
 WIDE_BASKET = 512
 
@@ -102,6 +103,7 @@ def rules(sets: DataFrame, min_confidence: float = 0.2) -> DataFrame:
     def chosen(wanted: int) -> Column:
         return F.filter("items", lambda _, i: F.getbit("mask", i) == wanted)
 
+    sets = settle(sets)
     masks = F.expr("sequence(1L, cast(power(2, size(items)) as bigint) - 2)")
     split = (
         sets.filter(F.size("items") > 1)
@@ -148,6 +150,7 @@ def item_pool(sets: DataFrame, k: int = 6) -> DataFrame:
 
     An item scores 2 per listed pair and 3 per listed triplet it belongs to.
     """
+    sets = settle(sets)
     parts = [(sets, 0), (by_size(sets, 2), 2), (by_size(sets, 3), 3)]
     listed: DataFrame | None = None
     for part, points in parts:
@@ -173,7 +176,7 @@ def repeats_in_neighbours(
     if direction not in ("next", "previous"):
         raise ValueError(f"direction must be 'next' or 'previous', not {direction!r}")
     baskets = number_rows(
-        items.select("basket").distinct(), [], ["basket"], F.expr(f"basket div {block}")
+        items.select("basket").distinct(), [], ["basket"], [F.expr(f"basket div {block}")]
     ).select("basket", F.col("_rn").alias("seq"))
     rows = items.select("basket", "item").distinct().join(baskets, "basket")
     ahead = direction == "next"

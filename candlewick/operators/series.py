@@ -82,33 +82,45 @@ def whole(df: DataFrame, key: str = "symbol", order: str = "d") -> Series:
     return Series(df.withColumn(RN, pos.cast("long")), (key,), (order,), (key,))
 
 
+def _offsets(counts: DataFrame, key: list[str], levels: list[str]) -> DataFrame:
+    """Rows that come before each cell, from the counts per nested cell."""
+    outer = [*key, *levels[:-1]]
+    before = (
+        Window.partitionBy(*outer)
+        .orderBy(levels[-1])
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    inside = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    if len(levels) == 1:
+        return inside.drop("_n")
+    totals = counts.groupBy(*outer).agg(F.sum("_n").alias("_n"))
+    base = _offsets(totals, key, levels[:-1]).withColumnRenamed("_offset", "_base")
+    return inside.join(base, outer).select(
+        *outer, levels[-1], (F.col("_base") + F.col("_offset")).alias("_offset")
+    )
+
+
 def number_rows(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], grain: Column
+    df: DataFrame, key: Sequence[str], order: Sequence[str], grains: Sequence[Column]
 ) -> DataFrame:
     """Add the zero-based position of each row in its series, without a per-key sort.
 
-    ``grain`` is a coarse integer that never decreases along the order (an hour
-    number, say). Rows are counted per (key, grain); the running total of those
-    few counts gives each grain its offset, and rows are only sorted inside one
-    grain. The sort and the offset join share one shuffle on (key, grain).
+    ``grains`` are integers that never decrease along the order, coarse to fine (an
+    hour number, then a second number). Rows are counted per cell; running totals
+    of those counts, level by level, give each cell its offset, and rows are only
+    sorted inside one finest cell. Neither a hot key nor a hot hour meets in one
+    task, and the sort and the offset join share one shuffle.
     """
-    cells = [*key, GRAIN]
-    df = df.withColumn(GRAIN, grain.cast("long"))
-    before = (
-        Window.partitionBy(*key).orderBy(GRAIN).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        df.groupBy(*cells)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
+    levels = [f"{GRAIN}{i}" for i in range(len(grains))]
+    cells = [*key, *levels]
+    df = df.withColumns({n: g.cast("long") for n, g in zip(levels, grains)})
+    counts = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n"))
     local = F.row_number().over(Window.partitionBy(*cells).orderBy(*order)) - 1
     return (
         df.withColumn("_local", local)
-        .join(offsets, cells)
+        .join(_offsets(counts, list(key), levels), cells)
         .withColumn(RN, F.col("_offset") + F.col("_local"))
-        .drop("_offset", "_local", GRAIN)
+        .drop("_offset", "_local", *levels)
     )
 
 
@@ -116,16 +128,17 @@ def blocked(
     df: DataFrame,
     key: Sequence[str] = ("symbol",),
     order: Sequence[str] = ("ts", "event_id"),
-    grain: Column | None = None,
+    grains: Sequence[Column] | None = None,
     lookback: int = 256,
     block_rows: int = BLOCK_ROWS,
 ) -> Series:
     """Layout for series of any length; ``order`` must be total within a key."""
     if lookback > block_rows:
         raise ValueError("a block must be at least as long as its halo")
-    if grain is None:
-        grain = F.expr(f"unix_seconds({order[0]}) div 3600")
-    df = number_rows(df, key, order, grain)
+    if grains is None:
+        second = F.unix_seconds(order[0])
+        grains = [F.floor(second / 3600), second]
+    df = number_rows(df, key, order, grains)
     blk = F.expr(f"{RN} div {block_rows}")
     own = F.struct(blk.alias(BLK), F.lit(False).alias(HALO))
     copy = F.struct((blk + 1).alias(BLK), F.lit(True).alias(HALO))

@@ -117,13 +117,12 @@ def fixed_counts(df: DataFrame, column: str, labels: list[str], name: str = "n")
 def label_encode(df: DataFrame, column: str, name: str) -> DataFrame:
     """Replace a category by its rank in sorted order, from 0.
 
-    Categories are numbered through counts per three-byte prefix, so even a large
-    dictionary is never sorted in one task.
+    Categories are numbered through counts per three-byte prefix, then per the next
+    three bytes, so even a large dictionary is not sorted in one task.
     """
-    prefix = F.rpad(F.hex(F.substring(F.encode(column, "utf-8"), 1, 3)), 6, "0")
-    codes = number_rows(
-        df.select(column).distinct().na.drop(), [], [column], F.conv(prefix, 16, 10).cast("long")
-    )
+    head = F.rpad(F.hex(F.substring(F.encode(column, "utf-8"), 1, 6)), 12, "0")
+    grains = [F.conv(F.substring(head, i, 6), 16, 10).cast("long") for i in (1, 7)]
+    codes = number_rows(df.select(column).distinct().na.drop(), [], [column], grains)
     return df.join(codes.select(column, F.col(RN).alias(name)), column)
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewick.operators import indicators as ind
 from candlewick.operators.series import RN, Recurrence, Series, recurrences, whole
+from candlewick.session import settle
 
 LAMBDA = 0.94
 
@@ -57,6 +56,7 @@ def garch_fit(residuals: DataFrame, value: str = "resid") -> DataFrame:
     and one aggregate holds a likelihood per (alpha, beta). The finer grid around
     each symbol's best point works the same way with per-symbol decays.
     """
+    residuals = settle(residuals.select("symbol", "d", value))
     stats = residuals.groupBy("symbol").agg(
         F.avg(value).alias("mu"), F.var_pop(value).alias("var")
     )

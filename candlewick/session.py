@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
@@ -57,3 +57,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint()`` usable without overriding the cluster's choice."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a small table that later steps read repeatedly to shared storage.
+
+    Cuts the lineage: lost executors re-read the files instead of recomputing.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -112,7 +112,8 @@ def valence(token: Column) -> Column:
 
     Digits 4 to b mean the word carries no sentiment (NULL).
     """
-    digit = F.conv(F.substring(F.md5(token.cast("binary")), 1, 1), 16, 10).cast("int")
+    first = F.substring(F.md5(token.cast("binary")), 1, 1)
+    digit = F.instr(F.lit("0123456789abcdef"), first) - 1
     return F.when((digit < 4) | (digit > 11), (digit - 7.5) / 2)
 
 

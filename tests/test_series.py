@@ -40,11 +40,11 @@ def frame(df):
             df.toPandas().sort_values(["symbol", "ts", "event_id"]).groupby("symbol")}
 
 
-@pytest.mark.parametrize("block_rows,grain", [(128, 3600), (257, 60), (1 << 16, 86400)])
+@pytest.mark.parametrize("block_rows,grain", [(128, [3600]), (257, [3600, 1]), (1 << 16, [1000000, 86400, 60])])
 def test_blocks_equal_whole_series(spark, block_rows, grain):
     df = ticks(spark, {"HOT": 900, "b": 130, "c": 1})
     s = blocked(df, lookback=min(block_rows, 120), block_rows=block_rows,
-                grain=F.expr(f"unix_seconds(ts) div {grain}"))
+                grains=[F.expr(f"unix_seconds(ts) div {g}") for g in grain])
     s = s.add({
         "lag1": ind.lag(s, "close"),
         "ma": ind.sma(s, "close", 50),
