@@ -266,11 +266,12 @@ def adf(df: DataFrame, column: str, max_lag: int = 12) -> DataFrame:
     """
     s = whole(df.select("symbol", "d", column).na.drop())
     s = s.add({"_dy": ind.diff(s, column), "_y1": ind.lag(s, column)})
-    back = s.ordered.rowsBetween(-max_lag, -1)
-    s = s.add({"_lags": F.collect_list("_dy").over(back)})
+    none = F.array().cast("array<double>")
+    history = F.collect_list("_dy").over(s.ordered.rowsBetween(-max_lag, -1)) if max_lag else none
+    s = s.add({"_lags": history})
     design = (
         s.rows()
-        .filter(F.size("_lags") == max_lag)
+        .filter((F.size("_lags") == max_lag) & F.col("_y1").isNotNull())
         .select(
             "symbol",
             F.concat(

@@ -9,10 +9,18 @@ from candlewick.operators import forecast as fc
 from candlewick.operators import indicators as ind
 from candlewick.operators import metrics, models, regress, tables, text
 from candlewick.operators.series import whole
-from candlewick.operators.volatility import garch_fit, garch_forecast
+from candlewick.operators.volatility import (
+    ALPHAS,
+    BETAS,
+    FINE_ALPHA,
+    FINE_BETA,
+    PERSISTENCE,
+    garch_fit,
+    garch_forecast,
+)
 from candlewick.plans.registry import BARS, NUM, query, snapped, sql_columns
 from candlewick.plans.series_queries import W, full, rows
-from candlewick.plans.text_queries import EXPOSED_JOBS, _scores, risk_table  # noqa: F401
+from candlewick.plans.text_queries import _scores, risk_table
 from candlewick.sources import views
 
 KEY = ["symbol", "d"]
@@ -115,6 +123,20 @@ def adf(spark, root):
     return regress.adf(views.bars(spark, root), "close")
 
 
+@query(
+    "dickey_fuller",
+    f"""WITH {NUM}, x AS (SELECT symbol, close - lag(close) {W} AS dy, lag(close) {W} AS y1 FROM num),
+    f AS (SELECT symbol, regr_count(dy, y1) AS n, regr_slope(dy, y1) AS b, regr_sxx(dy, y1) AS sxx,
+      regr_syy(dy, y1) AS syy FROM x GROUP BY 1),
+    t AS (SELECT symbol, n, b / sqrt((syy - b * b * sxx) / (n - 2) / sxx) AS t FROM f)
+    SELECT symbol, CAST(n AS BIGINT) AS n, 0 AS used_lags, {sql_columns({"adf_stat": "t"}, 6)},
+      t < -2.86154 AS stationary FROM t""",
+)
+def dickey_fuller(spark, root):
+    out = regress.adf(views.bars(spark, root), "close", 0)
+    return snapped(out, ["symbol", "n", "used_lags", "stationary"], 6)
+
+
 @query(
     "metrics",
     f"""WITH {BARS}, p AS (SELECT symbol, d, close, lag(close) {W} AS pred FROM bars),
@@ -215,6 +237,28 @@ def ar1_general(spark, root):
     return snapped(out, ["symbol", "n"], 4)
 
 
+AHEAD = f"""{AR1}, sse AS (SELECT symbol, sum(pow(w - const - phi * w1, 2)) / (max(n) - 2) AS sigma2
+  FROM w1 JOIN f USING (symbol) WHERE w1 IS NOT NULL GROUP BY 1),
+ends AS (SELECT symbol, max(d) AS d, arg_max(close, rn) AS y, arg_max(w, rn) AS w FROM w1 GROUP BY 1),
+ahead AS (
+  SELECT symbol, d, 0 AS step, y, w, phi, const, sigma2, 0.0::DOUBLE AS psi, 1.0::DOUBLE AS pw, 0.0::DOUBLE AS q
+  FROM ends JOIN f USING (symbol) JOIN sse USING (symbol)
+  UNION ALL
+  SELECT symbol, d, step + 1, y + const + phi * w, const + phi * w, phi, const, sigma2,
+    psi + pw, pw * phi, q + pow(psi + pw, 2) FROM ahead WHERE step < 7)"""
+
+
+@query(
+    "forecast_ar1",
+    f"""WITH RECURSIVE {AHEAD} SELECT symbol, CAST(d + step AS DATE) AS d, step, {sql_columns({
+        "predicted_price": "y", "lower_conf_int": "y - 1.96 * sqrt(sigma2 * q)",
+        "upper_conf_int": "y + 1.96 * sqrt(sigma2 * q)"}, 2)} FROM ahead WHERE step > 0""",
+)
+def forecast_ar1(spark, root):
+    out = fc.forecast(fc.fit(views.bars(spark, root), fc.Order(1, 1, 0)), 7)
+    return snapped(out, [*KEY, "step"], 2)
+
+
 @query("ar_backtest")
 def ar_backtest(spark, root):
     grid = bar_ops.filled_grid(views.bars(spark, root), ["close"])
@@ -248,11 +292,50 @@ def seasonal_backtest(spark, root):
     return fc.auto_seasonal_backtest(grid, 30)
 
 
-@query("garch")
+def _list(values) -> str:
+    return "(SELECT unnest([" + ", ".join(f"CAST({v} AS DOUBLE)" for v in values) + "])"
+
+
+def _likelihood(name: str, grid: str, on: str) -> str:
+    """Recursive variance and likelihood for every grid point; ``best_<name>`` wins."""
+    return f"""{name} AS (
+      SELECT z.symbol, z.rn, g.a, g.b, z.var AS h, ln(z.var) + z.r2 / z.var AS nll
+      FROM z JOIN {grid} g ON {on} WHERE z.rn = 0
+      UNION ALL
+      SELECT symbol, rn, a, b, h, nll + ln(h) + r2 / h FROM (
+        SELECT z.symbol, z.rn, c.a, c.b, (1 - c.a - c.b) * z.var + c.a * z.p2 + c.b * c.h AS h, c.nll, z.r2
+        FROM {name} c JOIN z ON z.symbol = c.symbol AND z.rn = c.rn + 1)),
+    best_{name} AS MATERIALIZED (
+      SELECT symbol, arg_min(a, nll) AS a, arg_min(b, nll) AS b, arg_min(h, nll) AS h
+      FROM {name} JOIN st USING (symbol) WHERE rn = n - 1 GROUP BY 1)"""
+
+
+GARCH = f"""{NUM}, ret AS MATERIALIZED (SELECT symbol, rn - 1 AS rn, x AS r
+  FROM (SELECT *, close / lag(close) {W} - 1 AS x FROM num) WHERE rn > 0),
+st AS MATERIALIZED (SELECT symbol, avg(r) AS mu, var_pop(r) AS var, count(*) AS n FROM ret GROUP BY 1),
+z AS MATERIALIZED (SELECT symbol, rn, var, r2, coalesce(lag(r2) OVER (PARTITION BY symbol ORDER BY rn), 0) AS p2
+  FROM (SELECT symbol, rn, var, pow(r - mu, 2) AS r2 FROM ret JOIN st USING (symbol))),
+grid AS (SELECT a, b FROM {_list(ALPHAS)} AS a), {_list(BETAS)} AS b) WHERE a + b <= {PERSISTENCE}),
+{_likelihood("coarse", "grid", "true")},
+near AS MATERIALIZED (SELECT symbol, least(greatest(a + x, 0.005::DOUBLE), 0.5::DOUBLE) AS a,
+    least(greatest(b + y, 0.05::DOUBLE), 0.985::DOUBLE) AS b
+  FROM best_coarse, {_list(FINE_ALPHA)} AS x), {_list(FINE_BETA)} AS y)),
+ok AS (SELECT * FROM near WHERE a + b <= {PERSISTENCE}),
+{_likelihood("fine", "ok", "g.symbol = z.symbol")}"""
+
+
+@query(
+    "garch",
+    f"""WITH RECURSIVE {GARCH} SELECT symbol, n, {sql_columns({
+        "mu": "mu", "var": "var", "alpha": "a", "beta": "b", "omega": "(1 - a - b) * var",
+        "h_last": "h", "r2_last": "r2"})}
+    FROM best_fine JOIN st USING (symbol) JOIN (SELECT symbol, arg_max(r2, rn) AS r2 FROM z GROUP BY 1) USING (symbol)""",
+)
 def garch(spark, root):
     s = whole(views.bars(spark, root))
     returns = s.add({"resid": ind.pct_change(s, "close")}).rows()
-    return garch_fit(returns.filter(F.col("resid").isNotNull()).select(*KEY, "resid"))
+    fit = garch_fit(returns.filter(F.col("resid").isNotNull()).select(*KEY, "resid"))
+    return snapped(fit, ["symbol", "n"])
 
 
 @query("garch_forecast")
