@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -36,19 +36,28 @@ class Series:
     parts: tuple[str, ...]
     lookback: int | None = None  # rows of history each block sees; None = all of it
     block_rows: int | None = None
+    # Window specifications by frame start, built once and shared by later steps.
+    specs: dict[int | None, WindowSpec] = field(default_factory=dict, compare=False, repr=False)
 
     @property
     def ordered(self) -> WindowSpec:
-        return Window.partitionBy(*self.parts).orderBy(RN)
+        if None not in self.specs:
+            self.specs[None] = Window.partitionBy(*self.parts).orderBy(RN)
+        return self.specs[None]
 
     @property
     def upto(self) -> WindowSpec:
-        return self.ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return self._from(Window.unboundedPreceding)
 
     def last(self, n: int) -> WindowSpec:
         """Frame of the current row and the n - 1 before it."""
         self.need(n - 1)
-        return self.ordered.rowsBetween(1 - n, Window.currentRow)
+        return self._from(1 - n)
+
+    def _from(self, start: int) -> WindowSpec:
+        if start not in self.specs:
+            self.specs[start] = self.ordered.rowsBetween(start, Window.currentRow)
+        return self.specs[start]
 
     def need(self, rows: int) -> None:
         if self.lookback is not None and rows > self.lookback:

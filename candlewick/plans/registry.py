@@ -39,14 +39,8 @@ def snap(value: Column, places: int = 4) -> Column:
 
 def snapped(df: DataFrame, keys: list[str], places: int = 4, **override: int) -> DataFrame:
     """Keys as they are, every other column snapped."""
-    return df.select(
-        *keys,
-        *[
-            snap(F.col(c), override.get(c, places)).alias(c)
-            for c in df.columns
-            if c not in keys
-        ],
-    )
+    rest = {c: override.get(c, places) for c in df.columns if c not in keys}
+    return df.selectExpr(*keys, *[f"{sql_snap(c, p)} AS {c}" for c, p in rest.items()])
 
 
 def sql_snap(expr: str, places: int = 4) -> str:
