@@ -59,6 +59,21 @@ def classification_report(df: DataFrame, actual: str, predicted: str) -> DataFra
     )
 
 
+def label_totals(df: DataFrame, actual: str, predicted: str, labels: list[str]) -> DataFrame:
+    """How often each label of a fixed list was observed and predicted; 0 if never."""
+    votes = F.array(
+        F.struct(F.col(actual).alias("label"), F.lit(1).alias("a"), F.lit(0).alias("p")),
+        F.struct(F.col(predicted).alias("label"), F.lit(0).alias("a"), F.lit(1).alias("p")),
+    )
+    sums = (
+        df.select(F.inline(votes))
+        .groupBy("label")
+        .agg(F.sum("a").alias("actual_n"), F.sum("p").alias("predicted_n"))
+    )
+    grid = df.sparkSession.createDataFrame([(x,) for x in labels], "label string")
+    return grid.join(sums, "label", "left").na.fill(0, ["actual_n", "predicted_n"])
+
+
 def accuracy(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     hit = (F.col(actual) == F.col(predicted)).cast("double")
     return df.agg(F.avg(hit).alias("accuracy"))

@@ -46,6 +46,11 @@ def dedupe_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     )
 
 
+def select_keys(df: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key occurs in another table."""
+    return df.join(chosen.select(*keys), keys, "left_semi")
+
+
 def melt(df: DataFrame, ids: list[str], values: list[str], var: str, value: str) -> DataFrame:
     """Wide to long."""
     return df.unpivot(ids, values, var, value)

@@ -775,6 +775,17 @@ def chrono_split(spark, root):
     return tables.chrono_split(_bars(spark, root)).select(*KEY, "part")
 
 
+@query(
+    "test_rows",
+    f"""WITH {NUM}, t AS (SELECT symbol, d, rn, count(*) OVER (PARTITION BY symbol) AS n FROM num)
+    SELECT * FROM bars b SEMI JOIN (SELECT * FROM t WHERE rn >= n - CAST(ceil(n * 0.2) AS BIGINT)) t
+      ON t.symbol = b.symbol AND t.d = b.d""",
+)
+def test_rows(spark, root):
+    split = tables.chrono_split(_bars(spark, root)).filter(F.col("part") == "test")
+    return tables.select_keys(views.bars(spark, root), split, KEY)
+
+
 @query(
     "ewma_vol",
     f"""WITH RECURSIVE {NUM}, ret AS MATERIALIZED (

@@ -321,6 +321,16 @@ def classification_report(spark, root):
     return snapped(out, ["label", "support"], 8)
 
 
+@query(
+    "label_totals",
+    f"""WITH {GUESS} SELECT l AS label, count(*) FILTER (risk_level = l) AS actual_n,
+      count(*) FILTER (guess = l) AS predicted_n
+    FROM (SELECT unnest(['High', 'Low', 'Medium', 'Prohibited', 'Unrated']) AS l), g GROUP BY 1""",
+)
+def label_totals(spark, root):
+    return metrics.label_totals(_guess(spark, root), "risk_level", "guess", [*LEVELS, "Unrated"])
+
+
 @query(
     "accuracy",
     f"WITH {GUESS} SELECT {sql_columns({'accuracy': 'avg(CASE WHEN risk_level = guess THEN 1.0 ELSE 0 END)'}, 8)} FROM g",
