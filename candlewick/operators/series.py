@@ -24,6 +24,7 @@ BLK = "_blk"
 HALO = "_halo"
 GRAIN = "_grain"
 BLOCK_ROWS = 1 << 16
+CELL_ROWS = 1 << 20  # rows one task may sort to number them
 
 
 @dataclass(frozen=True)
@@ -133,6 +134,18 @@ def number_rows(
     )
 
 
+def time_grains(df: DataFrame, key: Sequence[str], ts: str) -> list[Column]:
+    """Hours as cells if none is too full to sort in one task, else hours and seconds.
+
+    Costs one counting pass over the key and time columns; the second level would
+    cost an extra join on every row.
+    """
+    second = F.unix_seconds(ts)
+    hour = F.floor(second / 3600)
+    busiest = df.groupBy(*key, hour).count().agg(F.max("count")).first()[0] or 0
+    return [hour] if busiest <= CELL_ROWS else [hour, second]
+
+
 def blocked(
     df: DataFrame,
     key: Sequence[str] = ("symbol",),
@@ -145,8 +158,7 @@ def blocked(
     if lookback > block_rows:
         raise ValueError("a block must be at least as long as its halo")
     if grains is None:
-        second = F.unix_seconds(order[0])
-        grains = [F.floor(second / 3600), second]
+        grains = time_grains(df, key, order[0])
     df = number_rows(df, key, order, grains)
     blk = F.expr(f"{RN} div {block_rows}")
     own = F.struct(blk.alias(BLK), F.lit(False).alias(HALO))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from candlewick.functions.columns import price_features
 from candlewick.operators import indicators as ind
+from candlewick.operators import series
 from candlewick.operators.series import (
     RN,
     Recurrence,
@@ -83,6 +84,17 @@ def test_block_fill_carries_over_empty_blocks(spark):
     pd.testing.assert_series_equal(g.change, want.pct_change(fill_method=None), check_names=False)
 
 
+def test_grains_follow_the_busiest_hour(spark, monkeypatch):
+    df = ticks(spark, {"a": 300})
+    assert len(series.time_grains(df, ["symbol"], "ts")) == 1
+    coarse = blocked(df, lookback=2).rows().count()
+    monkeypatch.setattr(series, "CELL_ROWS", 3)
+    assert len(series.time_grains(df, ["symbol"], "ts")) == 2
+    s = blocked(df, lookback=2)
+    fine = frame(s.add({"rn": F.col(RN)}).rows())["a"]
+    assert len(fine) == coarse and list(fine.rn) == list(range(300))
+
+
 def test_halo_too_short_is_refused(spark):
     s = blocked(ticks(spark, {"a": 5}), lookback=10, block_rows=32)
     with pytest.raises(ValueError):
