@@ -194,3 +194,10 @@ def test_trend_and_trees(spark):
     assert poly.filter(F.abs(F.col("predicted") - F.col("y")) > 1e-6).count() == 0
     with pytest.raises(ValueError):
         models.tree_regression(df, ["x"], "y", "stump")
+
+
+def test_worker_functions_carry_their_code():
+    from pyspark.cloudpickle import dumps
+
+    sent = dumps(regress.solve_scaled)
+    assert b"lstsq" in sent and len(sent) > 300
