@@ -8,7 +8,19 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import fingerprints, packing, quality, shards, simhash, store
+from candlewick.llm import (
+    fingerprints,
+    lattice,
+    packing,
+    pieces,
+    quality,
+    shards,
+    simhash,
+    store,
+    suffixes,
+    toxicity,
+    wrappers,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,3 +93,35 @@ def op6(spark: SparkSession, root: str) -> DataFrame:
 @query("op7_packing")
 def op7(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(documents(spark, root), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op3_lattice_scores")
+def op3(spark: SparkSession, root: str) -> DataFrame:
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    return lattice.score(documents(spark, root), learn, tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, root: str) -> DataFrame:
+    docs, held = documents(spark, root), toxicity.fold(F.col("doc_id"), 4) == 2
+    labels = spark.read.parquet(f"{root}/labels.parquet")
+    machine = toxicity.learn(docs, labels, held)
+    return toxicity.score(docs, machine).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+@query("op10_sentencepiece")
+def op10(spark: SparkSession, root: str) -> DataFrame:
+    return pieces.round_trip(documents(spark, root), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op1_suffix_dedup")
+def op1(spark: SparkSession, root: str) -> DataFrame:
+    return suffixes.removed(documents(spark, root))
+
+
+@query("op8_html_text")
+def op8(spark: SparkSession, root: str) -> DataFrame:
+    pages = spark.read.parquet(f"{root}/pages.parquet")
+    return wrappers.extract(pages).withColumn("n_chars", F.length("text").cast("long"))

@@ -6,22 +6,38 @@ Each stage reads what the one before it kept, as a written table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from candlewick.llm import packing, quality, simhash, store
+from candlewick.llm import packing, quality, simhash, store, suffixes, toxicity
 from candlewick.llm.queries import documents, tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
+    store.configure(spark)
     return quality.keep_good(docs)
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the limit; three quarters of the labels teach the model."""
+    store.configure(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    machine = toxicity.learn(docs, labels, toxicity.fold(F.col("doc_id"), 4) == 2)
+    return toxicity.keep_clean(docs, machine)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that with the smallest doc_id."""
     store.configure(spark)
     return simhash.keep_one(docs)
 
 
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the bytes an earlier one holds."""
+    store.configure(spark)
+    return suffixes.dedup(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece with its sequence and offset."""
     store.configure(spark)
@@ -30,7 +46,9 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("toxicity", toxicity_filter),
     ("simhash near-dedup", near_dedup),
+    ("suffix-array dedup", suffix_dedup),
     ("best-fit packing", best_fit_packing),
 ]
 
