@@ -1,6 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its terms, hashed into a fixed number of buckets. The score is a bias,
+A text is the set of its terms (words and the beginnings of words), hashed into a fixed
+number of buckets. The score is a bias,
 a weight per term and, through the terms' factor vectors, a weight for every pair of terms
 that occur together: an insult beside a group mention counts for more than the two alone.
 
@@ -31,6 +32,8 @@ CACHE_WORDS = 500_000
 # ASCII other than letters and digits separates terms; other alphabets stay as they are.
 SEPARATORS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
+PREFIXES = (4, 5, 6)  # bytes
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -38,7 +41,8 @@ class Settings:
     factors: int = 8
     train_rows: int = 20_000
     min_rows: int = 5
-    epochs: int = 8
+    min_chi: float = 15.0
+    epochs: int = 20
     batch: int = 256
     rate: float = 0.1
     decay: float = 2e-4
@@ -59,8 +63,13 @@ class Terms:
                 self.known.clear()
             for i, value in enumerate(found):
                 if value is None:
-                    found[i] = self.known[words[i]] = zlib.crc32(words[i]) % self.buckets
-        return np.unique(np.array(found, np.int32))
+                    found[i] = self.known[words[i]] = self.buckets_of(words[i])
+        return np.unique(np.frombuffer(b"".join(found), np.int32))
+
+    def buckets_of(self, word: bytes) -> bytes:
+        """Buckets of the word and of its beginnings, which inflected forms share."""
+        parts = [word, *(b"^" + word[:n] for n in PREFIXES if len(word) > n)]
+        return np.array([zlib.crc32(p) % self.buckets for p in parts], np.int32).tobytes()
 
 
 class Machine(NamedTuple):
@@ -85,12 +94,29 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
+def telling(rows: list[np.ndarray], labels: np.ndarray, settings: Settings) -> np.ndarray:
+    """Buckets whose rows differ in their labels beyond chance, by the chi-square statistic.
+
+    The others would add noise that grows with the length of a text.
+    """
+    if not rows:
+        return np.zeros(0, np.int64)
+    ids = np.concatenate(rows)
+    of = np.repeat(labels, [len(r) for r in rows])
+    seen = np.bincount(ids, minlength=settings.buckets).astype(float)
+    bad = np.bincount(ids, of, settings.buckets)
+    n, share = len(rows), labels.mean()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = seen * share * (1 - share) * (n - seen) / n
+        chi = np.where(spread > 0, (bad - seen * share) ** 2 / spread, 0.0)
+    return np.flatnonzero((seen >= settings.min_rows) & (chi >= settings.min_chi))
+
+
 def train(rows: list[np.ndarray], labels: np.ndarray, settings: Settings = Settings()) -> Machine:
     """Fit by mini-batches with per-parameter step sizes."""
     size, k = settings.buckets, settings.factors
     weights, factors = np.zeros(size, np.float32), np.zeros((size, k), np.float32)
-    seen = np.bincount(np.concatenate(rows), minlength=size) if rows else np.zeros(size)
-    used = np.flatnonzero(seen >= settings.min_rows)
+    used = telling(rows, labels, settings)
     share = np.clip(labels.mean() if len(labels) else 0.0, 1e-6, 1 - 1e-6)
     bias = float(np.log(share / (1 - share))) if len(labels) else -30.0
     if not len(used):
