@@ -166,8 +166,11 @@ def parse(page: str) -> Node:
     return root
 
 
-def align(wrapper: Node, other: Node) -> None:
-    """Generalise ``wrapper`` so that it also covers ``other``."""
+def align(wrapper: Node, other: Node, new: bool = False) -> None:
+    """Generalise ``wrapper`` so that it also covers ``other``.
+
+    The children of a ``new`` wrapper are on all its pages so far, so none becomes optional.
+    """
     wrapper.pages += other.pages
     wrapper.optional |= other.optional
     if wrapper.label == "#":
@@ -199,8 +202,10 @@ def align(wrapper: Node, other: Node) -> None:
             spot = ahead
         else:
             spot = cursor
-            fresh = Node.load(kid.dump())
-            fresh.optional = True
+            fresh = Node(kid.label, kid.text)
+            fresh.pages = 0
+            align(fresh, kid, new=True)
+            fresh.optional = kid.optional or not new
             put(spot, fresh)
             spots.append(spot)
             cursor = spot + 1
@@ -212,7 +217,7 @@ def align(wrapper: Node, other: Node) -> None:
                 kids[spot].text = None
         met[spot] = True
         spots.append(spot)
-        cursor = max(cursor, spot + 1) if spot + 1 > cursor or not again else cursor
+        cursor = spot + 1
     for a, b in other.loops:
         if a < len(spots) and b < len(spots) and spots[a] <= spots[b]:
             wrapper.loops.add((spots[a], spots[b]))
@@ -224,15 +229,11 @@ def align(wrapper: Node, other: Node) -> None:
 def induce(pages: Iterator[Node]) -> Node | None:
     wrapper = None
     for page in pages:
-        if wrapper is None:
+        new = wrapper is None
+        if new:
             wrapper = Node("page")
             wrapper.pages = 0
-            first = True
-        align(wrapper, page)
-        if first:
-            for kid in wrapper.kids:
-                kid.optional = False
-            first = False
+        align(wrapper, page, new)
     return wrapper
 
 
