@@ -15,6 +15,9 @@ which keeps duplicates of a doc_id apart through their rank. An empty table give
 
 from __future__ import annotations
 
+import os
+import sys
+import types
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,7 +30,8 @@ from pyspark.sql import functions as F
 from candlewick.llm import store
 
 LENGTH = 2048
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
+MARKS = b".,;:!?"
 
 
 class Tightest:
@@ -119,25 +123,61 @@ def best_fit(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, in
 def encoder(path: str):
     """Bytes of a text to the bytes of its 32-bit ids, one word at a time.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its
-    words' ids in a row; words are encoded once and remembered.
+    The tokenizer lowers case, drops white space and never joins across it, so a text's ids
+    are its words' ids in a row; words are encoded once per worker and remembered. New words
+    made of letters are encoded as one text, whose ids part where a piece ends a word.
+    Texts that may hold a special token's string are encoded as a whole.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[bytes, bytes] = {}
+    store_ = sys.modules.setdefault("_candlewick_words", types.ModuleType("_candlewick_words"))
+    if path not in store_.__dict__:
+        tokenizer = Tokenizer.from_file(path)
+        ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        for token, i in tokenizer.get_vocab().items():
+            ends[i] = token.endswith("</w>")
+        store_.__dict__[path] = tokenizer, ends, {}
+    tokenizer, ends, known = store_.__dict__[path]
+
+    def packed(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
+
+    def learn(words: list[bytes]) -> None:
+        """Ids of new words; ids of a letter run and of the marks behind it are independent."""
+        stems = {}
+        for word in words:
+            stem = word.rstrip(MARKS)
+            stems[word] = stem if stem and stem.decode()[-1].isalpha() else word
+        new = [w for w in dict.fromkeys(stems.values()) if w not in known]
+        tails = {w[len(s) :] for w, s in stems.items()} - {b""}
+        new += [t for t in tails if t not in known]
+        plain = [w for w in new if w.decode().isalpha()]
+        if plain:
+            ids = np.array(tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ends[ids]) + 1
+            if len(cuts) == len(plain):
+                data, edges = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                known.update(zip(plain, map(data.__getitem__, map(slice, edges, edges[1:]))))
+        rest = [w for w in new if w not in known]
+        for word, part in zip(rest, tokenizer.encode_batch([w.decode() for w in rest], add_special_tokens=False)):
+            known[word] = packed(part.ids)
+        for word, stem in stems.items():
+            if word not in known:
+                known[word] = known[stem] + known[word[len(stem) :]]
 
     def encode(text: bytes) -> bytes:
-        words = text.split()
+        if b"<|" in text:
+            return packed(tokenizer.encode(text.decode(), add_special_tokens=False).ids)
+        words = text.lower().split()
         found = list(map(known.get, words))
         if None in found:
             if len(known) > CACHE_WORDS:
                 known.clear()
-            new = list(dict.fromkeys(w for w in words if w not in known))
-            parts = tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            own = dict(zip(new, (np.array(p.ids, "<u4").tobytes() for p in parts)))
-            found = [own[w] if w in own else known[w] for w in words]
-            known.update(own)
+                learn(list(dict.fromkeys(words)))
+            else:
+                learn(list({w for w, ids in zip(words, found) if ids is None}))
+            found = map(known.__getitem__, words)
         return b"".join(found)
 
     return encode
