@@ -79,11 +79,20 @@ def wma(s: Series, column: str, n: int) -> Column:
 
 
 def emas(s: Series, columns: dict[str, tuple[str, int]]) -> Series:
-    """Exponential means: name -> (column, span). The first row is the seed."""
+    """Exponential means: name -> (column, span). The first row is the seed.
+
+    A NULL has no place in the recurrence and would count as 0, so it is an error: drop
+    such rows or fill them first.
+    """
+
+    def known(column: str) -> Column:
+        stop = F.raise_error(F.lit(f"exponential mean: NULL in {column}; drop or fill it first"))
+        return F.coalesce(F.col(column), stop.cast("double"))
+
     return recurrences(
         s,
         [
-            Recurrence(name, seeded(F.col(c), 1 - 2 / (span + 1)), 1 - 2 / (span + 1))
+            Recurrence(name, seeded(known(c), 1 - 2 / (span + 1)), 1 - 2 / (span + 1))
             for name, (c, span) in columns.items()
         ],
     )

@@ -10,9 +10,6 @@ from candlewick.operators.series import number_rows
 from candlewick.operators.tables import top
 from candlewick.session import settle
 
-WIDE_BASKET = 512
-
-
 def encode(items: DataFrame) -> DataFrame:
     """One sorted, duplicate-free array per basket.
 
@@ -27,31 +24,23 @@ def encode(items: DataFrame) -> DataFrame:
     )
 
 
-def _wider(sets: DataFrame) -> DataFrame:
-    """Extend each (items, rest) by every later element of ``rest``."""
-    return sets.select(F.col("items").alias("head"), "rest", F.posexplode("rest").alias("i", "y")).select(
-        F.concat("head", F.array("y")).alias("items"),
-        F.expr("slice(rest, i + 2, size(rest))").alias("rest"),
-    )
-
-
 def combination_counts(baskets: DataFrame, size: int) -> DataFrame:
     """Exact number of baskets holding each combination of ``size`` items.
 
-    Combinations grow element by element and go straight into a partial count, so
-    the shuffle carries distinct combinations only. A wide basket is split by its
-    first element before it is extended, which spreads one huge basket over the
-    cluster; ordinary baskets are never shuffled again.
+    Combinations grow by position, are never held as a list, and go straight into a
+    partial count, so the shuffle carries distinct combinations only.
     """
-    start = baskets.select(
-        F.array().cast(dict(baskets.dtypes)["items"]).alias("items"), F.col("items").alias("rest")
-    ).filter(F.size("rest") >= size)
-    narrow = _wider(start.filter(F.size("rest") <= WIDE_BASKET))
-    wide = _wider(start.filter(F.size("rest") > WIDE_BASKET)).repartition("items", F.hash("rest"))
-    sets = narrow.unionByName(wide)
+    sets = baskets.filter(F.size("items") >= size).select(
+        "items", F.posexplode("items").alias("at", "item")
+    ).select("items", "at", F.array("item").alias("chosen"))
     for _ in range(size - 1):
-        sets = _wider(sets)
-    return sets.groupBy("items").agg(F.count(F.lit(1)).alias("freq"))
+        later = F.sequence(F.col("at") + 1, F.size("items") - 1)
+        sets = (
+            sets.filter(F.col("at") + 1 < F.size("items"))
+            .select("items", "chosen", F.explode(later).alias("at"))
+            .select("items", "at", F.concat("chosen", F.array(F.get("items", F.col("at")))).alias("chosen"))
+        )
+    return sets.groupBy(F.col("chosen").alias("items")).agg(F.count(F.lit(1)).alias("freq"))
 
 
 def itemsets(baskets: DataFrame, min_support: float) -> DataFrame:
@@ -66,34 +55,11 @@ def itemsets(baskets: DataFrame, min_support: float) -> DataFrame:
     )
 
 
-def small_itemsets(items: DataFrame, min_support: float, max_size: int = 3) -> DataFrame:
-    """Frequent itemsets up to ``max_size``, counted level by level.
-
-    Rare items leave the baskets before any combination is built: no set holding
-    one can be frequent.
-    """
-    items = items.select("basket", "item").distinct()
-    n = items.select(F.count_distinct("basket").alias("n")).scalar()
-    support = F.col("freq") / n
-    single = (
-        items.groupBy("item")
-        .agg(F.count(F.lit(1)).alias("freq"))
-        .withColumn("support", support)
-        .filter(F.col("support") >= min_support)
-    )
-    kept = single.select(F.array("item").alias("items"), "freq", "support")
-    baskets = encode(items.join(single.select("item"), "item", "left_semi"))
-    for size in range(2, max_size + 1):
-        level = combination_counts(baskets, size).withColumn("support", support)
-        kept = kept.unionByName(level.filter(F.col("support") >= min_support))
-    return kept
-
-
 def by_size(sets: DataFrame, size: int) -> DataFrame:
     return sets.filter(F.size("items") == size)
 
 
-def rules(sets: DataFrame, min_confidence: float = 0.2) -> DataFrame:
+def rules(sets: DataFrame, min_confidence: float = 0.5) -> DataFrame:
     """All rules X -> Z minus X of the frequent sets Z, any split into two parts.
 
     Subsets of one itemset come from the bits of a counter, so the fan-out depends

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewick.operators import indicators as ind
@@ -207,15 +207,28 @@ def simple_trend(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def vif(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Variance inflation per feature and for the constant; above 10 is flagged."""
+    """Variance inflation per feature and for the constant; above 10 is flagged.
+
+    Computed on the correlation matrix, so features of any scale count alike. A feature
+    that does not vary has no inflation (NULL).
+    """
     k, names = len(features), list(features)
 
     def solve(row: pd.Series) -> list[dict]:
         s, mu = _matrix(row["cov"], k), np.asarray(row["mu"])
-        inv = np.linalg.pinv(s, hermitian=True)
-        values = [1 + float(mu @ inv @ mu), *(np.diag(inv) * np.diag(s))]
+        sd = np.sqrt(np.diag(s))
+        live = np.flatnonzero(sd > 0)
+        unit, z = s[np.ix_(live, live)] / np.outer(sd[live], sd[live]), mu[live] / sd[live]
+        inv = np.linalg.pinv(unit, hermitian=True)
+        values = dict(zip(live.tolist(), np.diag(inv)))
+        values = [1 + float(z @ inv @ z), *(values.get(i) for i in range(k))]
         return [
-            {"symbol": row["symbol"], "feature": f, "vif": float(v), "collinear": bool(v > 10)}
+            {
+                "symbol": row["symbol"],
+                "feature": f,
+                "vif": None if v is None else float(v),
+                "collinear": None if v is None else bool(v > 10),
+            }
             for f, v in zip(["const", *names], values)
         ]
 
@@ -257,44 +270,68 @@ def rfe(df: DataFrame, features: Sequence[str], target: str, keep: int = 3) -> D
 CRITICAL = {"1%": -3.43035, "5%": -2.86154, "10%": -2.56677}
 
 
-def adf(df: DataFrame, column: str, max_lag: int = 12) -> DataFrame:
+def lag_limit(n: Column) -> Column:
+    """The usual largest lag count for n values: 12 (n / 100)^(1/4), at most half of them."""
+    return F.least(F.ceil(12 * F.pow(n / 100, 0.25)), F.floor(n / 2) - 2).cast("int")
+
+
+def adf(df: DataFrame, column: str, max_lag: int | None = None) -> DataFrame:
     """Augmented Dickey-Fuller test per symbol, lag count chosen by AIC.
 
-    One Gram row per symbol holds the regression for every lag count, since a
-    shorter regression is a sub-matrix. Stationary means the statistic is below
-    the 5 % critical value.
+    The largest lag count follows each series' length unless given. One Gram row per symbol
+    holds the regression for every lag count, since a shorter regression is a sub-matrix;
+    it is centred, which stands for the constant, and scaled before it is solved.
+    Stationary means the statistic is below the 5 % critical value. A series too short for
+    the test has a NULL statistic.
     """
-    s = whole(df.select("symbol", "d", column).na.drop())
-    s = s.add({"_dy": ind.diff(s, column), "_y1": ind.lag(s, column)})
+    rows = df.select("symbol", "d", column).na.drop()
+    sizes = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
+    limit = F.greatest(lag_limit(F.col("_n")), F.lit(0)) if max_lag is None else F.lit(max_lag)
+    top = max_lag if max_lag is not None else sizes.agg(F.max(limit)).first()[0] or 0
+    s = whole(rows)
+    count = F.count(F.lit(1)).over(Window.partitionBy(*s.key))
+    s = s.add({"_dy": ind.diff(s, column), "_y1": ind.lag(s, column), "_n": count})
     none = F.array().cast("array<double>")
-    history = F.collect_list("_dy").over(s.ordered.rowsBetween(-max_lag, -1)) if max_lag else none
-    s = s.add({"_lags": history})
+    history = F.collect_list("_dy").over(s.ordered.rowsBetween(-top, -1)) if top else none
+    s = s.add({"_lags": F.reverse(history)}).add({"_own": limit})
+    # Lags beyond a series' own limit are zero in its Gram row and never used.
+    padded = F.transform(
+        F.sequence(F.lit(0), F.lit(top)),
+        lambda i: F.when(i < F.col("_own"), F.get("_lags", i)).otherwise(0.0),
+    )
     design = (
         s.rows()
-        .filter((F.size("_lags") == max_lag) & F.col("_y1").isNotNull())
+        .filter((F.size("_lags") >= F.col("_own")) & F.col("_y1").isNotNull())
         .select(
             "symbol",
             F.concat(
-                F.array(F.lit(1.0), F.col("_y1")), F.reverse("_lags"), F.array("_dy")
+                F.array(F.lit(1.0), F.col("_y1"), F.col("_own").cast("double")),
+                F.slice(padded, 1, top) if top else none,
+                F.array("_dy"),
             ).alias("x"),
         )
     )
 
     def solve(row: pd.Series) -> dict:
-        k = max_lag + 3
+        k = top + 4
         g, n = np.asarray(row["g"]).reshape(k, k), int(row["n"])
+        own = int(round(g[0, 2] / n)) if n else 0
+        centred = g - np.outer(g[0], g[0]) / n
         best = None
-        for lags in range(max_lag + 1):
-            use = list(range(2 + lags))
-            a, b = g[np.ix_(use, use)], g[use, k - 1]
+        for lags in range(own + 1):
+            use = [1, *range(3, 3 + lags)]
+            a, b = centred[np.ix_(use, use)], centred[use, k - 1]
             beta, _ = solve_scaled(a, b)
-            sse = float(g[k - 1, k - 1] - 2 * beta @ b + beta @ a @ beta)
-            if n <= len(use) or sse <= 0:
+            sse = float(centred[k - 1, k - 1] - 2 * beta @ b + beta @ a @ beta)
+            free = n - len(use) - 1
+            if free <= 0 or sse <= 0 or a[0, 0] <= 0:
                 continue
-            aic = n * np.log(sse / n) + 2 * len(use)
+            aic = n * np.log(sse / n) + 2 * (len(use) + 1)
             if best is None or aic < best[0]:
-                var = sse / (n - len(use)) * np.linalg.pinv(a, hermitian=True)[1, 1]
-                best = (aic, lags, beta[1] / np.sqrt(var))
+                scale = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+                inverse = np.linalg.pinv(a / np.outer(scale, scale), hermitian=True)
+                var = sse / free * inverse[0, 0] / scale[0] ** 2
+                best = (aic, lags, beta[0] / np.sqrt(var))
         stat = float(best[2]) if best else None
         return {
             "symbol": row["symbol"],

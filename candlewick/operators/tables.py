@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewick.functions.columns import unit_hash
-from candlewick.operators.series import HALO, RN, Series, number_rows
+from candlewick.operators.series import HALO, RN, Series
+from candlewick.session import settle
 
 
 def chrono_split(s: Series, train: float = 0.8) -> DataFrame:
@@ -122,13 +123,21 @@ def fixed_counts(df: DataFrame, column: str, labels: list[str], name: str = "n")
 def label_encode(df: DataFrame, column: str, name: str) -> DataFrame:
     """Replace a category by its rank in sorted order, from 0.
 
-    Categories are numbered through counts per three-byte prefix, then per the next
-    three bytes, so even a large dictionary is not sorted in one task.
+    The dictionary is built once, range-partitioned, and numbered inside its ranges; what
+    comes before a range is one count per range. Rows without a category keep a NULL code.
     """
-    head = F.rpad(F.hex(F.substring(F.encode(column, "utf-8"), 1, 6)), 12, "0")
-    grains = [F.conv(F.substring(head, i, 6), 16, 10).cast("long") for i in (1, 7)]
-    codes = number_rows(df.select(column).distinct().na.drop(), [], [column], grains)
-    return df.join(codes.select(column, F.col(RN).alias(name)), column)
+    levels = df.select(column).distinct().na.drop().repartitionByRange(column)
+    levels = settle(levels.select(column, F.spark_partition_id().alias("_range")))
+    counts = levels.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(column)) - 1
+    codes = (
+        levels.withColumn("_rank", rank)
+        .join(starts, "_range")
+        .select(column, (F.col("_start") + F.col("_rank")).alias(name))
+    )
+    return df.join(codes, column, "left")
 
 
 def recent_period(df: DataFrame, column: str, days: int, as_of: Column | None = None) -> DataFrame:

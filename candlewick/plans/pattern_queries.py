@@ -10,6 +10,7 @@ from candlewick.plans.registry import BARS, BASKETS, query, snap, snapped, sql_c
 from candlewick.sources import views
 
 MIN_SUPPORT = 0.0001
+MIN_CONFIDENCE = 0.5
 
 N = BASKETS + """, n AS (SELECT count(DISTINCT basket) AS n FROM items)"""
 PAIRS = """pairs AS MATERIALIZED (
@@ -19,10 +20,15 @@ TRIPLES = """triples AS MATERIALIZED (
   SELECT [a.item, b.item, c.item] AS items, count(*) AS freq FROM items a
     JOIN items b ON a.basket = b.basket AND a.item < b.item
     JOIN items c ON a.basket = c.basket AND b.item < c.item GROUP BY 1)"""
-SETS = f"""{N}, {PAIRS}, {TRIPLES}, sets AS MATERIALIZED (
+# Sets of every size: each basket's sets grow by a larger item of the same basket.
+SETS = f"""{N}, {PAIRS}, {TRIPLES}, grown AS (
+  SELECT basket, item AS last, [item] AS items FROM items
+  UNION ALL
+  SELECT g.basket, i.item, list_append(g.items, i.item)
+  FROM grown g JOIN items i ON i.basket = g.basket AND i.item > g.last),
+sets AS MATERIALIZED (
   SELECT items, freq, freq / n AS support FROM (
-    SELECT [item] AS items, count(*) AS freq FROM items GROUP BY 1
-    UNION ALL SELECT * FROM pairs UNION ALL SELECT * FROM triples), n
+    SELECT items, count(*) AS freq FROM grown GROUP BY 1), n
   WHERE freq / n >= {MIN_SUPPORT})"""
 
 
@@ -32,7 +38,7 @@ def _names(df):
 
 
 def _sets(spark, root):
-    return patterns.small_itemsets(views.basket_items(spark, root), MIN_SUPPORT)
+    return patterns.itemsets(patterns.encode(views.basket_items(spark, root)), MIN_SUPPORT)
 
 
 @query("basket_encode", f"WITH {BASKETS} SELECT basket, string_agg(item, ',' ORDER BY item) AS items FROM items GROUP BY 1")
@@ -62,7 +68,7 @@ def top_triplets(spark, root):
 
 @query(
     "itemsets",
-    f"""WITH {SETS} SELECT array_to_string(items, ',') AS items, freq,
+    f"""WITH RECURSIVE {SETS} SELECT array_to_string(items, ',') AS items, freq,
       {sql_snap('support', 9)} AS support FROM sets""",
 )
 def itemsets(spark, root):
@@ -71,7 +77,7 @@ def itemsets(spark, root):
 
 @query(
     "itemset_sizes",
-    f"""WITH {SETS} SELECT CAST(len(items) AS INT) AS size, count(*) AS n, CAST(sum(freq) AS BIGINT) AS freq
+    f"""WITH RECURSIVE {SETS} SELECT CAST(len(items) AS INT) AS size, count(*) AS n, CAST(sum(freq) AS BIGINT) AS freq
     FROM sets GROUP BY 1""",
 )
 def itemset_sizes(spark, root):
@@ -81,15 +87,19 @@ def itemset_sizes(spark, root):
     )
 
 
-@query("itemsets_any_size")
+@query(
+    "itemsets_any_size",
+    f"""WITH RECURSIVE {SETS} SELECT CAST(len(items) AS INT) AS size, array_to_string(items, ',') AS items,
+      freq FROM sets WHERE len(items) > 3""",
+)
 def itemsets_any_size(spark, root):
-    baskets = patterns.encode(views.basket_items(spark, root))
-    return _names(patterns.itemsets(baskets, 0.0005))
+    sets = _sets(spark, root).filter(F.size("items") > 3)
+    return _names(sets.select(F.size("items").alias("size"), "items", "freq"))
 
 
-RULES = SETS + """, cand AS (
-  SELECT items, support, mask FROM sets, (SELECT unnest(generate_series(1, 6)) AS mask)
-  WHERE len(items) > 1 AND mask < (1 << len(items)) - 1),
+RULES = SETS + f""", cand AS (
+  SELECT items, support, unnest(generate_series(1, (1 << len(items)) - 2)) AS mask
+  FROM sets WHERE len(items) > 1),
 split AS (
   SELECT support,
     [items[i] FOR i IN generate_series(1, len(items)) IF (mask >> (i - 1)) & 1 = 1] AS x,
@@ -100,17 +110,17 @@ rules AS MATERIALIZED (
     s.support / a.support / b.support AS lift, s.support - a.support * b.support AS leverage,
     CASE WHEN s.support / a.support < 1 THEN (1 - b.support) / (1 - s.support / a.support) END AS conviction
   FROM split s JOIN sets a ON a.items = s.x JOIN sets b ON b.items = s.y
-  WHERE s.support / a.support >= 0.2)"""
+  WHERE s.support / a.support >= {MIN_CONFIDENCE})"""
 
 
 @query(
     "rules",
-    f"""WITH {RULES} SELECT array_to_string(antecedents, ',') AS antecedents,
+    f"""WITH RECURSIVE {RULES} SELECT array_to_string(antecedents, ',') AS antecedents,
       array_to_string(consequents, ',') AS consequents, {sql_columns({
         c: c for c in ("support", "confidence", "lift", "leverage", "conviction")}, 7)} FROM rules""",
 )
 def rules(spark, root):
-    out = patterns.rules(_sets(spark, root), 0.2).withColumns(
+    out = patterns.rules(_sets(spark, root), MIN_CONFIDENCE).withColumns(
         {
             c: F.array_join(F.col(c).cast("array<string>"), ",")
             for c in ("antecedents", "consequents")
@@ -121,12 +131,12 @@ def rules(spark, root):
 
 @query(
     "rule_items",
-    f"""WITH {RULES} SELECT DISTINCT unnest(antecedents) AS item FROM rules
-    WHERE confidence > 0.2 AND lift > 1 AND support > 0.0008""",
+    f"""WITH RECURSIVE {RULES} SELECT DISTINCT unnest(antecedents) AS item FROM rules
+    WHERE confidence > {MIN_CONFIDENCE} AND lift > 1 AND support > 0.0001""",
 )
 def rule_items(spark, root):
-    found = patterns.rules(_sets(spark, root), 0.2)
-    return patterns.rule_items(patterns.significant(found, 0.2, 1.0, 0.0008))
+    found = patterns.rules(_sets(spark, root), MIN_CONFIDENCE)
+    return patterns.rule_items(patterns.significant(found, MIN_CONFIDENCE, 1.0, 0.0001))
 
 
 POOL = f"""{SETS}, best AS (
@@ -138,14 +148,14 @@ pool AS (
   FROM (SELECT unnest(items) AS item, points FROM best) GROUP BY 1)"""
 
 
-@query("item_pool", f"WITH {POOL} SELECT item, weight FROM pool")
+@query("item_pool", f"WITH RECURSIVE {POOL} SELECT item, weight FROM pool")
 def item_pool(spark, root):
     return patterns.item_pool(_sets(spark, root))
 
 
 @query(
     "weighted_pick",
-    f"""WITH {POOL}, u AS (
+    f"""WITH RECURSIVE {POOL}, u AS (
       SELECT item, weight, (CAST('0x' || substr(md5('42|' || item), 1, 8) AS BIGINT) + 0.5::DOUBLE)
         / 4294967296.0::DOUBLE AS u FROM pool)
     SELECT item, weight, {sql_snap("CASE WHEN weight > 0 THEN -ln(u) / weight END", 9)} AS draw_key
@@ -159,7 +169,7 @@ def weighted_pick(spark, root):
 
 @query(
     "weighted_pick_replace",
-    f"""WITH {POOL}, u AS (
+    f"""WITH RECURSIVE {POOL}, u AS (
       SELECT draw, item, -ln((CAST('0x' || substr(md5('42|' || draw || '|' || item), 1, 8) AS BIGINT)
         + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / weight AS k
       FROM pool, (SELECT unnest(generate_series(1, 100)) AS draw) WHERE weight > 0)

@@ -18,7 +18,7 @@ BUY, SELL = 20.0, 60.0
     FROM events GROUP BY 1, 2""",
 )
 def stream_bars(spark, root):
-    ticks = live.tick_stream(spark, root, "events.parquet")
+    ticks = live.tick_stream(spark, f"{root}/events.parquet")
     return live.stream_bars(ticks, live.work_folder(spark, "bars"))
 
 
@@ -30,6 +30,6 @@ def stream_bars(spark, root):
     FROM rec r JOIN num n ON n.symbol = r.symbol AND n.rn = r.rn""",
 )
 def stream_signal(spark, root):
-    ticks = live.tick_stream(spark, root, "events.parquet")
+    ticks = live.tick_stream(spark, f"{root}/events.parquet")
     out = live.stream_signals(ticks, live.work_folder(spark, "signals"), BUY, SELL)
     return out.select("event_id", "symbol", snap(F.col("forecast")).alias("forecast"), "signal")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,32 +45,34 @@ def build(app: str = "candlewick", master: str | None = None, **conf: str) -> Sp
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and stream state.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a session running in
-    one process on one machine may fall back to a local folder.
+    The cluster names it in ``spark.checkpoint.dir`` or has set it on the context. Only a
+    session running in one process on one machine may fall back to a local folder, which
+    goes when the process ends.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
     folder = tempfile.mkdtemp(prefix="candlewick-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint()`` usable without overriding the cluster's choice."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever store it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Write a small table that later steps read repeatedly to shared storage.
 
-    Cuts the lineage: lost executors re-read the files instead of recomputing.
+    Cuts the lineage: lost executors re-read the files instead of recomputing. As parquet
+    the table keeps its columns, so later scans prune and have sizes to plan with.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -9,19 +9,24 @@ from pyspark.sql import functions as F
 
 from candlewick.functions.columns import trade_signal
 from candlewick.operators.series import RN, Recurrence, blocked, recurrences, share_blocks
-from candlewick.session import checkpoint_root
+from candlewick.session import checkpoint_root, remove
 
 TICK_SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 )
 
 
-def tick_stream(spark: SparkSession, folder: str, glob: str, files: int | None = None) -> DataFrame:
-    """Ticks of the files in ``folder`` that match ``glob``, as they arrive."""
-    reader = spark.readStream.schema(TICK_SCHEMA).option("pathGlobFilter", glob)
+def tick_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """Ticks of a table as they arrive: a folder of parts, or one file."""
+    reader = spark.readStream.schema(TICK_SCHEMA)
     if files:
         reader = reader.option("maxFilesPerTrigger", files)
-    return reader.parquet(folder).select(
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(target) and store.getFileStatus(target).isFile():
+        # A stream wants a folder or a pattern; this pattern names the one file.
+        path = f"{path[:-1]}[{path[-1]}]"
+    return reader.parquet(path).select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_type").alias("symbol"),
@@ -58,8 +63,11 @@ def stream_bars(ticks: DataFrame, folder: str, late: str = "10 minutes") -> Data
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/bars/batch={number}")
 
+    # Without any tick there is no batch; the empty table is there all the same.
+    spark = ticks.sparkSession
+    spark.createDataFrame([], bars.schema).write.mode("overwrite").parquet(f"{folder}/bars/batch=-1")
     _run(bars.writeStream.outputMode("update"), write, folder)
-    versions = ticks.sparkSession.read.parquet(f"{folder}/bars")
+    versions = spark.read.parquet(f"{folder}/bars")
     fields = ["open", "high", "low", "close", "volume"]
     return (
         versions.groupBy("symbol", "d")
@@ -114,7 +122,14 @@ def stream_signals(
             "symbol", F.coalesce("now", "last").alias("last")
         )
         merged.write.mode("overwrite").parquet(f"{folder}/state/{number}")
-
+        # A repeated batch needs the state before it; older ones are done with.
+        remove(spark, f"{folder}/state/{number - 2}")
+
+    none = _advance(
+        spark.createDataFrame([], ticks.schema), spark.createDataFrame([], "symbol string, last double"),
+        decay, block_rows,
+    ).withColumn("signal", trade_signal(F.col("forecast"), buy_at, sell_at))
+    none.write.mode("overwrite").parquet(f"{folder}/signals/batch=-1")
     _run(ticks.writeStream.outputMode("append"), write, folder)
     return spark.read.parquet(f"{folder}/signals")
 

@@ -201,3 +201,57 @@ def test_worker_functions_carry_their_code():
 
     sent = dumps(regress.solve_scaled)
     assert b"lstsq" in sent and len(sent) > 300
+
+
+def _bars(spark, columns):
+    import datetime as dt
+
+    names = list(columns)
+    rows = [
+        ("s", dt.date(2020, 1, 1) + dt.timedelta(days=i), *map(float, values))
+        for i, values in enumerate(zip(*columns.values()))
+    ]
+    return spark.createDataFrame(rows, "symbol string, d date, " + ", ".join(f"{n} double" for n in names))
+
+
+def test_vif_does_not_depend_on_scale(spark):
+    from candlewick.operators import regress
+
+    rng = np.random.default_rng(3)
+    low = rng.normal(1, 1e-3, 300)
+    high = low + rng.normal(0, 1e-3, 300)
+    big = rng.normal(5e10, 1e10, 300)
+    out = {r.feature: r.vif for r in regress.vif(_bars(spark, {"a": low, "b": high, "c": big}), ["a", "b", "c"]).collect()}
+    unit = np.corrcoef([low, high, big])
+    np.testing.assert_allclose([out["a"], out["b"], out["c"]], np.diag(np.linalg.inv(unit)), rtol=1e-5)
+
+
+def test_unit_root_test_equals_direct_least_squares(spark):
+    from candlewick.operators import regress
+
+    rng = np.random.default_rng(4)
+    y = 1e6 + np.cumsum(rng.normal(size=250))
+    row = regress.adf(_bars(spark, {"close": y}), "close").first()
+    top = int(np.ceil(12 * (250 / 100) ** 0.25))
+    dy, best = np.diff(y), None
+    for lags in range(top + 1):
+        rows = range(top, len(dy))
+        x = np.array([[1, y[i] - 1e6, *dy[i - lags : i][::-1]] for i in rows])
+        t = dy[top:]
+        beta, *_ = np.linalg.lstsq(x, t, rcond=None)
+        sse = ((t - x @ beta) ** 2).sum()
+        aic = len(t) * np.log(sse / len(t)) + 2 * x.shape[1]
+        if best is None or aic < best[0]:
+            var = sse / (len(t) - x.shape[1]) * np.linalg.inv(x.T @ x)[1, 1]
+            best = aic, lags, beta[1] / np.sqrt(var)
+    assert row.used_lags == best[1]
+    assert row.adf_stat == pytest.approx(best[2], rel=1e-4)
+
+
+def test_exponential_mean_names_a_null(spark, closes):
+    from candlewick.operators import indicators
+    from candlewick.operators.series import whole
+
+    s = whole(closes(a=[10, None, 10]))
+    with pytest.raises(Exception, match="NULL in close"):
+        indicators.emas(s, {"e": ("close", 3)}).rows().collect()

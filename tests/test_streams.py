@@ -25,7 +25,7 @@ def folder(spark, tmp_path):
 
 def test_stream_bars_equal_batch(spark, folder):
     root, df = folder
-    ticks = live.tick_stream(spark, f"{root}/ticks", "*.parquet", files=1)
+    ticks = live.tick_stream(spark, f"{root}/ticks", files=1)
     got = live.stream_bars(ticks, f"{root}/work", late="10 days").toPandas()
     want = df.toPandas()
     want["d"] = want.ts.dt.date
@@ -38,7 +38,7 @@ def test_stream_bars_equal_batch(spark, folder):
 
 def test_stream_signal_equals_batch_mean(spark, folder):
     root, df = folder
-    ticks = live.tick_stream(spark, f"{root}/ticks", "*.parquet", files=1)
+    ticks = live.tick_stream(spark, f"{root}/ticks", files=1)
     out = live.stream_signals(ticks, f"{root}/work", 30.0, 50.0, span=5, block_rows=256).toPandas()
     assert out.batch.nunique() == 4 and len(out) == 400
     for symbol, g in df.toPandas().groupby("event_type"):
@@ -47,3 +47,26 @@ def test_stream_signal_equals_batch_mean(spark, folder):
         np.testing.assert_allclose(mine.forecast, want.sort_index(), rtol=1e-12)
         assert set(mine.signal[mine.forecast <= 30]) <= {"buy"}
         assert set(mine.signal[mine.forecast >= 50]) <= {"sell"}
+
+
+def test_one_file_a_folder_and_no_ticks(spark, folder, tmp_path):
+    root, df = folder
+    df.coalesce(1).write.parquet(f"{root}/single")
+    part = next((tmp_path / "single").glob("*.parquet"))
+    part.rename(tmp_path / "events.parquet")
+    schema_only = df.limit(0)
+    schema_only.write.parquet(f"{root}/none")
+    bars = {}
+    for name in ("ticks", "events.parquet", "none"):
+        ticks = live.tick_stream(spark, f"{root}/{name}")
+        bars[name] = sorted(map(tuple, live.stream_bars(ticks, f"{root}/b-{name}", late="10 days").collect()))
+        live.stream_signals(ticks, f"{root}/s-{name}", 30.0, 50.0, span=5, block_rows=256)
+    assert bars["ticks"] == bars["events.parquet"] != []
+    assert bars["none"] == []
+    assert spark.read.parquet(f"{root}/s-none/signals").count() == 0
+
+
+def test_old_state_goes(spark, folder, tmp_path):
+    root, _ = folder
+    live.stream_signals(live.tick_stream(spark, f"{root}/ticks", files=1), f"{root}/work", 30.0, 50.0, span=5, block_rows=256)
+    assert sorted(p.name for p in (tmp_path / "work/state").iterdir() if p.is_dir()) == ["2", "3"]

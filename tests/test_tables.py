@@ -169,3 +169,16 @@ def test_scores(spark):
     num = spark.createDataFrame([(1.0, 1.0), (3.0, 2.0), (5.0, None)], "y double, p double")
     got = metrics.regression_scores(num, "y", "p").first()
     assert (got.mse, got.mae, got.r2) == (0.5, 0.5, 0.5)
+
+
+def test_label_encode_keeps_rows_without_a_label(spark):
+    df = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b")], "id int, w string")
+    out = {r.id: r.code for r in tables.label_encode(df, "w", "code").collect()}
+    assert out == {1: 1, 2: None, 3: 0, 4: 1}
+
+
+def test_label_encode_numbers_many_labels_with_one_beginning(spark):
+    names = [f"NATION {i:05d}" for i in range(3000)]
+    df = spark.createDataFrame([(n,) for n in reversed(names)], "w string")
+    out = {r.w: r.code for r in tables.label_encode(df, "w", "code").collect()}
+    assert out == {n: i for i, n in enumerate(names)}
