@@ -221,7 +221,8 @@ def psi_weights(ar: dict[int, float], ma: dict[int, float], poly: np.ndarray, n:
 def forecast(model: Fitted, horizon: int) -> DataFrame:
     """(symbol, d, step, predicted_price, lower_conf_int, upper_conf_int).
 
-    Outside columns repeat their last ``horizon`` rows as the future.
+    Outside columns repeat their last ``horizon`` rows as the future. A symbol with too few
+    rows for the order keeps its dates, with NULL forecasts.
     """
     order, poly = model.order, model.order.difference
     na, nm = len(order.ar_lags), len(order.ma_lags)
@@ -262,23 +263,35 @@ def forecast(model: Fitted, horizon: int) -> DataFrame:
             )
         return out
 
-    rows = model.coef.select("symbol", "beta", "sigma2").join(_tail(model, horizon), "symbol")
-    schema = (
-        "symbol string, d date, step int, predicted_price double, "
-        "lower_conf_int double, upper_conf_int double"
+    tail = settle(_tail(model, horizon))
+    rows = model.coef.select("symbol", "beta", "sigma2").join(tail, "symbol")
+    bounds = "predicted_price double, lower_conf_int double, upper_conf_int double"
+    ahead = per_key(rows, solve, f"symbol string, d date, step int, {bounds}").drop("d")
+    steps = F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step")
+    dates = tail.select("symbol", "last_d", steps)
+    return dates.join(ahead, ["symbol", "step"], "left").select(
+        "symbol",
+        F.date_add("last_d", F.col("step")).alias("d"),
+        "step",
+        "predicted_price",
+        "lower_conf_int",
+        "upper_conf_int",
     )
-    return per_key(rows, solve, schema)
 
 
-def backtest(df: DataFrame, order: Order, horizon: int, target: str = "close") -> DataFrame:
-    """Fit on the first 80 % of each series, forecast on, join with what happened."""
+def backtest(df: DataFrame, order: Order, target: str = "close") -> DataFrame:
+    """Fit on the first 80 % of each series and forecast all of the rest.
+
+    One row per test row, with what happened beside the forecast.
+    """
     parts = settle(chrono_split(whole(df)))
     train = parts.filter(F.col("part") == "train").drop("part")
-    ahead = forecast(fit(train, order, target), horizon)
     actual = parts.filter(F.col("part") == "test").select(
         "symbol", "d", F.col(target).alias("actual")
     )
-    return ahead.join(actual, ["symbol", "d"])
+    longest = actual.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    ahead = forecast(fit(train, order, target), longest or 1)
+    return actual.join(ahead, ["symbol", "d"], "left")
 
 
 def ar1(df: DataFrame, column: str = "close") -> DataFrame:
@@ -308,6 +321,7 @@ def ar1_in_sample(df: DataFrame, column: str = "close") -> DataFrame:
 
 # ------------------------------------------------------------------ named models
 
+# The orders and outside columns of the named models.
 EXOG = ("rsi", "upper_band", "lower_band", "volume")
 MODELS: dict[str, Order] = {
     "ARIMA": Order(1, 1, 30),
@@ -358,32 +372,40 @@ def run(bars: DataFrame, model: str = "ARIMA", horizon: int = 7) -> DataFrame:
     return forecast(fit(prepare(bars, ("close", *order.exog)), order), horizon)
 
 
-def integration_order(df: DataFrame, column: str = "close", max_d: int = 2) -> DataFrame:
-    """(symbol, order): the fewest differences, at least one, that look stationary."""
-    from candlewick.operators.regress import adf
-
-    s = whole(df.select("symbol", "d", column))
-    found: DataFrame | None = None
-    poly = np.array([1.0])
-    for n in range(1, max_d + 1):
-        poly = np.convolve(poly, [1.0, -1.0])
-        moved = s.add({"_w": _differenced(s, column, poly)}).rows()
-        test = adf(moved, "_w").select("symbol", F.when(F.col("stationary"), n).alias("order"))
-        found = test if found is None else found.unionByName(test)
-    return found.groupBy("symbol").agg(F.coalesce(F.min("order"), F.lit(max_d)).alias("order"))
+def integration_order(df: DataFrame, column: str = "close") -> DataFrame:
+    """(symbol, order): the fewest differences, at least one, that look stationary.
 
+    Differencing goes on while some series is not stationary and long enough to test. A
+    series too short for the test gets one difference.
+    """
+    from candlewick.operators.regress import adf
 
-def auto_seasonal_backtest(df: DataFrame, horizon: int, column: str = "close") -> DataFrame:
+    left, poly, n = whole(df.select("symbol", "d", column)), np.array([1.0]), 0
+    found = df.select("symbol", F.lit(None).cast("int").alias("order")).distinct()
+    while True:
+        n, poly = n + 1, np.convolve(poly, [1.0, -1.0])
+        moved = left.add({"_w": _differenced(left, column, poly)}).rows()
+        test = settle(adf(moved, "_w").select("symbol", "stationary"))
+        found = found.unionByName(test.filter("stationary").select("symbol", F.lit(n).alias("order")))
+        open_ = test.filter("NOT stationary").select("symbol")
+        if open_.isEmpty():
+            break
+        left = whole(df.select("symbol", "d", column).join(open_, "symbol", "left_semi"))
+    return found.groupBy("symbol").agg(F.coalesce(F.min("order"), F.lit(1)).alias("order"))
+
+
+def auto_seasonal_backtest(df: DataFrame, column: str = "close") -> DataFrame:
     """Backtest of (5, d, 3)(1, 1, 1, 7) with each symbol's own d.
 
-    Symbols sharing an order are fitted together: one job per order, not per symbol.
+    Symbols sharing an order are fitted together: one job per order that occurs.
     """
     df = settle(df)
     orders = settle(integration_order(df, column))
     out: DataFrame | None = None
-    for d in (1, 2):
+    for (d,) in sorted(map(tuple, orders.select("order").distinct().collect())):
         group = df.join(orders.filter(F.col("order") == d).select("symbol"), "symbol", "left_semi")
-        part = backtest(group, Order(5, d, 3, 1, 1, 1, 7), horizon, column)
-        part = part.withColumn("order", F.lit(d))
+        part = backtest(group, Order(5, d, 3, 1, 1, 1, 7), column).withColumn("order", F.lit(d))
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        return backtest(df, Order(5, 1, 3, 1, 1, 1, 7), column).withColumn("order", F.lit(1))
     return out

@@ -262,7 +262,7 @@ def forecast_ar1(spark, root):
 @query("ar_backtest")
 def ar_backtest(spark, root):
     grid = bar_ops.filled_grid(views.bars(spark, root), ["close"])
-    scored = fc.backtest(grid, fc.Order(5, 1, 0), 30)
+    scored = fc.backtest(grid, fc.Order(5, 1, 0))
     return metrics.regression_scores(scored, "actual", "predicted_price", ["symbol"])
 
 
@@ -289,7 +289,19 @@ def forecast_sarimax(spark, root):
 @query("seasonal_backtest")
 def seasonal_backtest(spark, root):
     grid = bar_ops.filled_grid(views.bars(spark, root), ["close"])
-    return fc.auto_seasonal_backtest(grid, 30)
+    return fc.auto_seasonal_backtest(grid)
+
+
+@query(
+    "backtest_rows",
+    f"""WITH {BARS} SELECT symbol, CAST(ceil(CAST(0.2 AS DECIMAL(10,1)) * (max(d) - min(d) + 1)) AS BIGINT) AS n
+    FROM bars GROUP BY 1""",
+)
+def backtest_rows(spark, root):
+    """Every row of the test part has a forecast."""
+    grid = bar_ops.filled_grid(views.bars(spark, root), ["close"])
+    scored = fc.backtest(grid, fc.Order(1, 1, 0)).filter("predicted_price IS NOT NULL")
+    return scored.groupBy("symbol").agg(F.count("actual").alias("n"))
 
 
 def _list(values) -> str:
