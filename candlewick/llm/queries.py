@@ -63,7 +63,50 @@ QUALITY_COLUMNS = (
 )
 
 
-@query("op4_quality_rules")
+def _quality_sql() -> str:
+    """The same measures and rules for DuckDB, windows and lines unnested."""
+    stops = ", ".join(f"'{w}'" for w in sorted({w for v in quality.STOP_WORDS.values() for w in v.split()}))
+    blank = " || ".join(f"chr({c})" for c in (9, 11, 12, 13))
+    bounds = []
+    for rule in quality.RULES:
+        if rule.low is not None:
+            bounds.append(f"{rule.measure} >= {rule.low}::DOUBLE")
+        if rule.high is not None:
+            bounds.append(f"{rule.measure} <= {rule.high}::DOUBLE")
+
+    def share(count: str, whole: str = "n_words") -> str:
+        return f"CASE WHEN {whole} > 0 THEN {count}::DOUBLE / {whole} ELSE 0 END"
+
+    return f"""WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (
+  SELECT r, doc_id, t, list_filter(string_split(translate(t, chr(10) || {blank}, '     '), ' '), lambda x: x <> '') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: translate(x, ' ' || {blank}, '') <> '') AS lines FROM d),
+g AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) > 2),
+h AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM g),
+c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM h WHERE n > 1) GROUP BY 1),
+m AS (
+  SELECT doc_id, len(w) AS n_words, length(translate(t, ' ' || chr(10) || {blank}, '')) AS word_chars,
+    length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+    length(t) - length(translate(t, '!?', '')) AS marks, len(lines) AS n_lines,
+    len(list_filter(w, lambda x: lower(x) IN ({stops}))) AS stops,
+    len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) AS lettered,
+    len(list_filter(lines, lambda x: regexp_matches(ltrim(x), '^[-*•]'))) AS bullets,
+    len(list_filter(lines, lambda x: regexp_matches(rtrim(x), '(…|\\.\\.\\.)$'))) AS cut
+  FROM w LEFT JOIN c USING (r)),
+s AS (
+  SELECT *, {share("n_repeat_words")} AS repeat_share, {share("word_chars")} AS mean_word_chars,
+    {share("n_symbols")} AS symbol_share, {share("marks")} AS mark_share, {share("stops")} AS stop_share,
+    {share("lettered")} AS letter_share, {share("n_dup_lines", "n_lines")} AS dup_line_share,
+    {share("bullets", "n_lines")} AS bullet_share, {share("cut", "n_lines")} AS ellipsis_share,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND {" AND ".join(bounds)} AS kept FROM s"""
+
+
+@query("op4_quality_rules", _quality_sql())
 def op4(spark: SparkSession, root: str) -> DataFrame:
     judged = quality.judge(documents(spark, root).select("doc_id", "text"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
