@@ -161,7 +161,7 @@ def linear_value(features: Sequence[str]) -> Column:
 def predict(df: DataFrame, fit: DataFrame, features: Sequence[str]) -> DataFrame:
     """Add ``predicted`` from each symbol's own coefficients."""
     return (
-        df.join(fit.select("symbol", "intercept", "coef"), "symbol")
+        df.join(fit.select("symbol", "intercept", "coef"), "symbol", "left")
         .withColumn("predicted", linear_value(features))
         .drop("intercept", "coef")
     )

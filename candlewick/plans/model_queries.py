@@ -159,22 +159,43 @@ def poly(spark, root):
     return metrics.regression_scores(test, "close", "predicted", ["symbol"])
 
 
+def _coded(spark, root):
+    """Features with the symbol as one of them, so that a tree can part the symbols first."""
+    coded = tables.label_encode(_features(spark, root), "symbol", "symbol_code")
+    return coded.withColumn("symbol_code", F.col("symbol_code").cast("double"))
+
+
+CODED = ["symbol_code", *LAGGED]
+
+
 @query("tree")
 def tree(spark, root):
-    scored, _ = models.tree_regression(_features(spark, root), LAGGED, "close", "tree")
+    scored, _ = models.tree_regression(_coded(spark, root), CODED, "close", "tree")
     test = scored.filter(F.col("part") == "test")
     return metrics.regression_scores(test, "close", "predicted", ["symbol"])
 
 
 @query("forest")
 def forest(spark, root):
-    _, importance = models.tree_regression(_features(spark, root), LAGGED, "close", "forest")
+    _, importance = models.tree_regression(_coded(spark, root), CODED, "close", "forest")
+    return importance
+
+
+@query("forest_scored")
+def forest_scored(spark, root):
+    scored, _ = models.tree_regression(_coded(spark, root), CODED, "close", "forest")
+    return scored.select(*KEY, "part", "close", "predicted")
+
+
+@query("gbt_importance")
+def gbt_importance(spark, root):
+    _, importance = models.tree_regression(_coded(spark, root), CODED, "close", "gbt")
     return importance
 
 
 @query("gbt")
 def gbt(spark, root):
-    scored, _ = models.tree_regression(_features(spark, root), LAGGED, "close", "gbt")
+    scored, _ = models.tree_regression(_coded(spark, root), CODED, "close", "gbt")
     test = scored.filter(F.col("part") == "test")
     return metrics.regression_scores(test, "close", "predicted", ["symbol"])
 
@@ -187,6 +208,14 @@ def risk_forest(spark, root):
     return scored
 
 
+@query("risk_importance")
+def risk_importance(spark, root):
+    _, importance = models.risk_forest(
+        risk_table(spark, root), ["age", "balance", "volume"], ["country", "job_title"], "risk_level"
+    )
+    return importance
+
+
 @query("sentiment_model")
 def sentiment_model(spark, root):
     docs = views.news(spark, root).select("doc_id", "text")

@@ -190,8 +190,13 @@ def test_trend_and_trees(spark):
     out, weight = models.tree_regression(df, ["x", "z"], "y", "tree")
     assert out.filter(F.abs(F.col("predicted") - F.col("y")) > 1e-6).count() == 0
     assert weight.orderBy(F.desc("importance")).first().feature == "x"
-    poly = models.polynomial(df.withColumn("y", F.col("x") * F.col("x")), ["x"], "y")
+    sign = F.when(F.col("id") % 2 == 0, 1.0).otherwise(-3.0)
+    two = df.withColumn("symbol", (F.col("id") % 2).cast("string")).withColumn("y", sign * F.col("x") * F.col("x"))
+    poly = models.polynomial(two, ["x"], "y")
     assert poly.filter(F.abs(F.col("predicted") - F.col("y")) > 1e-6).count() == 0
+    gaps = df.withColumn("x", F.when(F.col("id") != 5, F.col("x")))
+    kept = {r.id: r.predicted for r in models.tree_regression(gaps, ["x", "z"], "y", "tree")[0].collect()}
+    assert len(kept) == 200 and kept[5] is None and kept[6] is not None
     with pytest.raises(ValueError):
         models.tree_regression(df, ["x"], "y", "stump")
 
@@ -255,3 +260,20 @@ def test_exponential_mean_names_a_null(spark, closes):
     s = whole(closes(a=[10, None, 10]))
     with pytest.raises(Exception, match="NULL in close"):
         indicators.emas(s, {"e": ("close", 3)}).rows().collect()
+
+
+def test_short_series_keep_their_dates(spark):
+    y = np.cumsum(RNG.normal(size=300)) + 50
+    df = table(spark, {"long": {"close": y}, "short": {"close": y[:6]}})
+    out = fc.forecast(fc.fit(df, fc.Order(8, 1, 0)), 3).collect()
+    assert {(r.symbol, r.step, r.predicted_price is None) for r in out} == {
+        (s, i, s == "short") for s in ("long", "short") for i in (1, 2, 3)
+    }
+
+
+def test_backtest_covers_the_whole_test_part(spark):
+    y = np.cumsum(RNG.normal(size=300)) + 50
+    df = table(spark, {"a": {"close": y}, "b": {"close": y[:120]}})
+    out = fc.backtest(df, fc.Order(1, 1, 0)).toPandas()
+    assert out.groupby("symbol").size().to_dict() == {"a": 60, "b": 24}
+    assert out.predicted_price.notna().all()
