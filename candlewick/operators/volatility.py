@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +27,27 @@ def ewma_volatility(s: Series, column: str = "close", lam: float = LAMBDA) -> Da
     return s.rows("_r", "_v").filter(F.col("ewma_vol").isNotNull())
 
 
-ALPHAS = (0.02, 0.05, 0.08, 0.12, 0.16, 0.2, 0.25, 0.3)
+ALPHAS = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5)
 BETAS = (0.1, 0.3, 0.5, 0.6, 0.7, 0.76, 0.8, 0.84, 0.88, 0.91, 0.94, 0.97)
-FINE_ALPHA = (-0.02, -0.01, 0.0, 0.01, 0.02)
-FINE_BETA = (-0.03, -0.015, 0.0, 0.015, 0.03)
+ALPHA_RANGE, BETA_RANGE = (0.005, 0.5), (0.05, 0.985)
 PERSISTENCE = 0.995
+AROUND = (-2, -1, 0, 1, 2)
+PASSES = 7  # the widest first step of 0.1 ends below 0.001
+
+
+def first_steps(points: tuple[float, ...]) -> dict[float, float]:
+    """Half the wider gap beside each coarse point: two steps reach both neighbours."""
+    gaps = [b - a for a, b in zip(points, points[1:])]
+    return {
+        p: round(max(gaps[max(i - 1, 0)], gaps[min(i, len(gaps) - 1)]) / 2, 6)
+        for i, p in enumerate(points)
+    }
+
+
+def step_sql(column: str, points: tuple[float, ...]) -> str:
+    """The first step of a coarse point, in words both engines read."""
+    cases = " ".join(f"WHEN {column} < {p + 0.001!r} THEN {s!r}" for p, s in first_steps(points).items())
+    return f"CAST(CASE {cases} END AS DOUBLE)"
 
 
 def _variance(alpha: str, beta: str, i: int) -> str:
@@ -49,12 +67,13 @@ def _nll(h: str) -> str:
 
 
 def garch_fit(residuals: DataFrame, value: str = "resid") -> DataFrame:
-    """GARCH(1,1) per symbol by quasi-likelihood on two grids.
+    """GARCH(1,1) per symbol by quasi-likelihood on ever finer grids.
 
     ``residuals``: (symbol, d, value) with one row per day. The coarse grid is
     evaluated without multiplying rows: twelve decay recurrences share two sorts
-    and one aggregate holds a likelihood per (alpha, beta). The finer grid around
-    each symbol's best point works the same way with per-symbol decays.
+    and one aggregate holds a likelihood per (alpha, beta). Each pass then looks two
+    steps around every symbol's best point, with per-symbol decays, and halves the
+    step, so neighbouring passes overlap and no part of the range is left out.
     """
     residuals = settle(residuals.select("symbol", "d", value))
     stats = residuals.groupBy("symbol").agg(
@@ -64,6 +83,8 @@ def garch_fit(residuals: DataFrame, value: str = "resid") -> DataFrame:
     base = base.withColumn("r2", F.pow(F.col(value) - F.col("mu"), 2))
     s = whole(base.select("symbol", "d", "r2", "var", "mu"))
     s = s.add({"_p2": F.coalesce(ind.lag(s, "r2"), F.lit(0.0))})
+    s = replace(s, df=settle(s.df))
+    plain = s.df
     s = recurrences(s, [Recurrence(f"_s{i}", F.col("_p2"), b) for i, b in enumerate(BETAS)])
     s = s.add({f"_f{i}": F.pow(F.lit(b), F.col(RN)) for i, b in enumerate(BETAS)})
     points = [
@@ -74,19 +95,36 @@ def garch_fit(residuals: DataFrame, value: str = "resid") -> DataFrame:
         for a, b, i in points
     )
     costs = s.df.groupBy("symbol").agg(F.expr(f"array_min(array({cells}))").alias("p"))
-    coarse = costs.select(
-        "symbol", F.col("p.alpha").alias("a0"), F.col("p.beta").alias("b0")
+    best = costs.select(
+        "symbol",
+        F.col("p.alpha").alias("a0"),
+        F.col("p.beta").alias("b0"),
+        F.expr(step_sql("p.alpha", ALPHAS)).alias("sa"),
+        F.expr(step_sql("p.beta", BETAS)).alias("sb"),
     )
-    return _refine(s, coarse)
+    for number in range(PASSES):
+        centre = settle(best)
+        fit = _refine(plain, centre)
+        if number == PASSES - 1:
+            return fit
+        best = fit.join(centre, "symbol").select(
+            "symbol",
+            F.col("alpha").alias("a0"),
+            F.col("beta").alias("b0"),
+            (F.col("sa") / 2).alias("sa"),
+            (F.col("sb") / 2).alias("sb"),
+        )
+
 
+def _clamped(centre: str, step: str, k: int, bounds: tuple[float, float]) -> Column:
+    value = F.col(centre) + k * F.col(step)
+    return F.least(F.greatest(value, F.lit(bounds[0])), F.lit(bounds[1]))
 
-def _refine(s: Series, coarse: DataFrame) -> DataFrame:
+
+def _refine(rows: DataFrame, centre: DataFrame) -> DataFrame:
     """Local grid around (a0, b0), with each symbol's own decay and block length."""
-    spent = [f"_{x}{i}" for x in "sf" for i in range(len(BETAS))]
-    df = s.df.drop(*spent).join(coarse, "symbol")
-    betas = [
-        F.least(F.greatest(F.col("b0") + x, F.lit(0.05)), F.lit(0.985)) for x in FINE_BETA
-    ]
+    df = rows.join(centre, "symbol")
+    betas = [_clamped("b0", "sb", k, BETA_RANGE) for k in AROUND]
     # The fastest and slowest decay of one local grid differ too little to
     # overflow, so the slowest sets one block length per symbol.
     length = F.ceil(F.lit(41.45) / -F.log(betas[-1])).cast("long")
@@ -101,12 +139,11 @@ def _refine(s: Series, coarse: DataFrame) -> DataFrame:
     df = scan(df, {f"_s{i}": (F.col("_p2"), F.col(f"_b{i}")) for i in range(len(betas))})
     df = df.withColumns(
         {f"_f{i}": F.pow(F.col(f"_b{i}"), F.col(RN)) for i in range(len(betas))}
-        | {f"_a{j}": F.least(F.greatest(F.col("a0") + x, F.lit(0.005)), F.lit(0.5))
-           for j, x in enumerate(FINE_ALPHA)}
+        | {f"_a{j}": _clamped("a0", "sa", k, ALPHA_RANGE) for j, k in enumerate(AROUND)}
     )
     cells = []
     for i in range(len(betas)):
-        for j in range(len(FINE_ALPHA)):
+        for j in range(len(AROUND)):
             a, b = f"_a{j}", f"_b{i}"
             h = _variance(a, b, i)
             cells.append(
@@ -175,6 +212,26 @@ def garch_path(fit: DataFrame, horizon: int) -> DataFrame:
     )
 
 
+def garch_history(bars: DataFrame) -> DataFrame:
+    """(symbol, d, mean, variance): what the fitted model says of every past day."""
+    s = whole(bars.select("symbol", "d", "close"))
+    s = s.add({"resid": ind.pct_change(s, "close")})
+    ret = settle(s.rows().filter(F.col("resid").isNotNull()).select("symbol", "d", "resid"))
+    fit = settle(garch_fit(ret).select("symbol", "mu", "var", "alpha", "beta"))
+    s = whole(ret.join(fit, "symbol"))
+    s = s.add({"_r2": F.pow(F.col("resid") - F.col("mu"), 2)})
+    s = s.add({"_p2": F.coalesce(ind.lag(s, "_r2"), F.lit(0.0))})
+    length = F.greatest(F.ceil(F.lit(41.45) / -F.log("beta")), F.lit(2)).cast("long")
+    df = s.df.withColumn("_len", length).withColumns(
+        {"_c": F.floor(F.col(RN) / F.col("_len")), "_p": F.col(RN) % F.col("_len")}
+    )
+    df = scan(df, {"_s0": (F.col("_p2"), F.col("beta"))})
+    df = df.withColumn("_f0", F.pow(F.col("beta"), F.col(RN)))
+    return df.select(
+        "symbol", "d", F.col("mu").alias("mean"), F.expr(_variance("alpha", "beta", 0)).alias("variance")
+    )
+
+
 def garch_forecast(bars: DataFrame, horizon: int = 7) -> DataFrame:
     """Price path from a constant-mean GARCH model of daily returns.
 

@@ -12,11 +12,15 @@ from candlewick.operators.series import whole
 from candlewick.operators.volatility import (
     ALPHAS,
     BETAS,
-    FINE_ALPHA,
-    FINE_BETA,
+    ALPHA_RANGE,
+    AROUND,
+    BETA_RANGE,
+    PASSES,
     PERSISTENCE,
     garch_fit,
     garch_forecast,
+    garch_history,
+    step_sql,
 )
 from candlewick.plans.registry import BARS, NUM, query, snapped, sql_columns
 from candlewick.plans.series_queries import W, full, rows
@@ -351,18 +355,35 @@ def _likelihood(name: str, grid: str, on: str) -> str:
       FROM {name} JOIN st USING (symbol) WHERE rn = n - 1 GROUP BY 1)"""
 
 
-GARCH = f"""{NUM}, ret AS MATERIALIZED (SELECT symbol, rn - 1 AS rn, x AS r
+def _passes() -> str:
+    """The fit's passes: a local grid around the last best point, its step halved each time."""
+    low_a, top_a = ALPHA_RANGE
+    low_b, top_b = BETA_RANGE
+    steps = ", ".join(f"({k})" for k in AROUND)
+    parts, last = [], "coarse"
+    for n in range(PASSES):
+        scale = f"power(0.5::DOUBLE, {n})"
+        parts.append(
+            f"""near{n} AS MATERIALIZED (SELECT symbol, a, b FROM (
+              SELECT c.symbol, least(greatest(c.a + x.k * f.sa * {scale}, {low_a}::DOUBLE), {top_a}::DOUBLE) AS a,
+                least(greatest(c.b + y.k * f.sb * {scale}, {low_b}::DOUBLE), {top_b}::DOUBLE) AS b
+              FROM best_{last} c JOIN first_step f USING (symbol), (VALUES {steps}) x(k), (VALUES {steps}) y(k))
+              WHERE a + b <= {PERSISTENCE}),
+            {_likelihood(f"pass{n}", f"near{n}", "g.symbol = z.symbol")}"""
+        )
+        last = f"pass{n}"
+    return ", ".join(parts) + f", best AS (SELECT * FROM best_{last})"
+
+
+GARCH = f"""{NUM}, ret AS MATERIALIZED (SELECT symbol, d, rn - 1 AS rn, x AS r
   FROM (SELECT *, close / lag(close) {W} - 1 AS x FROM num) WHERE rn > 0),
 st AS MATERIALIZED (SELECT symbol, avg(r) AS mu, var_pop(r) AS var, count(*) AS n FROM ret GROUP BY 1),
-z AS MATERIALIZED (SELECT symbol, rn, var, r2, coalesce(lag(r2) OVER (PARTITION BY symbol ORDER BY rn), 0) AS p2
-  FROM (SELECT symbol, rn, var, pow(r - mu, 2) AS r2 FROM ret JOIN st USING (symbol))),
+z AS MATERIALIZED (SELECT symbol, d, rn, var, r2, coalesce(lag(r2) OVER (PARTITION BY symbol ORDER BY rn), 0) AS p2
+  FROM (SELECT symbol, d, rn, var, pow(r - mu, 2) AS r2 FROM ret JOIN st USING (symbol))),
 grid AS (SELECT a, b FROM {_list(ALPHAS)} AS a), {_list(BETAS)} AS b) WHERE a + b <= {PERSISTENCE}),
 {_likelihood("coarse", "grid", "true")},
-near AS MATERIALIZED (SELECT symbol, least(greatest(a + x, 0.005::DOUBLE), 0.5::DOUBLE) AS a,
-    least(greatest(b + y, 0.05::DOUBLE), 0.985::DOUBLE) AS b
-  FROM best_coarse, {_list(FINE_ALPHA)} AS x), {_list(FINE_BETA)} AS y)),
-ok AS (SELECT * FROM near WHERE a + b <= {PERSISTENCE}),
-{_likelihood("fine", "ok", "g.symbol = z.symbol")}"""
+first_step AS MATERIALIZED (SELECT symbol, {step_sql("a", ALPHAS)} AS sa, {step_sql("b", BETAS)} AS sb FROM best_coarse),
+{_passes()}"""
 
 
 @query(
@@ -370,7 +391,7 @@ ok AS (SELECT * FROM near WHERE a + b <= {PERSISTENCE}),
     f"""WITH RECURSIVE {GARCH} SELECT symbol, n, {sql_columns({
         "mu": "mu", "var": "var", "alpha": "a", "beta": "b", "omega": "(1 - a - b) * var",
         "h_last": "h", "r2_last": "r2"})}
-    FROM best_fine JOIN st USING (symbol) JOIN (SELECT symbol, arg_max(r2, rn) AS r2 FROM z GROUP BY 1) USING (symbol)""",
+    FROM best JOIN st USING (symbol) JOIN (SELECT symbol, arg_max(r2, rn) AS r2 FROM z GROUP BY 1) USING (symbol)""",
 )
 def garch(spark, root):
     s = whole(views.bars(spark, root))
@@ -379,9 +400,30 @@ def garch(spark, root):
     return snapped(fit, ["symbol", "n"])
 
 
-@query("garch_forecast")
+@query(
+    "garch_forecast",
+    f"""WITH RECURSIVE {GARCH}, last AS (SELECT symbol, max(d) AS d, arg_max(close, d) AS price FROM bars GROUP BY 1),
+    h1 AS (SELECT symbol, mu, var, a, b, (1 - a - b) * var + a * r2 + b * h AS h1
+      FROM best JOIN st USING (symbol) JOIN (SELECT symbol, arg_max(r2, rn) AS r2 FROM z GROUP BY 1) USING (symbol))
+    SELECT symbol, CAST(d + step AS DATE) AS d, step, {sql_columns({
+        "predicted_price": "price * (1 + mu)", "volatility": "sqrt(var + power(a + b, step - 1) * (h1 - var))"})}
+    FROM h1 JOIN last USING (symbol), (SELECT CAST(unnest(range(1, 8)) AS INT) AS step)""",
+)
 def garch_forecast_query(spark, root):
-    return garch_forecast(views.bars(spark, root), 7)
+    return snapped(garch_forecast(views.bars(spark, root), 7), [*KEY, "step"])
+
+
+@query(
+    "garch_history",
+    f"""WITH RECURSIVE {GARCH}, path AS (
+      SELECT z.symbol, z.d, z.rn, z.var AS h FROM z WHERE rn = 0
+      UNION ALL
+      SELECT z.symbol, z.d, z.rn, (1 - a - b) * z.var + a * z.p2 + b * p.h
+      FROM path p JOIN z ON z.symbol = p.symbol AND z.rn = p.rn + 1 JOIN best g ON g.symbol = z.symbol)
+    SELECT symbol, d, {sql_columns({"mean": "mu", "variance": "path.h"})} FROM path JOIN st USING (symbol)""",
+)
+def garch_history_query(spark, root):
+    return snapped(garch_history(views.bars(spark, root)), KEY)
 
 
 @query("forecast_garch_band")

@@ -160,6 +160,28 @@ def test_garch(spark):
         assert row.variance == pytest.approx(next(f.var for f in fits if f.symbol == row.symbol), rel=0.05)
 
 
+def test_garch_search_has_no_holes(spark):
+    """The fit's likelihood is that of a dense search, also off the coarse grid."""
+    true = {"a": (0.3, 0.4), "b": (0.4, 0.2), "c": (0.05, 0.93)}
+    r = {k: simulate_garch(1500, 0.05, a, b) for k, (a, b) in true.items()}
+    fits = {f.symbol: f for f in garch_fit(table(spark, {k: {"resid": v} for k, v in r.items()})).collect()}
+
+    def cost(x, alpha, beta):
+        r2, var = (x - x.mean()) ** 2, x.var()
+        h, total = var, np.log(var) + r2[0] / var
+        for i in range(1, len(x)):
+            h = (1 - alpha - beta) * var + alpha * r2[i - 1] + beta * h
+            total = total + np.log(h) + r2[i] / h
+        return total
+
+    alphas = np.linspace(0.005, 0.5, 60)[:, None]
+    betas = np.linspace(0.05, 0.985, 110)[None, :]
+    for k, x in r.items():
+        with np.errstate(invalid="ignore", divide="ignore"):
+            dense = np.where(alphas + betas <= 0.995, cost(x, alphas, betas), np.inf).min()
+        assert cost(x, fits[k].alpha, fits[k].beta) <= dense + 0.05
+
+
 def test_ewma(spark):
     y = np.exp(np.cumsum(RNG.normal(0, 0.02, 900)))
     out = ewma_volatility(whole(table(spark, {"s": {"close": y}}))).orderBy("d").toPandas()
