@@ -95,6 +95,46 @@ def ols_multi(spark, root):
     return metrics.regression_scores(scored, "close", "predicted", ["symbol"])
 
 
+def _leaning(scored, features):
+    """How far the residuals of a least-squares fit lean on each feature: 0 if it is right.
+
+    Measured against the spread of the target, since a perfect fit leaves rounding only.
+    """
+    e = F.col("close") - F.col("predicted")
+    sums = scored.groupBy("symbol").agg(
+        (F.var_pop("close") * F.count("close")).alias("_yy"),
+        *[F.sum(e * F.col(f)).alias(f"_ex_{f}") for f in features],
+        *[F.sum(F.col(f) * F.col(f)).alias(f"_xx_{f}") for f in features],
+    )
+    rows = [
+        F.struct(
+            F.lit(f).alias("feature"),
+            (F.col(f"_ex_{f}") / F.sqrt(F.col("_yy") * F.col(f"_xx_{f}"))).alias("lean"),
+        )
+        for f in features
+    ]
+    out = sums.select("symbol", F.inline(F.array(*rows)))
+    return out.select("symbol", "feature", (F.round("lean", 5) + F.lit(0.0)).alias("lean"))
+
+
+def _upright(features) -> str:
+    listed = ", ".join(f"'{f}'" for f in features)
+    return f"""WITH {BARS} SELECT DISTINCT symbol, feature, CAST(0 AS DOUBLE) AS lean
+    FROM bars, (SELECT unnest([{listed}]) AS feature)"""
+
+
+@query("ols_normal_equations", _upright(LAGGED))
+def ols_normal_equations(spark, root):
+    train = _features(spark, root).filter(F.col("part") == "train")
+    return _leaning(regress.predict(train, regress.ols(train, LAGGED, "close"), LAGGED), LAGGED)
+
+
+@query("trend_normal_equations", _upright(regress.TREND_FEATURES))
+def trend_normal_equations(spark, root):
+    scored, _ = regress.trend_model(views.bars(spark, root))
+    return _leaning(scored.filter(F.col("part") == "train"), regress.TREND_FEATURES)
+
+
 @query("trend_multi")
 def trend_multi(spark, root):
     scored, _ = regress.trend_model(views.bars(spark, root))
