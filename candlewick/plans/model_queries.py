@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from candlewick.functions.columns import concat_text
 from candlewick.operators import bars as bar_ops
 from candlewick.operators import forecast as fc
 from candlewick.operators import indicators as ind
@@ -22,9 +23,18 @@ from candlewick.operators.volatility import (
     garch_history,
     step_sql,
 )
-from candlewick.plans.registry import BARS, NUM, query, snapped, sql_columns
+from candlewick.plans.registry import BARS, LEXICON, NEWS, NUM, query, snapped, sql_columns
 from candlewick.plans.series_queries import W, full, rows
-from candlewick.plans.text_queries import _scores, risk_table
+from candlewick.plans.text_queries import (
+    LEMMA_SQL,
+    LEMMAS,
+    SCORES,
+    STOP_SQL,
+    STOP_WORDS,
+    _scores,
+    risk_table,
+)
+from candlewick.session import settle
 from candlewick.sources import views
 
 KEY = ["symbol", "d"]
@@ -271,6 +281,46 @@ def sentiment_model(spark, root):
     return models.sentiment_classifier(featured, "sentiment_label")
 
 
+def _news_run(spark, root):
+    """The run from raw news to scored labels: last week, cleaned, scored, featured, classified."""
+    recent = tables.recent_period(views.news(spark, root), "article_date", 7)
+    content = recent.select("doc_id", concat_text("source", "text").alias("text"))
+    cleaned = settle(text.clean(content, STOP_WORDS, LEMMAS).select("doc_id", "content"))
+    tok = settle(text.tokens(cleaned, "content"))
+    shares = ["positive_score", "negative_score", "neutral_score"]
+    featured = models.text_features(
+        cleaned.join(text.sentiment(tok, views.lexicon(tok)), "doc_id"), "content", shares
+    )
+    scored = models.sentiment_classifier(featured, "sentiment_label")
+    return scored.filter(F.col("part") == "test")
+
+
+@query("sentiment_report")
+def sentiment_report(spark, root):
+    """Precision, recall and F1 per label on the held-out part."""
+    return metrics.classification_report(_news_run(spark, root), "sentiment_label", "predicted_sentiment")
+
+
+RUN_SQL = f"""{NEWS}, raw AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM (
+    SELECT doc_id, regexp_extract_all(lower(coalesce(source, '') || '. ' || coalesce(text, '')), '\\p{{L}}+') AS w
+    FROM news WHERE article_date >= (SELECT max(article_date) FROM news) - INTERVAL 7 DAY)),
+  tok AS MATERIALIZED (SELECT doc_id, {LEMMA_SQL} AS token, pos FROM raw WHERE token NOT IN {STOP_SQL}),
+  {LEXICON},
+  scored AS (SELECT doc_id, CAST(valence AS DOUBLE) AS valence FROM tok LEFT JOIN lex USING (token)),
+  {SCORES}"""
+
+
+@query(
+    "sentiment_report_support",
+    f"""WITH {RUN_SQL} SELECT sentiment_label AS label, count(*) AS support FROM scores
+    WHERE CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 10 >= 8 GROUP BY 1""",
+)
+def sentiment_report_support(spark, root):
+    """Which held-out rows the report is over."""
+    report = metrics.classification_report(_news_run(spark, root), "sentiment_label", "predicted_sentiment")
+    return report.filter("support > 0").select("label", "support")
+
+
 # ---------------------------------------------------------------- forecasts
 
 AR1 = NUM + f""", w AS (SELECT *, close - lag(close) {W} AS w FROM num),
