@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import types
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,7 +30,7 @@ from candlewick.llm import store
 
 MARK = "▁"
 BASE = 0x9E3779B97F4A7C15
-CACHE_UNITS = 300_000
+CACHE_UNITS = 600_000
 CELLS = 1 << 20  # characters in one batch of equal-length units
 UNKNOWN_PENALTY = 10.0
 
@@ -191,6 +193,14 @@ class Codec:
         return b"".join(pieces)[1:].decode(errors="replace")
 
 
+def worker_codec(path: str) -> Codec:
+    """The codec of this Python worker: later tasks find the units of earlier ones."""
+    kept = sys.modules.setdefault("_candlewick_codecs", types.ModuleType("_candlewick_codecs"))
+    if path not in kept.__dict__:
+        kept.__dict__[path] = Codec(path)
+    return kept.__dict__[path]
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return store.documents(docs)
 
@@ -199,7 +209,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, ids): packed little-endian 32-bit ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = worker_codec(model)
         for batch in batches:
             ids = codec.encode(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
@@ -211,7 +221,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     """(doc_id, text) of packed ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = worker_codec(model)
         for batch in batches:
             texts = [codec.decode(b or b"") for b in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts)], ["doc_id", "text"])
@@ -223,7 +233,7 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """Per document: number and crc32 of its ids, digest of the decoded text, and if it equals the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = worker_codec(model)
         for batch in batches:
             texts = batch["text"].to_pylist()
             ids = codec.encode(texts)
