@@ -153,6 +153,12 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents no rule rejects, with their own columns only."""
-    clear = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", F.col("text"))
-    return judge(clear, rules).filter("kept").select("_row.*")
+    """The documents no rule rejects, with their own columns only.
+
+    The verdict decides between one row and none instead of filtering: a filter would be
+    pushed below the measures and carry all of their expressions into each other, with the
+    sort of the windows inside its own lambdas.
+    """
+    judged = judge(docs.select(F.struct(*docs.columns).alias("_row"), "text"), rules)
+    row = F.when(F.col("kept"), F.array("_row"))
+    return judged.select(F.explode(row).alias("_row")).select("_row.*")
