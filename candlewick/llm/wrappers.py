@@ -39,7 +39,7 @@ BLOCKS = set(
 VOID = set("br hr img input meta link area base col embed source track wbr param".split())
 HIDDEN = (
     "script style noscript template title textarea select button option svg math iframe "
-    "object canvas video audio head".split()
+    "object canvas video audio".split()
 )
 BOILERPLATE_TAGS = set("nav header footer aside form fieldset dialog menu".split())
 BOILERPLATE_WORDS = set(

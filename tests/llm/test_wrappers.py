@@ -42,6 +42,11 @@ def test_article_text():
     assert text == "Head & line\n\nFirst bold line\n\nSecond one <x> link\n\none\n\ntwo"
 
 
+def test_end_tags_may_be_missing():
+    text = read(None, tree("<html><head><title>T</title><meta x><body><article><p>One<p>Two<ul><li>a<li>b"))
+    assert text == "One\n\nTwo\n\na\n\nb"
+
+
 def test_template_text_outside_articles():
     pages = [f"<div>Our site</div><div><p>Story {i} is long</p></div><div id=footer>x</div>" for i in range(8)]
     trees = [tree(p) for p in pages]
