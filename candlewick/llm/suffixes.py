@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -489,12 +490,33 @@ def repeated_bytes(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
         spans: dict[tuple[int, int], list[int]] = defaultdict(list)
         for run, doc, left, right in repeats(table["run"].to_pylist(), [n[0] for n in named], span, gram):
             spans[run, doc] += left, right
+        # One value for each group of documents, not a row for each document met here.
         keys = list(spans)
+        ids = np.array([named[r][0][d] for r, d in keys], np.int64)
+        sigs = np.array([named[r][1][d] for r, d in keys], np.int64)
+        part = (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        out: dict[str, list] = {"part": [], "data": []}
+        for p in np.unique(part):
+            own = np.flatnonzero(part == p)
+            pairs = [spans[keys[i]] for i in own]
+            sizes = np.array([len(x) for x in pairs], np.uint32)
+            out["part"].append(int(p))
+            out["data"].append(pack(ids[own], sigs[own], sizes, np.array(list(chain.from_iterable(pairs)), np.uint32)))
+        return pa.table([pa.array(out["part"], pa.int32()), pa.array(out["data"], pa.binary())], names=list(out))
+
+    def gather(table: pa.Table) -> pa.Table:
+        held: dict[tuple[int, int], list[bytes]] = defaultdict(list)
+        for data in table["data"].to_pylist():
+            ids, sigs, sizes, flat = unpack(data, "i8", "i8", "u4", "u4")
+            at = 0
+            for key in zip(ids.tolist(), sigs.tolist(), sizes.tolist()):
+                held[key[:2]].append(flat[at : at + key[2]].tobytes())
+                at += key[2]
         return pa.table(
             {
-                "doc_id": pa.array([int(named[r][0][d]) for r, d in keys], pa.int64()),
-                "sig": pa.array([int(named[r][1][d]) for r, d in keys], pa.int64()),
-                "bytes": pa.array([np.array(spans[k], "<u4").tobytes() for k in keys], pa.binary()),
+                "doc_id": pa.array([k[0] for k in held], pa.int64()),
+                "sig": pa.array([k[1] for k in held], pa.int64()),
+                "bytes": pa.array([b"".join(v) for v in held.values()], pa.binary()),
             }
         )
 
@@ -504,18 +526,18 @@ def repeated_bytes(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
         .select("doc_id", "sig", "text", "spots")
         .mapInArrow(emit, "bucket int, names binary, run binary")
     )
-    merged = runs.groupBy("bucket").applyInArrow(combine, "doc_id long, sig long, bytes binary")
-    found = merged.groupBy("doc_id", "sig").agg(F.collect_list("bytes").alias("bytes"))
+    merged = runs.groupBy("bucket").applyInArrow(combine, "part int, data binary")
+    found = merged.groupBy("part").applyInArrow(gather, "doc_id long, sig long, bytes binary")
     kept = store.keep(found, "repeats")
     store.forget(spots)
     return kept
 
 
-def without(text: bytes, found: list[bytes] | None) -> tuple[bytes, int, int]:
+def without(text: bytes, found: bytes | None) -> tuple[bytes, int, int]:
     """(remaining bytes, bytes removed, maximal removed runs)."""
     if not found:
         return text, 0, 0
-    pairs = np.frombuffer(b"".join(found), "<u4").reshape(-1, 2).astype(np.int64)
+    pairs = np.frombuffer(found, "<u4").reshape(-1, 2).astype(np.int64)
     depth = np.zeros(len(text) + 1, np.int32)
     np.add.at(depth, pairs[:, 0], 1)
     np.add.at(depth, pairs[:, 1], -1)
