@@ -278,6 +278,10 @@ def repeats(runs: list[bytes], names: list[np.ndarray], span: int, gram: int) ->
     read = [read_run(r) for r in runs]
 
     def settle(group: list[tuple[bytes, list[tuple[int, int]]]]) -> Iterator[tuple[int, int, int, int]]:
+        if len(group) == 1 and len(group[0][1]) == 1:
+            run, i = group[0][1][0]
+            if read[run][2][i + 1] - read[run][2][i] == 1:
+                return  # one suffix in one document: nobody else holds its strings
         held = []
         for text, members in group:
             runs_ = np.concatenate([np.full(read[r][2][i + 1] - read[r][2][i], r) for r, i in members])
