@@ -37,9 +37,9 @@ BLOCKS = set(
     "nav header footer aside form fieldset dialog menu center".split()
 )
 VOID = set("br hr img input meta link area base col embed source track wbr param".split())
-HIDDEN = (
-    "script style noscript template title textarea select button option svg math iframe "
-    "object canvas video audio".split()
+RAW = "script style textarea title".split()  # no tags are read inside; unclosed ones hide the rest
+HIDDEN = set(
+    "noscript template select datalist button option svg math iframe object canvas video audio".split()
 )
 BOILERPLATE_TAGS = set("nav header footer aside form fieldset dialog menu".split())
 BOILERPLATE_WORDS = set(
@@ -57,7 +57,8 @@ SAME_ON = 5  # pages that must agree before a text counts as template
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<hidden>" + "|".join(HIDDEN) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</(?P=hidden)\s*>|.*\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+    r"(?:.*?</(?P=raw)(?=[\s/>])[^>]*>|.*\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>"
     r"|<[!?][^>]*>",
@@ -107,6 +108,45 @@ def label_of(name: str, rest: str) -> str:
     return " ".join([name, *sorted(words)])
 
 
+def named(token: re.Match) -> tuple[str, str, bool]:
+    """(name, attributes, end tag?) of a tag; other tokens have no name."""
+    name = (token["name"] or token["name2"] or "").lower()
+    return name, token["rest"] or token["rest2"] or "", bool(token["close"] or token["close2"])
+
+
+def hidden_spans(tags: list[tuple[str, str, bool]]) -> dict[int, int]:
+    """For the first token of each hidden element, the token up to which it hides.
+
+    Without its end tag that is the next block's tag, for an option also the next option.
+    """
+    spans: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    options: set[int] = set()
+    others: set[int] = set()
+    for i, (name, rest, closing) in enumerate(tags):
+        block = name in BLOCKS
+        if block or name in ("option", "optgroup", "select", "datalist"):
+            spans.update(dict.fromkeys(options, i))
+            options.clear()
+            opened.pop("option", None)
+        if block:
+            spans.update(dict.fromkeys(others, i))  # its end tag, if one comes, widens this
+            others.clear()
+        if name not in HIDDEN:
+            continue
+        if closing:
+            if opened.get(name):
+                first = opened[name].pop()
+                spans[first] = i
+                options.discard(first)
+                others.discard(first)
+        elif not (name in ("svg", "math") and rest.endswith("/")):
+            opened.setdefault(name, []).append(i)
+            (options if name == "option" else others).add(i)
+            spans[i] = len(tags)
+    return spans
+
+
 def parse(page: str) -> Node:
     """The tree of a page's blocks; every leaf holds one block's text."""
     root = Node("page")
@@ -128,14 +168,16 @@ def parse(page: str) -> Node:
             if own in until:
                 return
 
-    for m in TOKEN.finditer(page):
-        parts.append(page[at : m.start()])
+    tokens = list(TOKEN.finditer(page))
+    tags = list(map(named, tokens))
+    spans, until = hidden_spans(tags), -1
+    for i, (m, (name, rest, closing)) in enumerate(zip(tokens, tags)):
+        if i > until:
+            parts.append(page[at : m.start()])
         at = m.end()
-        name = (m["name"] or m["name2"] or "").lower()
-        if not name:
+        until = max(until, spans.get(i, -1))
+        if i < until or not name or name in HIDDEN:
             continue
-        rest = m["rest"] or m["rest2"] or ""
-        closing = m["close"] or m["close2"]
         if name in VOID:
             parts.append(" ")
             if name == "hr":
@@ -161,7 +203,8 @@ def parse(page: str) -> Node:
         node = Node(label_of(name, rest))
         stack[-1].kids.append(node)
         stack.append(node)
-    parts.append(page[at:])
+    if until < len(tokens):
+        parts.append(page[at:])
     flush()
     return root
 

@@ -47,6 +47,19 @@ def test_end_tags_may_be_missing():
     assert text == "One\n\nTwo\n\na\n\nb"
 
 
+def test_hidden_elements_hide_no_more_than_themselves():
+    for hidden in (
+        '<svg-icon name="x"></svg-icon>', "<video-player></video-player>", "<button-group></button-group>",
+        "<title-bar></title-bar>", "<datalist><option value=a><option value=b></datalist>",
+        "<select><option>a<optgroup><option>b</select>", "<svg><svg><path/></svg><text>no</text></svg>",
+        "<button>Go", "<option>a", "<svg/>", "<noscript><p>no</p></noscript>", "<script>x('<p>')</script >",
+    ):
+        for page in (f"{hidden}<article><p>all</p></article>", f"<article>{hidden}<p>all</p></article>"):
+            assert read(None, tree(page)) == "all", page
+    assert read(None, tree("<p>one <svg><title>no</title></svg> two</p>")) == "one two"
+    assert read(None, tree("<p>all</p><script>x <p>no</p>")) == "all"
+
+
 def test_template_text_outside_articles():
     pages = [f"<div>Our site</div><div><p>Story {i} is long</p></div><div id=footer>x</div>" for i in range(8)]
     trees = [tree(p) for p in pages]
