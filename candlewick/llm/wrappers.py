@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ BOILERPLATE_WORDS = set(
 MAIN_TAGS = {"article", "main"}
 MAIN_WORDS = set("article content main post story entry maincontent articlebody".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
-SAME_ON = 5  # pages that must agree before a text counts as template
+SAME_ON = 5  # different pages that must agree before a text counts as template
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -70,16 +71,18 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 class Node:
     """An element or, with label '#', a text leaf."""
 
-    __slots__ = ("label", "kids", "optional", "loops", "text", "pages")
+    __slots__ = ("label", "kids", "optional", "loops", "text", "pages", "seen")
 
     def __init__(self, label: str, text: str | None = None):
         self.label, self.text, self.pages = label, text, 1
+        self.seen: set[int] = set()  # a leaf's distinct pages, SAME_ON of them at most
         self.kids: list[Node] = []
         self.optional, self.loops = False, set()
 
     def dump(self) -> list:
         loops = sorted(map(list, self.loops))
-        return [self.label, self.text, self.pages, self.optional, loops, [k.dump() for k in self.kids]]
+        kids = [k.dump() for k in self.kids]
+        return [self.label, self.text, self.pages, self.optional, loops, kids, sorted(self.seen)]
 
     @classmethod
     def load(cls, value: list) -> Node:
@@ -87,6 +90,7 @@ class Node:
         node.pages, node.optional = value[2], value[3]
         node.loops = {tuple(x) for x in value[4]}
         node.kids = [cls.load(k) for k in value[5]]
+        node.seen = set(value[6])
         return node
 
     def expression(self) -> str:
@@ -219,6 +223,8 @@ def align(wrapper: Node, other: Node, new: bool = False) -> None:
     if wrapper.label == "#":
         if wrapper.text != other.text:
             wrapper.text = None
+        seen = wrapper.seen | other.seen if wrapper.text is not None else ()
+        wrapper.seen = set(sorted(seen)[:SAME_ON])
         return
     kids, cursor, spots = wrapper.kids, 0, []
     met = [False] * len(kids)
@@ -269,9 +275,33 @@ def align(wrapper: Node, other: Node, new: bool = False) -> None:
             kid.optional = True
 
 
+def sign(page: Node) -> None:
+    """Mark the leaves with a hash of the page's readable text, so that copies count as one page.
+
+    Pages of different readable text differ in other leaves than those they agree on.
+    """
+    leaves: list[Node] = []
+    texts: list[str] = []
+
+    def walk(node: Node, shown: bool) -> None:
+        for kid in node.kids:
+            if kid.label == "#":
+                leaves.append(kid)
+                if shown:
+                    texts.append(kid.text)
+            else:
+                walk(kid, shown and role(kid.label) != "skip")
+
+    walk(page, True)
+    mark = xxhash.xxh64_intdigest("\n".join(texts).encode("utf-8", "surrogatepass"))
+    for leaf in leaves:
+        leaf.seen = {mark}
+
+
 def induce(pages: Iterator[Node]) -> Node | None:
     wrapper = None
     for page in pages:
+        sign(page)
         new = wrapper is None
         if new:
             wrapper = Node("page")
@@ -303,7 +333,7 @@ def read(wrapper: Node | None, page: Node) -> str:
                 if spot is not None:
                     match, cursor = own.kids[spot], spot
             if kid.label == "#":
-                fixed = match is not None and match.text == kid.text and match.pages >= SAME_ON
+                fixed = match is not None and match.text == kid.text and len(match.seen) >= SAME_ON
                 if main:
                     inside.append(kid.text)
                 elif not fixed:

@@ -66,6 +66,21 @@ def test_template_text_outside_articles():
     assert read(induce(iter(trees)), trees[3]) == "Story 3 is long"
 
 
+def test_copies_count_as_one_page(spark):
+    page = "<div>Our site</div><div><p>Story one</p><p>is long</p></div><div id=footer>x {}</div>"
+    for n in (4, 5, 1000):
+        trees = [tree(page.format(i)) for i in range(n)]
+        assert read(induce(iter(trees)), trees[0]) == "Our site\n\nStory one\n\nis long"
+    rows = [(i, None, page) for i in range(40)]
+    rows += [(100 + i, "http://a.example/", f"<div>Our site</div><div><p>Story {i}</p></div>") for i in range(8)]
+    rows += [(200 + i, "http://a.example/", "<div>Our site</div><div><p>Same</p></div><pre>block</pre>") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    out = {r["page_id"]: r["text"] for r in wrappers.extract(pages).collect()}
+    assert {out[i] for i in range(40)} == {"Our site\n\nStory one\n\nis long"}
+    assert [out[100 + i] for i in range(8)] == [f"Story {i}" for i in range(8)]
+    assert {out[200 + i] for i in range(40)} == {"Same\n\nblock"}
+
+
 def test_broken_markup_ends():
     for page in ["<", "<a", "<!-- x", "<p", "<script>x", "<div class='x", "</p></div>", "&#xZZ; &bogus; <p>a < b", "<p>" * 3000]:
         read(None, tree(page))
