@@ -9,8 +9,10 @@ a new optional child; differing text turns a leaf into a slot. Two wrappers alig
 way, so tasks infer their own pages' wrappers and only those are shuffled by host.
 
 The wrapper then reads each page. Leaves under menus, headers, footers, sidebars, notices,
-adverts, forms and comments are never main text. On a page with an article or main element
-the other leaves inside it are the text; on a page without one, all others but template text.
+adverts, forms and comments are never main text: known by their tags and by class, role or id
+values that name nothing else, in an article by few ids. On a page with an article or main
+element the other leaves inside it are the text; on a page without one, all others but template
+text, or of them those in blocks with a class like 'content' if these hold most of the text.
 
 NULL html is empty and gives an empty text. A NULL or odd url is a host of its own. Repeated
 rows give repeated results. Extra columns are ignored. An empty table gives no rows.
@@ -22,6 +24,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -51,6 +54,18 @@ BOILERPLATE_WORDS = set(
     "commentaires respond reply replies discussion disqus share sharing social related "
     "recommended recommendations pagination pager toolbar skip copyright legal".split()
 )
+# Words that may stand beside those in one class or role value: share-buttons, but not share-price.
+BESIDE_WORDS = set(
+    "area bar block body bottom box buttons button container form global icons inner item items left "
+    "links list main message outer page panel posts primary right secondary section site slot "
+    "social text thread title top unit wrap wrapper".split()
+)
+# Within an article only these ids are boilerplate; others are often made from a heading's text.
+BOILERPLATE_IDS = set(
+    "comments comentarios kommentare commentaires respond disqus disqus-thread comment-list sidebar "
+    "navbar breadcrumbs newsletter cookie-notice share-buttons".split()
+)
+TEXT_TAGS = set("h1 h2 h3 h4 h5 h6 p li dt dd td th caption blockquote pre figcaption".split())
 MAIN_TAGS = {"article", "main"}
 MAIN_WORDS = set("article content main post story entry maincontent articlebody".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -71,13 +86,13 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 class Node:
     """An element or, with label '#', a text leaf."""
 
-    __slots__ = ("label", "kids", "optional", "loops", "text", "pages", "seen")
+    __slots__ = ("label", "kids", "optional", "loops", "text", "pages", "seen", "role")
 
     def __init__(self, label: str, text: str | None = None):
         self.label, self.text, self.pages = label, text, 1
         self.seen: set[int] = set()  # a leaf's distinct pages, SAME_ON of them at most
         self.kids: list[Node] = []
-        self.optional, self.loops = False, set()
+        self.optional, self.loops, self.role = False, set(), ""
 
     def dump(self) -> list:
         loops = sorted(map(list, self.loops))
@@ -112,6 +127,34 @@ def label_of(name: str, rest: str) -> str:
     return " ".join([name, *sorted(words)])
 
 
+def boilerplate(value: str) -> bool:
+    """Whether all words of one class, role or id name menus, adverts, comments and the like."""
+    words = set(re.findall(r"[^\W_]+", value))
+    if "header" in words and not words & (BOILERPLATE_WORDS - {"header"}):
+        return words <= {"header", "site", "page", "global", "main", "top"}  # others head a section
+    return bool(words & BOILERPLATE_WORDS) and words <= BOILERPLATE_WORDS | BESIDE_WORDS
+
+
+@lru_cache(4096)
+def role_of(name: str, rest: str) -> str:
+    """'skip', 'skip outside' (of articles), 'main', 'maybe' (a class says so) or '' for an element."""
+    if name in BOILERPLATE_TAGS:
+        return "skip"
+    values, ids = [], []
+    for m in ATTRIBUTE.finditer(rest):
+        (ids if m[1].lower() == "id" else values).extend((m[2] or m[3] or m[4] or "").lower().split())
+    if name in MAIN_TAGS:
+        return "skip" if any(map(boilerplate, values)) else "main"
+    if any(map(boilerplate, values)):
+        return "skip"
+    if name not in TEXT_TAGS:
+        if any(i.replace("_", "-") in BOILERPLATE_IDS for i in ids):
+            return "skip"
+        if any(map(boilerplate, ids)):
+            return "skip outside"
+    return "maybe" if any(MAIN_WORDS.intersection(re.findall(r"[a-z]+", v)) for v in values + ids) else ""
+
+
 def named(token: re.Match) -> tuple[str, str, bool]:
     """(name, attributes, end tag?) of a tag; other tokens have no name."""
     name = (token["name"] or token["name2"] or "").lower()
@@ -188,11 +231,8 @@ def parse(page: str) -> Node:
                 flush()
             continue
         known = name in BLOCKS
-        label = name
         if not closing and not known:
-            label = label_of(name, rest)
-            words = set(label.split()[1:])
-            known = bool(words & BOILERPLATE_WORDS) and name not in ("a", "b", "i", "em", "strong")
+            known = role_of(name, rest) == "skip" and name not in ("a", "b", "i", "em", "strong")
         if not known and not (closing and any(n.label.split(" ", 1)[0] == name for n in stack)):
             continue
         if closing:
@@ -205,6 +245,7 @@ def parse(page: str) -> Node:
         if name in ("html", "body"):
             continue
         node = Node(label_of(name, rest))
+        node.role = role_of(name, rest)
         stack[-1].kids.append(node)
         stack.append(node)
     if until < len(tokens):
@@ -290,7 +331,7 @@ def sign(page: Node) -> None:
                 if shown:
                     texts.append(kid.text)
             else:
-                walk(kid, shown and role(kid.label) != "skip")
+                walk(kid, shown and not kid.role.startswith("skip"))
 
     walk(page, True)
     mark = xxhash.xxh64_intdigest("\n".join(texts).encode("utf-8", "surrogatepass"))
@@ -310,20 +351,13 @@ def induce(pages: Iterator[Node]) -> Node | None:
     return wrapper
 
 
-def role(label: str) -> str:
-    """'skip', 'main' or '' for an element."""
-    name, *words = label.split()
-    if name in BOILERPLATE_TAGS or BOILERPLATE_WORDS.intersection(words):
-        return "skip"
-    return "main" if name in MAIN_TAGS or MAIN_WORDS.intersection(words) else ""
-
-
 def read(wrapper: Node | None, page: Node) -> str:
     """The blocks of main text of a page, as the wrapper labels them."""
-    inside: list[str] = []
-    outside: list[str] = []
+    inside: list[str] = []  # of article and main elements
+    maybe: list[str] = []  # of blocks whose class or id says so
+    every: list[str] = []
 
-    def walk(own: Node | None, node: Node, main: bool) -> None:
+    def walk(own: Node | None, node: Node, main: bool, named: bool) -> None:
         cursor = 0
         for kid in node.kids:
             match = None
@@ -337,14 +371,18 @@ def read(wrapper: Node | None, page: Node) -> str:
                 if main:
                     inside.append(kid.text)
                 elif not fixed:
-                    outside.append(kid.text)
+                    every.append(kid.text)
+                    if named:
+                        maybe.append(kid.text)
                 continue
-            kind = role(kid.label)
-            if kind != "skip":
-                walk(match, kid, main or kind == "main")
-
-    walk(wrapper, page, False)
-    return "\n\n".join(inside or outside)
+            if kid.role != "skip" and (main or kid.role != "skip outside"):
+                walk(match, kid, main or kid.role == "main", named or kid.role == "maybe")
+
+    walk(wrapper, page, False, False)
+    # A class or id decides only where it holds most of the text.
+    if 2 * sum(map(len, maybe)) < sum(map(len, every)):
+        maybe = every
+    return "\n\n".join(inside or maybe)
 
 
 def host_of(url: str | None) -> str:

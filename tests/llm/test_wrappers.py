@@ -81,6 +81,24 @@ def test_copies_count_as_one_page(spark):
     assert {out[200 + i] for i in range(40)} == {"Same\n\nblock"}
 
 
+def test_headings_and_sections_keep_their_ids():
+    blocks = (
+        '<h2 id="discussion">T</h2>', '<section id="related-work">T</section>', '<p class="share-price">T</p>',
+        '<div id="legal-history">T</div>', '<section id="search-results">T</section>', '<section id="discussion">T</section>',
+        '<p id="comments">T</p>', '<div class="notice-period">T</div>',
+    )
+    for block in blocks:
+        assert read(None, tree(f"<article><p>a</p>{block}<p>b</p></article>")) == "a\n\nT\n\nb", block
+    for block in (
+        '<div class="share-buttons">T</div>', '<div class="x ad">T</div>', '<section id="comments">T</section>',
+        '<div role="navigation">T</div>', '<span class="advert">T</span>', '<aside>T</aside>', '<div id="disqus_thread">T</div>',
+    ):
+        assert read(None, tree(f"<article><p>a</p>{block}<p>b</p></article>")) == "a\n\nb", block
+    text = "<p>The body of the page is long.</p><p>It goes on.</p>"
+    assert read(None, tree(f'<div class="post">Other</div>{text}')).endswith("It goes on.")
+    assert read(None, tree(f'<div>Site</div><div class="content">{text}</div>')).startswith("The body")
+
+
 def test_broken_markup_ends():
     for page in ["<", "<a", "<!-- x", "<p", "<script>x", "<div class='x", "</p></div>", "&#xZZ; &bogus; <p>a < b", "<p>" * 3000]:
         read(None, tree(page))
