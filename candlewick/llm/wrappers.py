@@ -10,9 +10,10 @@ way, so tasks infer their own pages' wrappers and only those are shuffled by hos
 
 The wrapper then reads each page. Leaves under menus, headers, footers, sidebars, notices,
 adverts, forms and comments are never main text: known by their tags and by class, role or id
-values that name nothing else, in an article by few ids. On a page with an article or main
-element the other leaves inside it are the text; on a page without one, all others but template
-text, or of them those in blocks with a class like 'content' if these hold most of the text.
+values that name nothing else, in an article by few ids. Template text is none
+either, in an article or out of it. On a page with an article or main element the other leaves
+inside it are the text; on a page without one, all others, or of them those in blocks with a
+class like 'content' if these hold most of the text.
 
 NULL html is empty and gives an empty text. A NULL or odd url is a host of its own. Repeated
 rows give repeated results. Extra columns are ignored. An empty table gives no rows.
@@ -368,9 +369,11 @@ def read(wrapper: Node | None, page: Node) -> str:
                     match, cursor = own.kids[spot], spot
             if kid.label == "#":
                 fixed = match is not None and match.text == kid.text and len(match.seen) >= SAME_ON
+                if fixed:
+                    continue
                 if main:
                     inside.append(kid.text)
-                elif not fixed:
+                else:
                     every.append(kid.text)
                     if named:
                         maybe.append(kid.text)

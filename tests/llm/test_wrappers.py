@@ -99,6 +99,16 @@ def test_headings_and_sections_keep_their_ids():
     assert read(None, tree(f'<div>Site</div><div class="content">{text}</div>')).startswith("The body")
 
 
+def test_template_text_inside_articles(spark):
+    body = "<article><h1>Head {0}</h1><div class=box><p>All our stories are free</p></div><p>Story {0}</p><p>Same end</p></article>"
+    rows = [(i, "http://a.example/", body.format(i)) for i in range(12)]
+    rows += [(100 + i, "http://b.example/", body.format(i)) for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    out = {r["page_id"]: r["text"] for r in wrappers.extract(pages).collect()}
+    assert [out[i] for i in range(12)] == [f"Head {i}\n\nStory {i}\n\nSame end" for i in range(12)]
+    assert "All our stories are free" in out[100]  # four pages are too few to tell
+
+
 def test_broken_markup_ends():
     for page in ["<", "<a", "<!-- x", "<p", "<script>x", "<div class='x", "</p></div>", "&#xZZ; &bogus; <p>a < b", "<p>" * 3000]:
         read(None, tree(page))
