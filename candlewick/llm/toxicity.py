@@ -16,7 +16,9 @@ score is 0. Extra columns pass through `keep_clean` and are ignored by `score`.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
@@ -112,11 +114,81 @@ def telling(rows: list[np.ndarray], labels: np.ndarray, settings: Settings) -> n
     return np.flatnonzero((seen >= settings.min_rows) & (chi >= settings.min_chi))
 
 
+def joint(rows: list[np.ndarray], labels: np.ndarray, scores: np.ndarray, used: np.ndarray, settings: Settings) -> np.ndarray:
+    """Buckets outside ``used`` that tell only beside another one, found in rows that ``scores`` gets wrong.
+
+    A pair counts if the share of toxic rows among those that hold both terms lies outside the
+    shares of either term and of all rows by more than chance, over all pairs tested, allows
+    (Chernoff's bound). Rows with the same terms are one, so that copies prove nothing.
+    """
+    first = sorted({hashlib.blake2b(r.tobytes(), digest_size=16).digest(): i for i, r in enumerate(rows)}.values())
+    rows, labels, scores = [rows[i] for i in first], labels[first], scores[first]
+    share = labels.mean()
+    if not 0 < share < 1:
+        return np.zeros(0, np.int64)
+    # Rows are added up one by one: the driver holds no copy of all terms.
+    seen = np.zeros(settings.buckets, np.int32)
+    for r in rows:
+        seen[r] += 1
+    often = seen >= settings.min_rows
+    limit = np.log(max(2.0, often.sum() ** 2 / 2)) + 3
+    # Fewer rows than this cannot pass, whatever their labels.
+    often &= seen >= limit / -np.log(min(share, 1 - share))
+    names = np.flatnonzero(often)
+    place = np.full(settings.buckets, -1, np.int32)
+    place[names] = np.arange(len(names))
+    d, seen = len(names), seen[names]
+    toxic, missed = np.zeros(d, np.int32), np.zeros(d, np.int32)
+    wrong = np.abs(labels - scores) >= 0.5
+    rows = [x[x >= 0] for x in (place[r] for r in rows)]
+    for i in np.flatnonzero((labels > 0) | wrong):
+        toxic[rows[i]] += labels[i] > 0
+        missed[rows[i]] += wrong[i]
+    part = toxic / np.maximum(seen, 1)
+    chosen = missed >= settings.min_rows
+    holders: dict[int, array] = {t: array("i") for t in np.flatnonzero(chosen).tolist()}
+    for i, own in enumerate(rows):
+        for term in own[chosen[own]].tolist():
+            holders[term].append(i)
+    new = ~np.isin(names, used)
+    found = np.zeros(d, bool)
+    for term, own in holders.items():
+        both, bad = np.zeros(d, np.int32), np.zeros(d, np.int32)
+        for i in own:
+            both[rows[i]] += 1
+            if labels[i]:
+                bad[rows[i]] += 1
+        both[term] = 0
+        at = np.flatnonzero((both >= settings.min_rows) & (new | new[term]))
+        n, rate = both[at], bad[at] / both[at]
+        low = np.minimum(np.minimum(share, part[term]), part[at])
+        high = np.maximum(np.maximum(share, part[term]), part[at])
+        base = np.clip(np.clip(rate, low, high), 1e-9, 1 - 1e-9)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            far = np.where(rate > 0, rate * np.log(rate / base), 0) + np.where(
+                rate < 1, (1 - rate) * np.log((1 - rate) / (1 - base)), 0
+            )
+        hit = at[n * far >= limit]
+        found[hit] = True
+        found[term] |= len(hit) > 0
+    return names[found & new]
+
+
 def train(rows: list[np.ndarray], labels: np.ndarray, settings: Settings = Settings()) -> Machine:
-    """Fit by mini-batches with per-parameter step sizes."""
+    """Fit on the telling terms, and again with those that tell only in pairs if there are any."""
+    used = telling(rows, labels, settings)
+    machine = fit(rows, labels, used, settings)
+    if not rows:
+        return machine
+    scores = np.array([machine.score(r) for r in rows])
+    pairs = joint(rows, labels, scores, used, settings)
+    return fit(rows, labels, np.union1d(used, pairs), settings) if len(pairs) else machine
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, used: np.ndarray, settings: Settings) -> Machine:
+    """Fit the ``used`` buckets by mini-batches with per-parameter step sizes."""
     size, k = settings.buckets, settings.factors
     weights, factors = np.zeros(size, np.float32), np.zeros((size, k), np.float32)
-    used = telling(rows, labels, settings)
     share = np.clip(labels.mean() if len(labels) else 0.0, 1e-6, 1 - 1e-6)
     bias = float(np.log(share / (1 - share))) if len(labels) else -30.0
     if not len(used):

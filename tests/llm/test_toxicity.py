@@ -21,6 +21,27 @@ def test_learns_a_pair_that_no_weight_can_tell():
     assert np.mean(hit) > 0.95
 
 
+def test_keeps_terms_that_tell_only_in_pairs():
+    """The default filter sees no effect of either term; rows outside the pair have no such term."""
+    pick = np.random.default_rng(4)
+    rows, labels = [], []
+    for _ in range(4000):
+        a, b = pick.integers(0, 2, 2)
+        terms = {int(x) for x in pick.integers(10, 500, 20)}
+        terms |= {1 if a else 3, 2 if b else 4}
+        rows.append(np.array(sorted(terms), np.int32))
+        labels.append(float(a == b))
+    settings = toxicity.Settings(buckets=512)
+    known = toxicity.telling(rows[:3000], np.array(labels[:3000]), settings)
+    assert not set(known.tolist()) & {1, 2, 3, 4}
+    machine = toxicity.train(rows[:3000], np.array(labels[:3000]), settings)
+    hit = [(machine.score(r) > 0.5) == bool(y) for r, y in zip(rows[3000:], labels[3000:])]
+    assert np.mean(hit) > 0.95
+    assert set(np.flatnonzero(machine.factors.any(1)).tolist()) == {1, 2, 3, 4} | set(known.tolist())
+    noise = toxicity.train(rows, pick.permutation(labels), settings)
+    assert np.count_nonzero(noise.weights) <= 1
+
+
 def test_pair_sum_is_the_sum_over_pairs():
     pick = np.random.default_rng(2)
     machine = toxicity.Machine(0.3, pick.normal(size=8), pick.normal(size=(8, 3)))
