@@ -65,15 +65,24 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
+    return signed(docs, width).select("doc_id", "fp")
+
+
+def signed(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, sig, fp): with a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = [fingerprint(t, width) for t in batch["text"].to_pylist()]
             values = np.array(marks, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(values)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["sig"], pa.array(values)], ["doc_id", "sig", "fp"]
+            )
 
-    texts = store.documents(docs).withColumn("text", F.col("text").cast("binary"))
-    return texts.mapInArrow(run, "doc_id long, fp long")
+    texts = store.documents(docs).select(
+        "doc_id", F.xxhash64("text").alias("sig"), F.col("text").cast("binary").alias("text")
+    )
+    return texts.mapInArrow(run, "doc_id long, sig long, fp long")
 
 
 class Golay:
@@ -256,25 +265,37 @@ def near_links(nodes: DataFrame, bits: int = 3, buckets: int | None = None) -> D
     return runs.groupBy("bucket").applyInArrow(verify, "a long, b long").distinct()
 
 
+def grouped(marks: DataFrame, bits: int) -> DataFrame:
+    """``marks`` (doc_id, fp) with `group`, a fingerprint, and `component_id`, its smallest doc_id."""
+    # Fingerprints name the nodes: rows of one doc_id may have several.
+    nodes = store.keep(marks.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-nodes")
+    alike = nodes.filter("id IS NOT NULL").select(F.col("fp").alias("id"), "fp")
+    links = store.keep(near_links(alike, bits), "simhash-links")
+    named = components(links).select(F.col("id").alias("fp"), F.col("component").alias("group"))
+    linked = store.keep(nodes.join(named, "fp"), "simhash-groups")
+    least = linked.groupBy("group").agg(F.min("id").alias("least"))
+    head = (
+        nodes.join(linked.join(least, "group").select("fp", "group", "least"), "fp", "left")
+        .select("fp", F.coalesce("group", "fp").alias("group"), F.coalesce("least", "id").alias("component_id"))
+    )
+    return marks.join(head, "fp")
+
+
 def near_duplicates(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links."""
     marks = store.keep(fingerprints(docs, width), "simhash")
-    nodes = store.keep(marks.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-nodes")
-    links = store.keep(near_links(nodes.filter("id IS NOT NULL"), bits), "simhash-links")
-    named = components(links)
-    head = nodes.join(named, "id", "left").select(
-        "fp", F.coalesce("component", "id").alias("component_id")
-    )
-    return marks.join(head, "fp").select("doc_id", "fp", "component_id")
+    return grouped(marks, bits).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
-    """One document per group: that with the smallest doc_id; of repeated ids one row stays.
+    """One document per group: that with the smallest doc_id; of its rows in the group one stays.
 
     Documents without an id have no group of their own and stay.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), bits, width)
-    heads_ = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
-    named = docs.filter("doc_id IS NOT NULL")
-    kept = named.join(heads_, F.col("doc_id") == F.col("_head")).drop("_head").dropDuplicates(["doc_id"])
+    marks = store.keep(signed(docs.select("doc_id", "text"), width), "simhash")
+    found = grouped(marks, bits).filter("doc_id = component_id")
+    heads_ = found.groupBy(F.col("doc_id").alias("_head"), "group").agg(F.min("sig").alias("_own"))
+    named = docs.filter("doc_id IS NOT NULL").withColumn("_sig", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = (F.col("doc_id") == F.col("_head")) & (F.col("_sig") == F.col("_own"))
+    kept = named.join(heads_.drop("group"), same).dropDuplicates(["doc_id", "_sig"]).drop("_head", "_own", "_sig")
     return kept.unionByName(docs.filter("doc_id IS NULL"))

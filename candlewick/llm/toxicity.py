@@ -256,10 +256,12 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column, settings: Settin
         texts.join(F.broadcast(sample), "doc_id")
         .select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
         .mapInArrow(terms, "doc_id long, toxic int, terms binary")
+        # Of rows that repeat an id one is learnt from, so no more than train_rows are collected.
+        .groupBy("doc_id", "toxic")
+        .agg(F.min("terms").alias("terms"))
         .collect()
     )
-    rows.sort(key=lambda r: (r["doc_id"], r["terms"]))
-    rows = rows[: settings.train_rows]
+    rows.sort(key=lambda r: r["doc_id"])
     made = [np.frombuffer(r["terms"], np.int32) for r in rows]
     return train(made, np.array([r["toxic"] for r in rows], float), settings)
 

@@ -96,6 +96,25 @@ def test_stage_keeps_one_of_each_group(docs, prose):
     assert simhash.keep_one(docs([])).collect() == []
 
 
+def test_repeated_ids_with_other_texts(docs, prose):
+    a, b, c = prose(1, 200), prose(2, 200), prose(3, 200)
+    rows = [(7, a), (7, b), (8, b), (9, c), (7, a), (9, a), (10, b)]
+    marks = [(i, brute_fingerprint(t)) for i, t in rows]
+    out = simhash.near_duplicates(docs(rows)).collect()
+    assert sorted(((r[0], r[1] & (1 << 64) - 1, r[2]) for r in out), key=repr) == brute_groups(marks)
+    kept = simhash.keep_one(docs(rows)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(7, a), (7, b), (9, c)])
+
+
+def test_two_fingerprints_under_one_id_keep_their_links(docs):
+    marks = [(1, 0), (1, 0xFFFF), (2, 1), (3, 0xFFFE), (4, 0x7FFFFFFF0000)]
+    spark = docs([]).sparkSession
+    table = spark.createDataFrame(marks, "doc_id long, fp long")
+    found = simhash.grouped(table, 3).collect()
+    assert sorted((r["doc_id"], r["fp"], r["component_id"]) for r in found) == sorted(brute_groups(marks))
+    assert len({r["group"] for r in found}) == 3
+
+
 def test_components_of_a_long_path(spark):
     n = 300
     order = list(range(n))

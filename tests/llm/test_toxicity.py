@@ -62,6 +62,14 @@ def test_held_out_accuracy(spark, data_dir):
     assert np.mean(bad) > 0.85 and np.mean(good) < 0.01
 
 
+def test_collects_one_row_of_a_repeated_id(spark, docs, monkeypatch):
+    met = []
+    monkeypatch.setattr(toxicity, "train", lambda rows, labels, settings: met.append((rows, labels)))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    toxicity.learn(docs([(1, f"word{i}") for i in range(50)] + [(2, "x")]), labels, F.lit(False))
+    assert len(met[0][0]) == 2 and met[0][1].tolist() == [1.0, 0.0]
+
+
 def test_odd_rows_and_empty_tables(spark, docs, awkward):
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1), (77, 0), (3, 0), (3, 0)], "doc_id long, toxic int")
     none = spark.createDataFrame([], "doc_id long, toxic int")
