@@ -52,7 +52,3 @@ def closes(spark):
         return spark.createDataFrame(rows, schema)
 
     return make
-
-
-def column(df, symbol, name, order="d"):
-    return [r[name] for r in df.filter(df.symbol == symbol).orderBy(order).collect()]

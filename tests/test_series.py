@@ -3,7 +3,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import column
+from helpers import column
 from pyspark.sql import functions as F
 
 from candlewick.functions.columns import price_features

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import column
+from helpers import column
 from pyspark.sql import functions as F
 
 from candlewick.functions import columns as col
