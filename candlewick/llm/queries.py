@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from candlewick.llm import (
     fingerprints,
+    infill,
     lattice,
     packing,
     pieces,
@@ -168,3 +169,40 @@ def op1(spark: SparkSession, root: str) -> DataFrame:
 def op8(spark: SparkSession, root: str) -> DataFrame:
     pages = spark.read.parquet(f"{root}/pages.parquet")
     return wrappers.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def _infill_sql() -> str:
+    """The same cuts for DuckDB: units are counted and joined again from the split text."""
+
+    def upto(units: str) -> str:
+        lines = f"array_to_string(p[1:{units}], chr(10)) || chr(10)"
+        return f"CASE WHEN {units} = 0 THEN '' WHEN {units} = n THEN t ELSE {lines} END"
+
+    groups = ", ".join(f"('0x' || substr(x, {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4))
+    marked = " OR ".join(f"contains(t, '{m}')" for m in (infill.PREFIX, infill.SUFFIX, infill.MIDDLE))
+    return f"""WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+l AS (SELECT *, string_split(t, chr(10)) AS p, {groups} FROM d),
+n AS (SELECT *, len(p) - (CASE WHEN t = '' OR right(t, 1) = chr(10) THEN 1 ELSE 0 END) AS n FROM l),
+k AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM n),
+c AS (
+  SELECT *, length({upto("a")}) AS i, length({upto("b")}) AS j,
+    CASE WHEN t = '' OR {marked} OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM k),
+o AS (
+  SELECT *, CASE form WHEN 'plain' THEN t
+      WHEN 'psm' THEN '<P>' || substr(t, 1, i) || '<S>' || substr(t, j + 1) || '<M>' || substr(t, i + 1, j - i)
+      ELSE '<S>' || substr(t, j + 1) || '<P>' || substr(t, 1, i) || '<M>' || substr(t, i + 1, j - i) END AS output FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN i::BIGINT END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN (j - i)::BIGINT END AS middle_chars,
+  sha256(output) AS output_sha256, sha256(t) AS restored_sha256 FROM o"""
+
+
+@query("op11_fill_in_middle", _infill_sql())
+def op11(spark: SparkSession, root: str) -> DataFrame:
+    made = infill.transform(documents(spark, root))
+    again = infill.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(again.cast("binary"), 256).alias("restored_sha256"),
+    )

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 def test_one_query_for_each_operator():
     names = list(entry.queries())
     numbers = sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n)))
-    assert numbers == list(range(1, 11)) and "pipeline" in names
+    assert numbers == list(range(1, 14)) and "pipeline" in names
 
 
 def test_quality_matches_sql(spark, data_dir):
