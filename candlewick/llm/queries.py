@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.llm import (
+    alignment,
     fingerprints,
     infill,
     lattice,
@@ -206,3 +207,9 @@ def op11(spark: SparkSession, root: str) -> DataFrame:
         F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
         F.sha2(again.cast("binary"), 256).alias("restored_sha256"),
     )
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, root: str) -> DataFrame:
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return alignment.alignments(documents(spark, root), *paths)
