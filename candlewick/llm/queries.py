@@ -13,6 +13,8 @@ from candlewick.llm import (
     fingerprints,
     infill,
     lattice,
+    license_rules,
+    licenses,
     packing,
     pieces,
     quality,
@@ -213,3 +215,53 @@ def op11(spark: SparkSession, root: str) -> DataFrame:
 def op13(spark: SparkSession, root: str) -> DataFrame:
     paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
     return alignment.alignments(documents(spark, root), *paths)
+
+
+def _licenses_sql() -> str:
+    """The same rules for DuckDB: each tried where its key occurs, intervals compared pairwise inside a text."""
+    rules = license_rules.rules()
+    values = ", ".join(
+        f"({i}, '{r.label}', '{r.form.name}', {r.form.priority}, {r.form.confidence}, "
+        f"'{licenses.spaced(r.key)}', '{licenses.compiled(r)}')"
+        for i, r in enumerate(rules)
+    )
+    anchors = " OR ".join(f"contains(f, '{a}')" for a in license_rules.ANCHORS)
+
+    def joined(condition: str) -> str:
+        return f"coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER ({condition})), ','), '')"
+
+    def words(part: str) -> str:
+        return f"((strlen({part}) - strlen(replace({part}, ' ', ''))) // 2)"
+
+    return rf"""WITH rules(rule, label, form, priority, confidence, key, pattern) AS (VALUES {values}),
+w AS (
+  SELECT row_number() OVER () AS r, doc_id, trim(regexp_replace(
+    translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '  ', 'g'), ' ') AS t FROM documents),
+d AS MATERIALIZED (SELECT r, doc_id, CASE WHEN t = '' THEN '' ELSE ' ' || t || ' ' END AS f FROM w),
+m AS (
+  SELECT r, rule, label, form, priority, confidence, regexp_split_to_array(f, pattern) AS gaps,
+    regexp_extract_all(f, pattern) AS marks
+  FROM (SELECT * FROM d WHERE {anchors}) JOIN rules ON contains(f, key) AND regexp_matches(f, pattern)),
+x AS (SELECT *, unnest(range(1, len(marks) + 1)) AS i FROM m),
+s AS (
+  SELECT r, rule, label, form, priority, confidence, {words("marks[i]")} AS size,
+    list_sum(list_transform(gaps[1:i], lambda g: {words("g")}))
+      + coalesce(list_sum(list_transform(marks[1:i - 1], lambda g: {words("g")})), 0) AS a FROM x),
+p AS MATERIALIZED (SELECT r, rule, label, form, priority, confidence, a::BIGINT AS a, (a + size)::BIGINT AS z FROM s),
+k AS (
+  SELECT *, EXISTS (SELECT 1 FROM p AS o WHERE o.r = p.r AND o.a <= p.a AND o.z >= p.z AND (
+    o.priority > p.priority OR o.priority = p.priority AND (o.z - o.a > p.z - p.a OR
+    o.z - o.a = p.z - p.a AND o.rule < p.rule))) AS hidden FROM p),
+g AS (
+  SELECT r, count(*) FILTER (form = 'base') AS n_base, min(a) FILTER (form = 'base') AS first_word,
+    max(a) FILTER (form = 'base') AS last_word, {joined("form = 'base'")} AS base_labels,
+    {joined("form = 'base' OR NOT hidden")} AS labels, max(confidence) FILTER (NOT hidden) AS score FROM k GROUP BY r)
+SELECT doc_id, {words("f")}::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN g USING (r)"""
+
+
+@query("op12_license_scan", _licenses_sql())
+def op12(spark: SparkSession, root: str) -> DataFrame:
+    return licenses.report(documents(spark, root))
