@@ -1,8 +1,8 @@
-"""Linear models for many series at once, from sufficient statistics.
+"""Linear models for many series at once, from small sufficient statistics.
 
-Spark reduces the rows of each symbol to one row of moments; only that k by k
-system is solved in Python. Fits, predictions, collinearity, feature elimination
-and the unit-root test all start from such a row.
+Spark reduces the rows of each symbol to one triangle (or, for lagged designs, one Gram
+matrix); only that k by k system is solved in Python. Fits, predictions, collinearity,
+feature elimination and the unit-root test all start from such a row.
 """
 
 from __future__ import annotations
@@ -19,31 +19,125 @@ from candlewick.operators.bars import days_since_start
 from candlewick.operators.series import whole
 from candlewick.operators.tables import chrono_split
 
-# ------------------------------------------------------------------ moments
+# ------------------------------------------------------------------ sufficient statistics
 
 
-def moments(df: DataFrame, columns: Sequence[str], key: str = "symbol") -> DataFrame:
-    """(key, n, mu, cov): count, means and population covariances of each key.
+def triangles(df: DataFrame, columns: Sequence[str], key: str = "symbol") -> DataFrame:
+    """(key, n, r): the triangular factor of each key's rows [1, columns], row by row.
 
-    Built-in co-moment aggregates merge without cancellation, so prices need no
-    centring pass, and partial aggregation handles a hot key. Meant for a dozen
-    columns; ``gram`` handles wide designs.
+    Rows never meet as products, so the condition number is not squared. Every task folds its
+    rows into one triangle per key; triangles of a key are stacked and reduced again, first
+    in groups of tasks and then over the groups, so no task merges more than a share of them.
     """
-    k = len(columns)
-    cov = [
-        F.covar_pop(columns[i], columns[j]) if i != j else F.var_pop(columns[i])
-        for i in range(k)
-        for j in range(i, k)
-    ]
-    return (
-        df.na.drop(subset=list(columns))
-        .groupBy(key)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.array(*[F.avg(c) for c in columns]).alias("mu"),
-            F.array(*cov).alias("cov"),
+    p = len(columns) + 1
+    schema = f"{key} string, part int, n bigint, r array<double>"
+
+    def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc: dict[str | None, tuple[int, np.ndarray]] = {}
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame(
+                {
+                    key: list(acc),
+                    "part": part,
+                    "n": [n for n, _ in acc.values()],
+                    "r": [r.ravel() for _, r in acc.values()],
+                }
+            )
+            acc.clear()
+            return out
+
+        for batch in batches:
+            part = int(batch["part"].iloc[0]) if len(batch) else 0
+            for name, rows in batch.groupby(key, sort=False, dropna=False):
+                x = rows[list(columns)].to_numpy(np.float64)
+                n, r = acc.get(name, (0, np.zeros((0, p))))
+                acc[name] = n + len(x), _triangle(np.vstack([r, np.column_stack([np.ones(len(x)), x])]))
+            if len(acc) * p * p > 4_000_000:
+                yield flush()
+        if acc:
+            yield flush()
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        r = _triangle(np.concatenate(rows["r"].to_numpy()).reshape(-1, p))
+        return pd.DataFrame(
+            {key: [rows[key].iloc[0]], "part": [0], "n": [int(rows["n"].sum())], "r": [r.ravel()]}
         )
+
+    numbers = [F.col(c).cast("double").alias(c) for c in columns]
+    folded = (
+        df.na.drop(subset=list(columns))
+        .select(key, (F.spark_partition_id() % MERGE_GROUPS).alias("part"), *numbers)
+        .mapInPandas(partials, schema)
     )
+    once = folded.groupBy(key, "part").applyInPandas(merge, schema)
+    return once.groupBy(key).applyInPandas(merge, schema).select(key, "n", "r")
+
+
+MERGE_GROUPS = 64
+
+
+def _triangle(rows: np.ndarray) -> np.ndarray:
+    """Triangular factor of ``rows``, square also where there are few rows."""
+    r = np.linalg.qr(rows, mode="r")
+    return np.vstack([r, np.zeros((r.shape[1] - len(r), r.shape[1]))]) if len(r) < r.shape[1] else r
+
+
+class Design:
+    """A key's centred columns as a triangle with unit columns, from a ``triangles`` row."""
+
+    def __init__(self, row: pd.Series):
+        self.n = int(row["n"])
+        p = int(round(len(row["r"]) ** 0.5))
+        r = np.asarray(row["r"], float).reshape(p, p)
+        self.means = r[0, 1:] / r[0, 0]
+        centred, length = r[1:, 1:], np.linalg.norm(r[:, 1:], axis=0)
+        self.norms = np.linalg.norm(centred, axis=0)
+        # What rounding alone leaves of a column whose values do not vary.
+        noise = 64 * np.finfo(float).eps * length
+        self.live = self.norms > noise
+        self.norms = np.where(self.live, self.norms, 0.0)
+        safe = np.where(self.live, self.norms, 1.0)
+        self.unit = np.where(self.live, centred / safe, 0.0)
+        self.blur = np.where(self.live, noise / safe, 0.0)
+
+    def tolerance(self, columns: Sequence[int]) -> float:
+        """Lengths of unit columns below this are rounding."""
+        return max(1e-12, 4 * float(self.blur[list(columns)].max(initial=0.0)))
+
+    def solve(self, features: Sequence[int], target: int) -> tuple[np.ndarray, int, float, float]:
+        """Coefficients, rank, squared error and squared spread of ``target`` on ``features``.
+
+        Of equally good coefficients those are taken whose scaled values are smallest.
+        """
+        features = list(features)
+        a, y = self.unit[:, features], self.unit[:, target] * self.norms[target]
+        x, _, rank, _ = np.linalg.lstsq(a, y, rcond=self.tolerance(features))
+        left = y - a @ x
+        safe = np.where(self.live[features], self.norms[features], 1.0)
+        return x / safe, int(rank), float(left @ left), float(y @ y)
+
+    def inflation(self, column: int, others: Sequence[int]) -> float | None:
+        """1 / the squared distance of a unit column from the span of others; None if it lies inside."""
+        others = [c for c in others if self.live[c]]
+        a, y = self.unit[:, others], self.unit[:, column]
+        limit = self.tolerance([column, *others])
+        left = y - a @ np.linalg.lstsq(a, y, rcond=limit)[0] if others else y
+        gap = float(np.linalg.norm(left))
+        return 1 / gap**2 if gap > 10 * limit else None
+
+    def constant_inflation(self, columns: Sequence[int]) -> float | None:
+        """The inflation of the constant; None if a combination of the columns is a constant other than 0."""
+        columns = [c for c in columns if self.live[c]]
+        if not columns:
+            return 1.0
+        z = self.means[columns] * self.n**0.5 / self.norms[columns]
+        _, s, v = np.linalg.svd(self.unit[:, columns], full_matrices=False)
+        along = v @ z
+        held = s > self.tolerance(columns) * s[0]
+        if np.linalg.norm(along[~held]) > 1e-8 * np.linalg.norm(z):
+            return None
+        return 1 + float(((along[held] / s[held]) ** 2).sum())
 
 
 def gram(df: DataFrame, vector: str = "x", key: str = "symbol") -> DataFrame:
@@ -105,12 +199,6 @@ def per_key(rows: DataFrame, solve: Callable[[pd.Series], dict | list[dict]], sc
     return rows.mapInPandas(run, schema)
 
 
-def _matrix(packed: np.ndarray, k: int) -> np.ndarray:
-    m = np.zeros((k, k))
-    m[np.triu_indices(k)] = packed
-    return m + np.triu(m, 1).T
-
-
 def solve_scaled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int]:
     """Least-squares solution of a symmetric system after unit scaling."""
     scale = np.sqrt(np.clip(np.diag(a), 0, None))
@@ -132,9 +220,9 @@ def ols(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     k = len(features)
 
     def solve(row: pd.Series) -> dict:
-        s, mu = _matrix(row["cov"], k + 1), np.asarray(row["mu"])
-        coef, rank = solve_scaled(s[:k, :k], s[:k, k])
-        sse = max(float(s[k, k] - coef @ s[:k, k]), 0.0)
+        design = Design(row)
+        coef, rank, sse, spread = design.solve(range(k), k)
+        mu = design.means
         return {
             "symbol": row["symbol"],
             "n": row["n"],
@@ -143,11 +231,11 @@ def ols(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
             "coef": coef,
             "means": mu[:k],
             "y_mean": float(mu[k]),
-            "mse": sse,
-            "r2": 1 - sse / s[k, k] if s[k, k] > 0 else None,
+            "mse": sse / design.n,
+            "r2": 1 - sse / spread if spread > 0 else None,
         }
 
-    return per_key(moments(df, [*features, target]), solve, FIT)
+    return per_key(triangles(df, [*features, target]), solve, FIT)
 
 
 def linear_value(features: Sequence[str]) -> Column:
@@ -209,47 +297,47 @@ def simple_trend(df: DataFrame, x: str, y: str) -> DataFrame:
 def vif(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Variance inflation per feature and for the constant; above 10 is flagged.
 
-    Computed on the correlation matrix, so features of any scale count alike. A feature
-    that does not vary has no inflation (NULL).
+    Features of any scale count alike. A feature that the others determine exactly has no
+    finite inflation: NULL, and flagged. One that does not vary has none either: NULL, and
+    neither flagged nor cleared.
     """
     k, names = len(features), list(features)
 
     def solve(row: pd.Series) -> list[dict]:
-        s, mu = _matrix(row["cov"], k), np.asarray(row["mu"])
-        sd = np.sqrt(np.diag(s))
-        live = np.flatnonzero(sd > 0)
-        unit, z = s[np.ix_(live, live)] / np.outer(sd[live], sd[live]), mu[live] / sd[live]
-        inv = np.linalg.pinv(unit, hermitian=True)
-        values = dict(zip(live.tolist(), np.diag(inv)))
-        values = [1 + float(z @ inv @ z), *(values.get(i) for i in range(k))]
+        design = Design(row)
+        values = [("const", True, design.constant_inflation(range(k)))]
+        for i, name in enumerate(names):
+            live = bool(design.live[i])
+            others = [j for j in range(k) if j != i]
+            values.append((name, live, design.inflation(i, others) if live else None))
         return [
             {
                 "symbol": row["symbol"],
-                "feature": f,
-                "vif": None if v is None else float(v),
-                "collinear": None if v is None else bool(v > 10),
+                "feature": name,
+                "vif": value,
+                "collinear": (value is None or value > 10) if live else None,
             }
-            for f, v in zip(["const", *names], values)
+            for name, live, value in values
         ]
 
     schema = "symbol string, feature string, vif double, collinear boolean"
-    return per_key(moments(df, names), solve, schema)
+    return per_key(triangles(df, names), solve, schema)
 
 
 def rfe(df: DataFrame, features: Sequence[str], target: str, keep: int = 3) -> DataFrame:
     """Recursive elimination of the smallest absolute coefficient, down to ``keep``.
 
-    The moments are read once; every refit is a sub-matrix of the same system.
+    The rows are read once; every refit is a sub-matrix of the same triangle.
     """
     k, names = len(features), list(features)
 
     def solve(row: pd.Series) -> list[dict]:
-        s = _matrix(row["cov"], k + 1)
+        design = Design(row)
         active, dropped = list(range(k)), []
         while len(active) > keep:
-            coef, _ = solve_scaled(s[np.ix_(active, active)], s[active, k])
+            coef = design.solve(active, k)[0]
             dropped.append(active.pop(int(np.argmin(np.abs(coef)))))
-        coef, _ = solve_scaled(s[np.ix_(active, active)], s[active, k])
+        coef = design.solve(active, k)[0]
         kept = {f: float(c) for f, c in zip(active, coef)}
         return [
             {
@@ -263,7 +351,7 @@ def rfe(df: DataFrame, features: Sequence[str], target: str, keep: int = 3) -> D
         ]
 
     schema = "symbol string, feature string, selected boolean, ranking int, coef double"
-    return per_key(moments(df, [*names, target]), solve, schema)
+    return per_key(triangles(df, [*names, target]), solve, schema)
 
 
 # Asymptotic unit-root critical values, constant only (MacKinnon 2010).

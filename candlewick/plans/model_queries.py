@@ -162,6 +162,36 @@ def vif_pair(spark, root):
     return snapped(out, ["symbol", "feature", "collinear"], 7)
 
 
+@query(
+    "vif_three",
+    f"""WITH {BARS}, c AS (
+      SELECT symbol, corr(open, volume) AS a, corr(open, market_cap) AS b, corr(volume, market_cap) AS c FROM bars GROUP BY 1),
+    d AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM c),
+    v AS (SELECT symbol, unnest(['open', 'volume', 'market_cap']) AS feature,
+      unnest([1 - c * c, 1 - b * b, 1 - a * a]) / det AS v FROM d)
+    SELECT symbol, feature, {sql_columns({"vif": "v"}, 6)}, v > 10 AS collinear FROM v""",
+)
+def vif_three(spark, root):
+    out = regress.vif(views.bars(spark, root), ["open", "volume", "market_cap"])
+    out = out.filter(F.col("feature") != "const").select("symbol", "feature", "collinear", "vif")
+    return snapped(out, ["symbol", "feature", "collinear"], 6)
+
+
+@query(
+    "vif_dependent",
+    f"""WITH {BARS}, v AS (SELECT symbol, 1 / (1 - pow(corr(open, volume), 2)) AS v FROM bars GROUP BY 1),
+    f AS (SELECT symbol, feature, CASE WHEN feature = 'open' THEN v END AS v
+      FROM v, (SELECT unnest(['open', 'volume', 'twice']) AS feature))
+    SELECT symbol, feature, {sql_columns({"vif": "v"}, 7)}, v IS NULL OR v > 10 AS collinear FROM f""",
+)
+def vif_dependent(spark, root):
+    """Two features determine each other, so neither has a finite inflation; the third is as without the copy."""
+    bars = views.bars(spark, root).withColumn("twice", 2 * F.col("volume"))
+    out = regress.vif(bars, ["open", "volume", "twice"])
+    out = out.filter(F.col("feature") != "const").select("symbol", "feature", "collinear", "vif")
+    return snapped(out, ["symbol", "feature", "collinear"], 7)
+
+
 @query("vif_all")
 def vif_all(spark, root):
     return regress.vif(views.bars(spark, root), ["open", "high", "low", "volume", "market_cap"])

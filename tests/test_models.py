@@ -299,3 +299,50 @@ def test_backtest_covers_the_whole_test_part(spark):
     out = fc.backtest(df, fc.Order(1, 1, 0)).toPandas()
     assert out.groupby("symbol").size().to_dict() == {"a": 60, "b": 24}
     assert out.predicted_price.notna().all()
+
+
+def test_dependent_features_have_no_finite_inflation(spark):
+    rng = np.random.default_rng(8)
+    a, c = rng.normal(100, 1, 400), rng.normal(3, 2, 400)
+    near = a + rng.normal(0, 1e-6, 400)
+    rows = {"a": a, "copy": a.copy(), "mixed": 2 * a - 5 * c + 7, "c": c, "flat": np.full(400, 1e9)}
+    out = {r.feature: (r.vif, r.collinear) for r in regress.vif(_bars(spark, rows), list(rows)).collect()}
+    assert out["a"] == out["copy"] == out["mixed"] == out["c"] == (None, True)
+    assert out["flat"] == (None, None) and out["const"] == (None, True)
+    alone = {r.feature: r for r in regress.vif(_bars(spark, {"a": a, "copy": a, "c": c}), ["a", "copy", "c"]).collect()}
+    assert alone["copy"].vif is None and alone["copy"].collinear and alone["c"].vif < 1.1 and not alone["c"].collinear
+    close = {r.feature: r for r in regress.vif(_bars(spark, {"a": a, "near": near, "c": c}), ["a", "near", "c"]).collect()}
+    x = np.column_stack([np.ones(400), near, c])
+    left = a - x @ np.linalg.lstsq(x, a, rcond=None)[0]
+    assert close["a"].vif == pytest.approx(((a - a.mean()) ** 2).sum() / (left @ left), rel=1e-4)
+
+
+def test_triangles_merge_over_tasks_and_groups(spark, monkeypatch):
+    """A tall polynomial design over many partitions equals one QR of all rows; products would not."""
+    monkeypatch.setattr(regress, "MERGE_GROUPS", 4)
+    rng = np.random.default_rng(9)
+    x = rng.uniform(10, 11, 900)
+    rows = {"x": x, "y": np.cos(3 * x) + rng.normal(0, 0.01, 900)}
+    powers = {f"p{i}": F.pow("x", F.lit(i)) for i in range(1, 5)}
+    df = _bars(spark, rows).repartition(13).withColumns(powers)
+    fit = regress.ols(df, list(powers), "y").first()
+    design = np.column_stack([x**i for i in range(5)])
+    q, r = np.linalg.qr(design)
+    want = design @ np.linalg.solve(r, q.T @ rows["y"])
+    got = fit.intercept + design[:, 1:] @ np.array(fit.coef)
+    np.testing.assert_allclose(got, want, atol=1e-5)
+    assert fit["rank"] == 4 and fit.n == 900
+    assert fit.mse == pytest.approx(np.mean((rows["y"] - want) ** 2), rel=1e-6)
+    few = regress.ols(df.limit(2), list(powers), "y").first()
+    assert few.n == 2 and few["rank"] <= 1
+
+
+def test_polynomial_of_degree_four_equals_numpy(spark):
+    rng = np.random.default_rng(10)
+    v = rng.lognormal(10, 1, 300)
+    y = np.log(v) + rng.normal(0, 0.1, 300)
+    data = _bars(spark, {"volume": v, "close": y}).withColumn("part", F.lit("train"))
+    got = [r.predicted for r in models.polynomial(data, ["volume"], "close", 4).orderBy("d").collect()]
+    z = (v - v.mean()) / v.std(ddof=1)
+    x = np.column_stack([z**i for i in range(5)])
+    np.testing.assert_allclose(got, x @ np.linalg.lstsq(x, y, rcond=None)[0], rtol=1e-7)
