@@ -62,41 +62,56 @@ def by_size(sets: DataFrame, size: int) -> DataFrame:
 def rules(sets: DataFrame, min_confidence: float = 0.5) -> DataFrame:
     """All rules X -> Z minus X of the frequent sets Z, any split into two parts.
 
-    Subsets of one itemset come from the bits of a counter, so the fan-out depends
-    on the set's size alone. Both lookups are equi-joins on the sorted arrays.
+    Consequents grow by one item a level. A larger consequent leaves a smaller antecedent,
+    which is no rarer, so confidence only falls: a consequent is tried only if the two it is
+    joined from (the same items but for the last) reached ``min_confidence``. What is built
+    follows the rules found, not the subsets of the sets. The lookups are equi-joins on the
+    sorted arrays; the number of levels is that of the largest set.
     """
-
-    def chosen(wanted: int) -> Column:
-        return F.filter("items", lambda _, i: F.getbit("mask", i) == wanted)
-
     sets = settle(sets)
-    masks = F.expr("sequence(1L, cast(power(2, size(items)) as bigint) - 2)")
-    split = (
-        sets.filter(F.size("items") > 1)
-        .select("items", "support", F.explode(masks).alias("mask"))
-        .select(
-            chosen(1).alias("antecedents"),
-            chosen(0).alias("consequents"),
-            "support",
+    known = sets.select(F.col("items").alias("antecedents"), F.col("support").alias("sx"))
+    tried = sets.filter(F.size("items") > 1).select(
+        "items", "support", F.explode("items").alias("y")
+    ).select("items", "support", F.array("y").alias("consequents"))
+    found: DataFrame | None = None
+    while True:
+        level = settle(
+            tried.withColumn("antecedents", F.array_except("items", "consequents"))
+            .join(known, "antecedents")
+            .withColumn("confidence", F.col("support") / F.col("sx"))
+            .filter(F.col("confidence") >= min_confidence)
         )
-    )
-    known_x = sets.select(F.col("items").alias("antecedents"), F.col("support").alias("sx"))
+        if found is not None and level.isEmpty():
+            break
+        found = level if found is None else found.unionByName(level)
+        tried = _grown(level)
     known_y = sets.select(F.col("items").alias("consequents"), F.col("support").alias("sy"))
-    confidence = F.col("support") / F.col("sx")
+    return found.join(known_y, "consequents").select(
+        "antecedents",
+        "consequents",
+        "support",
+        "confidence",
+        (F.col("confidence") / F.col("sy")).alias("lift"),
+        (F.col("support") - F.col("sx") * F.col("sy")).alias("leverage"),
+        F.try_divide(1 - F.col("sy"), 1 - F.col("confidence")).alias("conviction"),
+    )
+
+
+def _grown(level: DataFrame) -> DataFrame:
+    """Consequents one item longer: pairs of one set that differ in their last item only.
+
+    A set's own items bound the tails that share a prefix.
+    """
+    last = F.element_at("consequents", -1)
+    head = F.slice("consequents", F.lit(1), F.size("consequents") - 1)
     return (
-        split.join(known_x, "antecedents")
-        .withColumn("confidence", confidence)
-        .filter(F.col("confidence") >= min_confidence)
-        .join(known_y, "consequents")
-        .select(
-            "antecedents",
-            "consequents",
-            "support",
-            "confidence",
-            (F.col("confidence") / F.col("sy")).alias("lift"),
-            (F.col("support") - F.col("sx") * F.col("sy")).alias("leverage"),
-            F.try_divide(1 - F.col("sy"), 1 - F.col("confidence")).alias("conviction"),
-        )
+        level.groupBy("items", "support", head.alias("head"))
+        .agg(F.array_sort(F.collect_list(last)).alias("tails"))
+        .filter((F.size("tails") > 1) & (F.size("items") > F.size("head") + 2))
+        .select("items", "support", "head", "tails", F.posexplode("tails").alias("at", "a"))
+        .filter(F.col("at") + 1 < F.size("tails"))
+        .select("items", "support", "head", "a", F.explode(F.slice("tails", F.col("at") + 2, F.size("tails"))).alias("b"))
+        .select("items", "support", F.concat("head", F.array("a", "b")).alias("consequents"))
     )
 
 

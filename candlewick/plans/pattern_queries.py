@@ -10,7 +10,10 @@ from candlewick.plans.registry import BARS, BASKETS, query, snap, snapped, sql_c
 from candlewick.sources import views
 
 MIN_SUPPORT = 0.0001
-MIN_CONFIDENCE = 0.5
+MIN_CONFIDENCE = 0.2
+# A rule is significant above these.
+STRONG = {"confidence": 0.5, "lift": 1.0, "support": 0.0008}
+STRONG_SQL = " AND ".join(f"{c} > {v}" for c, v in STRONG.items())
 
 N = BASKETS + """, n AS (SELECT count(DISTINCT basket) AS n FROM items)"""
 PAIRS = """pairs AS MATERIALIZED (
@@ -132,11 +135,11 @@ def rules(spark, root):
 @query(
     "rule_items",
     f"""WITH RECURSIVE {RULES} SELECT DISTINCT unnest(antecedents) AS item FROM rules
-    WHERE confidence > {MIN_CONFIDENCE} AND lift > 1 AND support > 0.0001""",
+    WHERE {STRONG_SQL}""",
 )
 def rule_items(spark, root):
     found = patterns.rules(_sets(spark, root), MIN_CONFIDENCE)
-    return patterns.rule_items(patterns.significant(found, MIN_CONFIDENCE, 1.0, 0.0001))
+    return patterns.rule_items(patterns.significant(found, **STRONG))
 
 
 POOL = f"""{SETS}, best AS (

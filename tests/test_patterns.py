@@ -98,3 +98,19 @@ def test_recent_hits(spark):
 def test_encode_sorts_and_drops_repeats(spark):
     out = patterns.encode(items(spark, {1: [3, 1, 3]}, 2)).select(F.to_json(F.struct("items"))).first()[0]
     assert out == '{"items":[1,3]}'
+
+
+def test_rules_of_a_large_set_follow_what_passes(spark):
+    """25 items have 33 million subsets; with two confident consequents three rules are found."""
+    items = list(range(25))
+    rows = [(items, 0.1)] + [([x for x in items if x != i], 0.12 if i < 2 else 0.9) for i in items]
+    rows += [(items[2:], 0.15), ([0], 0.5), ([1], 0.5), ([0, 1], 0.4)]
+    sets = spark.createDataFrame(rows, "items array<int>, support double")
+    got = {tuple(r.consequents): r for r in patterns.rules(sets, 0.6).collect() if len(r.antecedents) > 22}
+    assert set(got) == {(0,), (1,), (0, 1)}
+    assert got[(0, 1)].antecedents == items[2:] and abs(got[(0, 1)].confidence - 0.1 / 0.15) < 1e-12
+
+
+def test_no_rules_without_pairs(spark):
+    sets = spark.createDataFrame([([1], 0.5)], "items array<int>, support double")
+    assert patterns.rules(sets).collect() == []
