@@ -19,6 +19,7 @@ from candlewick.operators.series import (
     Series,
     first_values,
     forward_fill,
+    gap_means,
     recurrences,
     running_sums,
     seeded,
@@ -82,7 +83,7 @@ def emas(s: Series, columns: dict[str, tuple[str, int]]) -> Series:
     """Exponential means: name -> (column, span). The first row is the seed.
 
     A NULL has no place in the recurrence and would count as 0, so it is an error: drop
-    such rows or fill them first.
+    such rows, fill them first, or take ``emas_over_gaps``.
     """
 
     def known(column: str) -> Column:
@@ -98,6 +99,14 @@ def emas(s: Series, columns: dict[str, tuple[str, int]]) -> Series:
     )
 
 
+def emas_over_gaps(s: Series, columns: dict[str, tuple[str, int]]) -> Series:
+    """Exponential means where values may be missing: name -> (column, span).
+
+    A missing value leaves the mean as it is, and the past fades over the gap.
+    """
+    return gap_means(s, {name: (c, 2 / (span + 1)) for name, (c, span) in columns.items()})
+
+
 def cumulative_vwap(s: Series, price: str = "typical_price", name: str = "vwap") -> Series:
     """Running sum of price times volume over running volume."""
     s = running_sums(s, {"_pv": F.col(price) * F.col("volume"), "_v": F.col("volume")})

@@ -220,10 +220,14 @@ def first_values(s: Series, columns: Sequence[str]) -> Series:
     names = {c: f"first_{c}" for c in columns}
     if s.lookback is None:
         return s.add({n: F.first(c).over(s.upto) for c, n in names.items()})
-    heads = s.df.filter((F.col(RN) == 0) & ~F.col(HALO)).select(
-        *s.key, *[F.col(c).alias(n) for c, n in names.items()]
+    # One row per block says how its series began, so rows join on their block, not on the key.
+    upto = Window.partitionBy(*s.key).orderBy(BLK).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    state = _block_state(
+        s,
+        {f"_h_{c}": F.min_by(c, RN) for c in columns},
+        {n: F.first(f"_h_{c}").over(upto) for c, n in names.items()},
     )
-    return replace(s, df=s.df.join(heads, list(s.key), "left"))
+    return replace(s, df=s.df.join(state, list(s.parts), "left"))
 
 
 @dataclass(frozen=True)
@@ -303,3 +307,59 @@ def recurrences(s: Series, recs: Sequence[Recurrence]) -> Series:
 def seeded(values: Column, decay: float) -> Column:
     """Drive of an exponential mean whose first value is the seed."""
     return F.when(F.col(RN) == 0, values).otherwise(values * (1.0 - decay))
+
+
+# Decades a run of decaying weights may span in one scan block, and those after which the past is gone.
+DECADES, GONE = 100, 18
+
+
+def _slowest_fade(alpha: float) -> float:
+    """Decay per row of the spacing of known values that forgets most slowly."""
+    keep = 1.0 - alpha
+    return max((keep**g / (keep**g + alpha)) ** (1 / g) for g in range(1, 4097))
+
+
+def gap_means(s: Series, means: dict[str, tuple[str, float]]) -> Series:
+    """Exponential means over columns with NULLs: name -> (column, alpha).
+
+    A NULL keeps its place: it adds nothing and the mean before it stays, but the weight of
+    the past fades with every row. A value g rows after the one before it then gives
+    (f y + alpha x) / (f + alpha) with f = (1 - alpha)^g, an affine step y -> a y + b x
+    whose a and b depend on the gap alone. So weights are one running sum of log a, and values
+    one window sum scaled by it. The scan is cut where the weights have spanned ``DECADES``;
+    only the cut before can still reach a row. Rows before the first value have no mean.
+    """
+    for name, (column, alpha) in means.items():
+        s.need(math.ceil(-GONE * math.log(10) / math.log(_slowest_fade(alpha))))
+        log_keep = math.log10(1.0 - alpha)
+        x, known = F.col(column).cast("double"), F.col(column).isNotNull()
+        before = s.ordered.rowsBetween(Window.unboundedPreceding, -1)
+        gap = F.col(RN) - F.max(F.when(known, F.col(RN))).over(before)
+        s = s.add({"_gap": gap})
+        total = F.pow(F.lit(1.0 - alpha), F.col("_gap")) + alpha
+        log_a = F.greatest(F.col("_gap") * log_keep - F.log10(total), F.lit(-float(GONE)))
+        s = s.add(
+            {
+                "_b": F.when(known, F.coalesce(alpha / total, F.lit(1.0)) * x),
+                "_cum": F.coalesce(F.sum(F.when(known, log_a)).over(s.upto), F.lit(0.0)),
+            }
+        )
+        s = s.add({"_cut": F.floor(-F.col("_cum") / DECADES)})
+        span = F.col("_cum") + DECADES * F.col("_cut")
+        inside = (
+            Window.partitionBy(*s.parts, "_cut")
+            .orderBy(RN)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        s = s.add({"_local": F.pow(F.lit(10.0), span) * F.sum(F.col("_b") * F.pow(F.lit(10.0), -span)).over(inside)})
+        previous = Window.partitionBy(*s.parts).orderBy("_cut").rangeBetween(-1, -1)
+        reach = F.col("_cum") - F.min("_cum").over(previous)
+        carried = F.pow(F.lit(10.0), reach) * F.max_by("_local", RN).over(previous)
+        mean = F.col("_local") + F.coalesce(carried, F.lit(0.0))
+        if s.lookback is not None:
+            # Before its first own value a block holds what the block before has computed: the
+            # last value in the halo may stand at its far end, without history.
+            own = F.max(F.when(known, F.col(RN))).over(s.upto) >= F.col(BLK) * s.block_rows
+            mean = F.when(own, mean)
+        s = s.add({name: mean}).drop("_gap", "_b", "_cum", "_cut", "_local")
+    return s if s.lookback is None else forward_fill(s, list(means))

@@ -353,6 +353,38 @@ def ema(spark, root):
     return snapped(s.rows().select(*KEY, *[f"ema_{n}" for n in EMA_ALL]), KEY, 2)
 
 
+GAP_SPANS = (7, 26)
+
+
+def _gap_ema_sql() -> str:
+    keep = {n: f"pow({1 - 2 / (n + 1)!r}::DOUBLE, r.gap)" for n in GAP_SPANS}
+    alpha = {n: f"{2 / (n + 1)!r}::DOUBLE" for n in GAP_SPANS}
+    steps = ", ".join(
+        f"CASE WHEN g.close IS NULL THEN r.ema_{n} "
+        f"ELSE ({keep[n]} * r.ema_{n} + {alpha[n]} * g.close) / ({keep[n]} + {alpha[n]}) END"
+        for n in GAP_SPANS
+    )
+    return f"""WITH RECURSIVE {BARS}, ends AS (SELECT symbol, min(d) AS lo, max(d) AS hi FROM bars GROUP BY 1),
+    spine AS (SELECT symbol, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS d FROM ends),
+    grid AS MATERIALIZED (
+      SELECT s.symbol, s.d, close, row_number() OVER (PARTITION BY s.symbol ORDER BY s.d) AS rn
+      FROM spine s LEFT JOIN bars b ON b.symbol = s.symbol AND b.d = s.d),
+    rec AS (
+      SELECT symbol, d, rn, 1 AS gap, {", ".join(f"close AS ema_{n}" for n in GAP_SPANS)} FROM grid WHERE rn = 1
+      UNION ALL
+      SELECT g.symbol, g.d, g.rn, CASE WHEN g.close IS NULL THEN r.gap + 1 ELSE 1 END, {steps}
+      FROM rec r JOIN grid g ON g.symbol = r.symbol AND g.rn = r.rn + 1)
+    SELECT symbol, d, {sql_columns({f"ema_{n}": f"ema_{n}" for n in GAP_SPANS}, 2)} FROM rec"""
+
+
+@query("ema_over_gaps", _gap_ema_sql())
+def ema_over_gaps(spark, root):
+    """On the daily grid, whose days without a bar have no close."""
+    s = whole(bar_ops.daily_grid(views.bars(spark, root)).select(*KEY, "close"))
+    s = ind.emas_over_gaps(s, {f"ema_{n}": ("close", n) for n in GAP_SPANS})
+    return snapped(s.rows().select(*KEY, *[f"ema_{n}" for n in GAP_SPANS]), KEY, 2)
+
+
 @query(
     "macd",
     f"""WITH RECURSIVE {NUM},

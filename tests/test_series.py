@@ -188,3 +188,53 @@ def test_zero_volume_vwap(closes):
     df = closes(a=[1, 2, 3]).withColumn("volume", F.lit(0.0))
     s = ind.cumulative_vwap(whole(df).add(price_features()))
     assert column(s.rows(), "a", "vwap") == [None] * 3
+
+
+def gappy(pick, n, share):
+    """Values with single gaps, runs of gaps and a late start."""
+    v = pick.uniform(1, 100, n)
+    v[pick.random(n) > share] = np.nan
+    v[n // 2 : n // 2 + n // 5] = np.nan
+    v[: n // 50] = np.nan
+    return v
+
+
+@pytest.mark.parametrize("span", [2, 7, 26, 120])
+@pytest.mark.parametrize("share", [0.95, 0.3, 0.02])
+def test_means_over_gaps_equal_pandas(spark, span, share):
+    n, pick = 3000, np.random.default_rng(span)
+    values = {"a": gappy(pick, n, share), "b": np.full(40, np.nan), "c": gappy(pick, 50, share)}
+    rows = [
+        (k, dt.date(2000, 1, 1) + dt.timedelta(days=i), None if np.isnan(x) else float(x))
+        for k, v in values.items() for i, x in enumerate(v)
+    ]
+    df = spark.createDataFrame(rows, "symbol string, d date, close double")
+    s = ind.emas_over_gaps(whole(df), {"ema": ("close", span)})
+    got = s.rows().toPandas().sort_values("d").groupby("symbol")["ema"]
+    for k, v in values.items():
+        want = pd.Series(v).ewm(span=span, adjust=False).mean()
+        np.testing.assert_allclose(got.get_group(k).to_numpy(float), want.to_numpy(), rtol=1e-9)
+
+
+@pytest.mark.parametrize("block_rows", [400, 1 << 16])
+def test_means_over_gaps_in_blocks(spark, block_rows):
+    n, pick = 5000, np.random.default_rng(1)
+    v = gappy(pick, n, 0.4)
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, at + dt.timedelta(minutes=i), "a", None if np.isnan(x) else float(x)) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "event_id bigint, ts timestamp, symbol string, close double")
+    s = blocked(df, lookback=400, block_rows=block_rows, grains=[F.expr("unix_seconds(ts) div 3600")])
+    s = ind.emas_over_gaps(s, {"ema": ("close", 7)})
+    got = s.rows().orderBy("event_id").toPandas()["ema"].to_numpy(float)
+    np.testing.assert_allclose(got, pd.Series(v).ewm(span=7, adjust=False).mean().to_numpy(), rtol=1e-9)
+    with pytest.raises(ValueError, match="rows of history"):
+        ind.emas_over_gaps(s, {"slow": ("close", 500)})
+
+
+def test_first_values_join_on_blocks(spark):
+    df = ticks(spark, {"HOT": 700, "b": 5})
+    s = blocked(df, lookback=10, block_rows=64, grains=[F.expr("unix_seconds(ts) div 3600")])
+    s = series.first_values(s, ["close"])
+    for g in frame(s.rows()).values():
+        assert (g["first_close"] == g["close"].iloc[0]).all()
+    assert "_blk" in s.df._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
