@@ -6,8 +6,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewick.operators.series import number_rows
-from candlewick.operators.tables import top
+from candlewick.operators.tables import ranked, top
 from candlewick.session import settle
 
 def encode(items: DataFrame) -> DataFrame:
@@ -149,16 +148,15 @@ def repeats_in_neighbours(
 ) -> DataFrame:
     """For each basket, which of its items occur in the ``reach`` neighbouring baskets.
 
-    Baskets get a global sequence number from counts per key range. An item's
+    Baskets, whose ids may be of any ordered type, get a global sequence number from
+    counts per range of ids. An item's
     occurrences are then compared with the one right after (or before) it inside
     blocks of the sequence; a block also receives the ``reach`` sequence numbers
     beyond its edge, so a popular item is spread over all blocks.
     """
     if direction not in ("next", "previous"):
         raise ValueError(f"direction must be 'next' or 'previous', not {direction!r}")
-    baskets = number_rows(
-        items.select("basket").distinct(), [], ["basket"], [F.expr(f"basket div {block}")]
-    ).select("basket", F.col("_rn").alias("seq"))
+    baskets = ranked(items, "basket", "seq")
     rows = items.select("basket", "item").distinct().join(baskets, "basket")
     ahead = direction == "next"
     edge = F.col("seq") % block < reach if ahead else F.col("seq") % block >= block - reach

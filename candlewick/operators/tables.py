@@ -98,17 +98,51 @@ def weighted_pick(df: DataFrame, item: str, weight: str, k: int, seed: int = 42)
 def weighted_pick_replace(
     df: DataFrame, item: str, weight: str, k: int, seed: int = 42
 ) -> DataFrame:
-    """k independent draws: each draw repeats the race of ``weighted_pick``.
+    """k independent draws (draw, item), chance proportional to weight.
 
-    Every item runs in k races and each race keeps its smallest key; the partial
-    aggregate leaves k rows per task before the shuffle.
+    Items lie side by side, each as long as its weight, in item order; a draw is a point, and
+    the item it falls on is taken. Running sums of two levels place the items: one total per
+    range of items, then sums inside a range. A draw finds its range among those totals and
+    its item in one sort of the range's items and points, so items + k rows are handled.
     """
-    u = unit_hash(F.lit(seed), F.col("draw"), F.col(item))
+    items = df.filter(F.col(weight) > 0).select(
+        F.col(item).alias("item"), F.col(weight).cast("double").alias("w")
+    ).repartitionByRange("item")
+    items = settle(items.withColumn("range", F.spark_partition_id()))
+    # One row per range of items.
+    sums = items.groupBy("range").agg(F.sum("w").alias("w"))
+    ranges = sums.select(F.array_sort(F.collect_list(F.struct("range", "w"))).alias("r"))
+    upto = F.aggregate(
+        "r",
+        F.array(F.lit(0.0)),
+        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["w"])),
+    )
+    bounds = settle(ranges.select(F.col("r")["range"].alias("ranges"), upto.alias("upto")))
+    point = unit_hash(F.lit(seed), F.col("draw")) * F.element_at("upto", -1)
+    # `bounds` is a single row.
+    draws = (
+        df.sparkSession.range(1, k + 1)
+        .select(F.col("id").cast("int").alias("draw"))
+        .join(F.broadcast(bounds.filter(F.size("ranges") > 0)))
+        .withColumn("at", point)
+        .withColumn("before", F.size(F.filter("upto", lambda x: x <= F.col("at"))))
+        .select(
+            "draw",
+            F.get("ranges", F.col("before") - 1).alias("range"),
+            (F.col("at") - F.get("upto", F.col("before") - 1)).alias("at"),
+        )
+    )
+    before = Window.partitionBy("range").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
+    starts = items.select("range", "item", F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("at"))
+    every = starts.unionByName(draws, allowMissingColumns=True)
+    # An item's start comes before a point at the same place.
+    line = Window.partitionBy("range").orderBy("at", F.col("draw").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
     return (
-        df.filter(F.col(weight) > 0)
-        .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(k))))
-        .groupBy("draw")
-        .agg(F.min_by(item, F.struct((-F.log(u) / F.col(weight)).alias("k"), F.col(item))).alias(item))
+        every.withColumn("item", F.last("item", ignorenulls=True).over(line))
+        .filter(F.col("draw").isNotNull())
+        .select("draw", F.col("item").alias(item))
     )
 
 
@@ -120,11 +154,11 @@ def fixed_counts(df: DataFrame, column: str, labels: list[str], name: str = "n")
     return grid.join(counts, column, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
-def label_encode(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Replace a category by its rank in sorted order, from 0.
+def ranked(df: DataFrame, column: str, name: str) -> DataFrame:
+    """(column, name): the distinct values and their rank in sorted order, from 0.
 
-    The dictionary is built once, range-partitioned, and numbered inside its ranges; what
-    comes before a range is one count per range. Rows without a category keep a NULL code.
+    The values are range-partitioned and numbered inside their ranges; what comes before a
+    range is one count per range, so no task sees more than a range.
     """
     levels = df.select(column).distinct().na.drop().repartitionByRange(column)
     levels = settle(levels.select(column, F.spark_partition_id().alias("_range")))
@@ -132,12 +166,19 @@ def label_encode(df: DataFrame, column: str, name: str) -> DataFrame:
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     rank = F.row_number().over(Window.partitionBy("_range").orderBy(column)) - 1
-    codes = (
+    return (
         levels.withColumn("_rank", rank)
         .join(starts, "_range")
         .select(column, (F.col("_start") + F.col("_rank")).alias(name))
     )
-    return df.join(codes, column, "left")
+
+
+def label_encode(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Replace a category by its rank in sorted order, from 0.
+
+    Rows without a category keep a NULL code.
+    """
+    return df.join(ranked(df, column, name), column, "left")
 
 
 def recent_period(df: DataFrame, column: str, days: int, as_of: Column | None = None) -> DataFrame:

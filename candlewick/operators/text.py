@@ -76,23 +76,42 @@ def clean(
     return df.filter(F.col(text).isNotNull()).withColumn("content", F.array_join(arr, " "))
 
 
+CONTEXT = 3  # tokens before a word that bear on it
+
+
+def in_context(
+    df: DataFrame, text: str = "text", doc: str = "doc_id", pattern: str = ALPHA
+) -> DataFrame:
+    """One row per token with the tokens before it, cut inside the text's row."""
+    base = df.filter(F.col(text).isNotNull()).select(doc, words(F.col(text), pattern).alias("w"))
+    near = F.transform(
+        "w",
+        lambda t, i: F.struct(
+            t.alias("token"),
+            *[F.when(i >= k, F.get("w", i - k)).alias(f"before_{k}") for k in range(1, CONTEXT + 1)],
+        ),
+    )
+    return base.select(doc, F.explode_outer(near).alias("t")).filter("t IS NOT NULL").select(doc, "t.*")
+
+
 def _adjusted(
     scored: DataFrame, doc: str, negations: Sequence[str], boosters: dict[str, float]
 ) -> DataFrame:
     """Valence after boosters and negations among the three tokens before."""
-    w = Window.partitionBy(doc).orderBy("pos")
+    if "before_1" not in scored.columns:
+        w = Window.partitionBy(doc).orderBy("pos")
+        scored = scored.withColumns({f"before_{k}": F.lag("token", k).over(w) for k in range(1, CONTEXT + 1)})
     v = F.col("valence")
     boost = F.lit(0.0)
-    names = list(boosters)
     for back, fade in enumerate(BOOST_FADE, 1):
-        before = F.lag("token", back).over(w)
+        before = F.col(f"before_{back}")
         sign = F.lit(0.0)
-        for word in names:
+        for word in boosters:
             sign = F.when(before == word, boosters[word]).otherwise(sign)
         boost = boost + F.coalesce(sign, F.lit(0.0)) * BOOST_STEP * fade
     negated = F.lit(False)
-    for back in (1, 2, 3):
-        negated = negated | F.coalesce(F.lag("token", back).over(w).isin(list(negations)), F.lit(False))
+    for back in range(1, CONTEXT + 1):
+        negated = negated | F.coalesce(F.col(f"before_{back}").isin(list(negations)), F.lit(False))
     value = v + F.signum(v) * boost
     return scored.withColumn("_n", negated).withColumn(
         "valence", F.when(F.col("_n"), value * NEGATION_SCALE).otherwise(value)
@@ -109,8 +128,9 @@ def sentiment(
     """Compound score, positive / negative / neutral shares and label per document.
 
     Without context rules equal tokens of a document are counted before the
-    lexicon lookup, which shrinks the join's input. With them every token keeps
-    its position and looks at the three tokens before it.
+    lexicon lookup, which shrinks the join's input. With them every token looks at the
+    three tokens before it: rows of ``in_context`` carry those along, and only partial sums
+    per document are exchanged; rows of ``tokens`` are sorted by their position first.
     """
     if negations or boosters:
         rows = tok.join(lexicon, "token", "left").withColumn("n", F.lit(1))

@@ -172,11 +172,14 @@ def weighted_pick(spark, root):
 
 @query(
     "weighted_pick_replace",
-    f"""WITH RECURSIVE {POOL}, u AS (
-      SELECT draw, item, -ln((CAST('0x' || substr(md5('42|' || draw || '|' || item), 1, 8) AS BIGINT)
-        + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / weight AS k
-      FROM pool, (SELECT unnest(generate_series(1, 100)) AS draw) WHERE weight > 0)
-    SELECT CAST(draw AS INT) AS draw, arg_min(item, k) AS item FROM u GROUP BY 1""",
+    f"""WITH RECURSIVE {POOL}, line AS (
+      SELECT item, sum(weight) OVER (ORDER BY item) AS z, sum(weight) OVER (ORDER BY item) - weight AS a
+      FROM pool WHERE weight > 0),
+    points AS (
+      SELECT draw, (CAST('0x' || substr(md5('42|' || draw), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+        / 4294967296.0::DOUBLE * (SELECT sum(weight) FROM pool) AS p
+      FROM (SELECT unnest(generate_series(1, 100)) AS draw))
+    SELECT CAST(draw AS INT) AS draw, item FROM points JOIN line ON p >= a AND p < z""",
 )
 def weighted_pick_replace(spark, root):
     pool = patterns.item_pool(_sets(spark, root))

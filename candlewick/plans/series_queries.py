@@ -20,7 +20,7 @@ from candlewick.plans.registry import (
     sql_columns,
     sql_snap,
 )
-from candlewick.sources import views
+from candlewick.sources import files, views
 
 KEY = ["symbol", "d"]
 
@@ -119,9 +119,7 @@ def future_grid(spark, root):
     WHERE symbol IN ('1-URGENT', '3-MEDIUM') AND d >= DATE '1997-01-01'""",
 )
 def bars_since(spark, root):
-    return views.bars(spark, root).filter(
-        F.col("symbol").isin("1-URGENT", "3-MEDIUM") & (F.col("d") >= F.lit("1997-01-01").cast("date"))
-    )
+    return files.load_bars(views.bars(spark, root), ["1-URGENT", "3-MEDIUM"], "1997-01-01")
 
 
 @query(

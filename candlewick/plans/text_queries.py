@@ -140,8 +140,9 @@ NEG_SQL = " OR ".join(
     {SCORES} SELECT * FROM scores""",
 )
 def lexicon_sentiment_context(spark, root):
-    tok = text.tokens(views.news(spark, root))
-    return text.sentiment(tok, views.lexicon(tok), negations=NEGATIONS, boosters=BOOSTERS)
+    news = views.news(spark, root)
+    lexicon = views.lexicon(text.tokens(news))
+    return text.sentiment(text.in_context(news), lexicon, negations=NEGATIONS, boosters=BOOSTERS)
 
 
 def _ngram_sql(lo: int, hi: int) -> str:

@@ -114,3 +114,10 @@ def test_rules_of_a_large_set_follow_what_passes(spark):
 def test_no_rules_without_pairs(spark):
     sets = spark.createDataFrame([([1], 0.5)], "items array<int>, support double")
     assert patterns.rules(sets).collect() == []
+
+
+def test_neighbours_of_named_baskets(spark):
+    rows = [("monday", 1), ("tuesday", 1), ("a", 1), ("b", 2), ("c", 2)]
+    items = spark.createDataFrame(rows, "basket string, item int")
+    df = patterns.repeats_in_neighbours(items, 1, "next")
+    assert {r.basket: r.appearances for r in df.collect()} == {"a": 0, "b": 1, "c": 0, "monday": 1, "tuesday": 0}

@@ -182,3 +182,22 @@ def test_label_encode_numbers_many_labels_with_one_beginning(spark):
     df = spark.createDataFrame([(n,) for n in reversed(names)], "w string")
     out = {r.w: r.code for r in tables.label_encode(df, "w", "code").collect()}
     assert out == {n: i for i, n in enumerate(names)}
+
+
+def test_draws_follow_the_weights_over_ranges(spark):
+    """Chi-square over 200 items in many ranges; an item of weight 0 is never drawn."""
+    rows = [(i, float(i % 5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "item int, weight double").repartition(7)
+    n = 20_000
+    got = {r["item"]: r["n"] for r in tables.weighted_pick_replace(df, "item", "weight", n).groupBy("item").agg(F.count("*").alias("n")).collect()}
+    total = sum(w for _, w in rows)
+    assert sum(got.values()) == n and not any(got.get(i, 0) for i, w in rows if not w)
+    chi = sum((got.get(i, 0) - n * w / total) ** 2 / (n * w / total) for i, w in rows if w)
+    assert chi < 160 + 4 * (2 * 160) ** 0.5
+    assert tables.weighted_pick_replace(df.limit(0), "item", "weight", 5).collect() == []
+
+
+def test_ranks_of_any_type(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("b",), ("é",)], "k string")
+    got = {r["k"]: r["n"] for r in tables.ranked(df, "k", "n").collect()}
+    assert got == {"a": 0, "b": 1, "é": 2}

@@ -88,3 +88,15 @@ def test_classifier_learns_a_word(spark):
     out = models.sentiment_classifier(featured, "label_name")
     assert out.count() == 120
     assert out.filter(F.col("label_name") != F.col("predicted_sentiment")).count() == 0
+
+
+def test_context_in_the_row_equals_the_window(spark):
+    from candlewick.operators import text
+
+    docs = spark.createDataFrame([(1, "not very good, good"), (2, ""), (3, None), (4, "bad not")], "doc_id int, text string")
+    lexicon = spark.createDataFrame([("good", 1.9), ("bad", -2.5)], "token string, valence double")
+    rules = {"negations": ["not"], "boosters": {"very": 1.0}}
+    near = text.sentiment(text.in_context(docs), lexicon, **rules)
+    far = text.sentiment(text.tokens(docs), lexicon, **rules)
+    assert sorted(near.collect()) == sorted(far.collect())
+    assert "Window" not in near._jdf.queryExecution().optimizedPlan().toString()
