@@ -84,6 +84,9 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+DEPTH = 250  # levels of a tree; it is walked by recursion
+
+
 class Node:
     """An element or, with label '#', a text leaf."""
 
@@ -204,7 +207,14 @@ def parse(page: str) -> Node:
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            stack[-1].kids.append(Node("#", text))
+            # Elements below DEPTH are no nodes: their text joins the last node above in page
+            # order, inside one node for each role that they gave it.
+            at = stack[: DEPTH][-1]
+            for role in dict.fromkeys(n.role for n in stack[DEPTH:] if n.role):
+                at.kids.append(Node("deep"))
+                at = at.kids[-1]
+                at.role = role
+            at.kids.append(Node("#", text))
 
     def close(names: set[str], until: set[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -247,7 +257,8 @@ def parse(page: str) -> Node:
             continue
         node = Node(label_of(name, rest))
         node.role = role_of(name, rest)
-        stack[-1].kids.append(node)
+        if len(stack) < DEPTH:
+            stack[-1].kids.append(node)
         stack.append(node)
     if until < len(tokens):
         parts.append(page[at:])

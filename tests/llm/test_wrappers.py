@@ -132,3 +132,15 @@ def test_split_hosts_give_the_same(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
     out = {r["page_id"]: r["text"] for r in wrappers.extract(pages, broadcast_bytes=0).collect()}
     assert out == {i: f"Story {i}" for i in range(40)}
+
+
+def test_deeply_nested_pages(spark):
+    """Blocks below any depth keep their text, order and roles; other pages of the host are not touched."""
+    deep = "<div>" * 5000
+    page = f"<body><article><p>top</p>{deep}<p>a</p><nav>menu</nav><div><p>b</p></div>c{'</div>' * 5000}<p>end</p></article></body>"
+    open_ended = f"<article><p>x</p>{'<section><ul><li>' * 3000}low"
+    outside = f"{'<div>' * 1500}<main><p>in</p><aside>no</aside></main><p>out</p>"
+    rows = [(1, "http://h/1", page), (2, "http://h/2", open_ended), (3, "http://h/3", outside), (4, "http://h/4", "<article><p>plain</p></article>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(pages).collect()}
+    assert got == {1: "top\n\na\n\nb\n\nc\n\nend", 2: "x\n\nlow", 3: "in", 4: "plain"}
