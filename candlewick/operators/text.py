@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewick.functions.columns import sentiment_label
+from candlewick.operators.tables import ranked
 
 ALPHA = r"(\p{L}+)"
 WORD = r"([\p{L}\p{N}_]{2,})"
@@ -198,6 +199,11 @@ def vocabulary(terms: DataFrame, size: int) -> DataFrame:
     )
 
 
+def term_index(terms: DataFrame, size: int) -> DataFrame:
+    """(term, index): the ``size`` most frequent terms numbered from 0 in term order."""
+    return ranked(vocabulary(terms, size), "term", "index")
+
+
 def limit_vocabulary(terms: DataFrame, size: int) -> DataFrame:
     """Keep the terms of a capped vocabulary; at most ``size`` rows are broadcast.
 

@@ -338,3 +338,14 @@ def label_totals(spark, root):
 )
 def accuracy(spark, root):
     return snapped(metrics.accuracy(_guess(spark, root), "risk_level", "guess"), [], 8)
+
+
+@query(
+    "term_index",
+    f"""WITH {_ngram_sql(1, 2)}, v AS (
+      SELECT term, sum(tf) AS total FROM tf GROUP BY 1 ORDER BY total DESC, term LIMIT 5000)
+    SELECT term, row_number() OVER (ORDER BY term) - 1 AS index FROM v""",
+)
+def term_index(spark, root):
+    """The features of the most frequent words and pairs."""
+    return text.term_index(text.ngrams(views.news(spark, root), 1, 2), 5000)

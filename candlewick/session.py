@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
@@ -66,13 +67,14 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     """Write a small table that later steps read repeatedly to shared storage.
 
     Cuts the lineage: lost executors re-read the files instead of recomputing. As parquet
-    the table keeps its columns, so later scans prune and have sizes to plan with.
+    the table keeps its columns, so later scans prune and have sizes to plan with. A
+    ``schema`` reads the same files as other types of the same layout.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)

@@ -100,3 +100,23 @@ def test_context_in_the_row_equals_the_window(spark):
     far = text.sentiment(text.tokens(docs), lexicon, **rules)
     assert sorted(near.collect()) == sorted(far.collect())
     assert "Window" not in near._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_every_term_has_a_feature_of_its_own(spark):
+    """More terms than any small number of buckets could part; weights match the long tables."""
+    words = [f"w{i:04d}" for i in range(600)]
+    rows = [(i, " ".join(words[i * 20 : i * 20 + 40]), 0.25) for i in range(29)] + [(99, "", 0.5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, share double")
+    got = {r.doc_id: r.raw for r in models.text_features(df, "text", ["share"]).collect()}
+    single = text.term_counts(text.ngrams(df, 1, 1))
+    index = {r["term"]: r["index"] for r in text.term_index(text.ngrams(df, 1, 2), 1 << 17).collect()}
+    assert len(index) == len(set(index.values())) == 600 + 599
+    want = {}
+    for r in text.tfidf(single, df).collect():
+        want.setdefault(r.doc_id, {})[index[r.term]] = r.weight
+    for r in text.term_counts(text.ngrams(df, 2, 2)).collect():
+        want[r.doc_id][index[r.term]] = float(r.tf)
+    for i, vector in got.items():
+        pairs = dict(zip(vector.indices.tolist(), vector.values.tolist()))
+        assert vector.size == len(index) + 1 and pairs.pop(len(index)) == (0.5 if i == 99 else 0.25)
+        assert pairs == pytest.approx(want.get(i, {}))
