@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from candlewick.functions.columns import row_total
 from candlewick.operators import patterns, tables
 from candlewick.plans.registry import BARS, BASKETS, query, snap, snapped, sql_columns, sql_snap
-from candlewick.sources import views
+from candlewick.session import checkpoint_root
+from candlewick.sources import keyed, views
 
 MIN_SUPPORT = 0.0001
 MIN_CONFIDENCE = 0.2
@@ -291,8 +294,8 @@ SELECT o_orderkey AS k, o_totalprice AS v, CAST(o_orderdate AS DATE) AS t FROM o
 UNION ALL SELECT k, v, CAST(t AS DATE) FROM changes"""
 
 
-@query("upsert_latest", UPSERT_SQL)
-def upsert_latest(spark, root):
+def _order_changes(spark, root):
+    """(current, changes): half of the changes move a row's value, the others bring new keys."""
     orders = views.table(spark, root, "orders")
     day = F.col("o_orderdate").cast("date").alias("t")
     current = orders.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"), day)
@@ -300,7 +303,31 @@ def upsert_latest(spark, root):
     changes = orders.filter(F.col("o_orderstatus") != "O").select(
         (F.col("o_orderkey") + moved).alias("k"), (F.col("o_totalprice") + 1).alias("v"), day
     )
-    return tables.upsert(current, changes, ["k"], "t")
+    return current, changes
+
+
+@query("upsert_latest", UPSERT_SQL)
+def upsert_latest(spark, root):
+    return tables.upsert(*_order_changes(spark, root), ["k"], "t")
+
+
+@query(
+    "upsert_files",
+    """WITH c AS (SELECT o_orderkey AS k, o_totalprice AS v, CAST(o_orderdate AS DATE) AS t FROM orders),
+    edge AS (SELECT quantile_disc(k, 0.9) AS e FROM c)
+    SELECT k, CASE WHEN k >= e THEN v + 1 ELSE v END AS v, t FROM c, edge
+    UNION ALL SELECT k + 10000000000, v + 1, t FROM c, edge WHERE k >= e""",
+)
+def upsert_files(spark, root):
+    """Changes of the last tenth of the keys and new keys behind them, merged into the files they touch."""
+    current, _ = _order_changes(spark, root)
+    edge = current.select(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY k)").alias("e"))
+    last = current.join(F.broadcast(edge), F.col("k") >= F.col("e")).drop("e").withColumn("v", F.col("v") + 1)
+    fresh = last.withColumn("k", F.col("k") + 10_000_000_000)
+    table = f"{checkpoint_root(spark)}/keyed-{uuid.uuid4().hex}"
+    keyed.create(current, table, "k", file_rows=max(1000, current.count() // 20))
+    keyed.merge(spark, table, last.unionByName(fresh), "k", "t")
+    return keyed.load(spark, table)
 
 
 @query(

@@ -201,3 +201,27 @@ def test_ranks_of_any_type(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("b",), ("é",)], "k string")
     got = {r["k"]: r["n"] for r in tables.ranked(df, "k", "n").collect()}
     assert got == {"a": 0, "b": 1, "é": 2}
+
+
+def test_merge_rewrites_touched_files_only(spark, tmp_path):
+    from candlewick.sources import keyed
+
+    root = f"{tmp_path}/t"
+    days = [dt.date(2024, 1, 1), dt.date(2024, 1, 2)]
+    df = spark.createDataFrame([(i, float(i), days[0]) for i in range(1000)], "k int, v double, t date")
+    keyed.create(df, root, "k", file_rows=100)
+    before = {r["path"]: (r["lo"], r["hi"]) for r in keyed.manifest(spark, root).collect()}
+    assert len(before) == 10
+    new = spark.createDataFrame([(250, -1.0, days[0]), (250, -2.0, days[1]), (251, -3.0, days[0]), (5000, 9.0, days[0])], df.schema)
+    assert keyed.merge(spark, root, new, "k", "t", file_rows=100) == (1, 9)
+    after = {r["path"] for r in keyed.manifest(spark, root).collect()}
+    hit = {p for p, (lo, hi) in before.items() if lo <= 250 <= hi}
+    assert set(before) - after == hit and len(hit) == 1
+    rows = {r["k"]: r["v"] for r in keyed.load(spark, root).collect()}
+    assert rows == {i: float(i) for i in range(1000)} | {250: -2.0, 251: -3.0, 5000: 9.0}
+    assert keyed.load(spark, root, 0).count() == 1000
+    # A merge that died after its data and before its manifest leaves the table as it is.
+    (tmp_path / "t/manifest/00000002").mkdir()
+    assert keyed.versions(spark, root) == [0, 1]
+    assert keyed.merge(spark, root, new.limit(0), "k", "t") == (0, len(after))
+    assert keyed.load(spark, root).count() == 1001
