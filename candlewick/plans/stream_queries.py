@@ -33,3 +33,17 @@ def stream_signal(spark, root):
     ticks = live.tick_stream(spark, f"{root}/events.parquet")
     out = live.stream_signals(ticks, live.work_folder(spark, "signals"), BUY, SELL)
     return out.select("event_id", "symbol", snap(F.col("forecast")).alias("forecast"), "signal")
+
+
+@query(
+    "stream_signal_in_time",
+    f"""WITH RECURSIVE {TNUM}, {recursive({"f": ema_rec("value", 14)})}
+    SELECT n.event_id, n.symbol, {sql_columns({"forecast": "f"})},
+      CASE WHEN f <= {BUY} THEN 'buy' WHEN f >= {SELL} THEN 'sell' END AS signal
+    FROM rec r JOIN num n ON n.symbol = r.symbol AND n.rn = r.rn""",
+)
+def stream_signal_in_time(spark, root):
+    """Ticks wait an hour for those before them."""
+    ticks = live.tick_stream(spark, f"{root}/events.parquet")
+    out = live.stream_signals(ticks, live.work_folder(spark, "timed"), BUY, SELL, late=3600)
+    return out.select("event_id", "symbol", snap(F.col("forecast")).alias("forecast"), "signal")

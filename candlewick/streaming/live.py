@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,6 +87,11 @@ def _run(writer, write, folder: str) -> None:
     query.awaitTermination()
 
 
+SIGNALS = (
+    "event_id bigint, ts timestamp, symbol string, value double, forecast double, position bigint, signal string"
+)
+
+
 def stream_signals(
     ticks: DataFrame,
     folder: str,
@@ -93,6 +99,7 @@ def stream_signals(
     sell_at: float,
     span: int = 14,
     block_rows: int = 1 << 16,
+    late: int | None = None,
 ) -> DataFrame:
     """Running exponential mean per symbol as one-step forecast, with its signal.
 
@@ -100,23 +107,32 @@ def stream_signals(
     in row blocks like any long series and then shifted by what the batch before
     left behind: one hot symbol does not end up in one task. State is one row per
     symbol, written per batch number, which makes a repeated batch harmless.
-    Batches are taken in arrival order and sorted by time inside.
+
+    By default batches are taken in arrival order and sorted by time inside. With ``late``
+    seconds the order is that of the events: ticks wait until the newest tick is that much
+    newer, and are then taken up to there in time order over all batches. A tick that comes
+    after its time has been taken is dropped and counted, see ``dropped_ticks``. What still
+    waits at the end is appended to the result, but stays waiting for the next run.
     """
     decay = 1 - 2 / (span + 1)
     spark = ticks.sparkSession
 
+    def signals(rows: DataFrame, state: DataFrame) -> DataFrame:
+        made = _advance(rows, state, decay, block_rows)
+        return made.withColumn("signal", trade_signal(F.col("forecast"), buy_at, sell_at))
+
+    def state_of(number: int) -> DataFrame:
+        if number < 0:
+            return spark.createDataFrame([], "symbol string, last double")
+        return spark.read.parquet(f"{folder}/state/{number}")
+
     def write(batch: DataFrame, number: int) -> None:
-        state = (
-            spark.read.parquet(f"{folder}/state/{number - 1}")
-            if number
-            else spark.createDataFrame([], "symbol string, last double")
-        )
-        out = _advance(batch, state, decay, block_rows).withColumn(
-            "signal", trade_signal(F.col("forecast"), buy_at, sell_at)
-        )
+        state = state_of(number - 1)
+        if late is not None:
+            batch = _in_time(spark, ticks.schema, batch, f"{folder}/waiting", number, late)
         target = f"{folder}/signals/batch={number}"
-        out.write.mode("overwrite").parquet(target)
-        done = spark.read.parquet(target)
+        signals(batch, state).write.mode("overwrite").parquet(target)
+        done = spark.read.schema(SIGNALS).parquet(target)
         ends = done.groupBy("symbol").agg(F.max_by("forecast", "position").alias("now"))
         merged = state.join(ends, "symbol", "full").select(
             "symbol", F.coalesce("now", "last").alias("last")
@@ -125,13 +141,61 @@ def stream_signals(
         # A repeated batch needs the state before it; older ones are done with.
         remove(spark, f"{folder}/state/{number - 2}")
 
-    none = _advance(
-        spark.createDataFrame([], ticks.schema), spark.createDataFrame([], "symbol string, last double"),
-        decay, block_rows,
-    ).withColumn("signal", trade_signal(F.col("forecast"), buy_at, sell_at))
-    none.write.mode("overwrite").parquet(f"{folder}/signals/batch=-1")
+    # Without any tick there is no batch; the empty table is there all the same.
+    spark.createDataFrame([], SIGNALS).write.mode("overwrite").parquet(f"{folder}/signals/batch=-1")
     _run(ticks.writeStream.outputMode("append"), write, folder)
-    return spark.read.parquet(f"{folder}/signals")
+    taken = spark.read.parquet(f"{folder}/signals")
+    if late is None:
+        return taken
+    last = _last_batch(spark, f"{folder}/waiting")
+    if last < 0:
+        return taken
+    held = spark.read.schema(ticks.schema).parquet(f"{folder}/waiting/{last}/ticks")
+    return taken.unionByName(signals(held, state_of(last)), allowMissingColumns=True)
+
+
+def _last_batch(spark: SparkSession, folder: str) -> int:
+    """Number of the newest batch that left its waiting ticks, -1 for none."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/edge/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return max((int(f.getPath().getParent().getParent().getName()) for f in found or []), default=-1)
+
+
+def _in_time(spark, schema, batch: DataFrame, folder: str, number: int, late: int) -> DataFrame:
+    """The ticks whose time has come, in a table of their own; the others wait under the batch number.
+
+    ``edge`` is one row: the time up to which ticks were taken, the newest tick, and how many
+    came too late so far.
+    """
+    now = f"{folder}/{number}"
+    before = f"{folder}/{number - 1}"
+    edge, newest, dropped, rows = None, None, 0, batch
+    if number > 0:
+        edge, newest, dropped = spark.read.parquet(f"{before}/edge").first()
+        rows = batch.unionByName(spark.read.schema(schema).parquet(f"{before}/ticks"))
+    top = F.max("ts").alias("top")
+    behind = F.count_if(F.col("ts") <= F.lit(edge)).alias("behind") if edge else F.lit(0).alias("behind")
+    top, behind = batch.agg(top, behind).first()
+    newest = max((t for t in (newest, top) if t is not None), default=None)
+    upto = None if newest is None else newest - dt.timedelta(seconds=late)
+    if edge is not None:
+        upto = max(upto, edge)
+        rows = rows.filter(F.col("ts") > F.lit(edge))
+    ripe = F.lit(False) if upto is None else F.col("ts") <= F.lit(upto)
+    rows.filter(ripe).write.mode("overwrite").parquet(f"{now}/taken")
+    rows.filter(~ripe).write.mode("overwrite").parquet(f"{now}/ticks")
+    row = [(upto, newest, dropped + behind)]
+    spark.createDataFrame(row, "upto timestamp, newest timestamp, dropped bigint").coalesce(1).write.mode(
+        "overwrite"
+    ).parquet(f"{now}/edge")
+    remove(spark, f"{folder}/{number - 2}")
+    return spark.read.schema(schema).parquet(f"{now}/taken")
+
+
+def dropped_ticks(spark: SparkSession, folder: str) -> int:
+    """Ticks of a ``stream_signals`` run with ``late`` that came after their time was taken."""
+    last = _last_batch(spark, f"{folder}/waiting")
+    return 0 if last < 0 else spark.read.parquet(f"{folder}/waiting/{last}/edge").first()["dropped"]
 
 
 def _advance(batch: DataFrame, state: DataFrame, decay: float, block_rows: int) -> DataFrame:

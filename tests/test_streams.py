@@ -70,3 +70,25 @@ def test_old_state_goes(spark, folder, tmp_path):
     root, _ = folder
     live.stream_signals(live.tick_stream(spark, f"{root}/ticks", files=1), f"{root}/work", 30.0, 50.0, span=5, block_rows=256)
     assert sorted(p.name for p in (tmp_path / "work/state").iterdir() if p.is_dir()) == ["2", "3"]
+
+
+def test_signals_in_event_time(spark, folder, tmp_path):
+    """Parts that overlap in time by up to two hours give the batch result; later ticks are counted."""
+    _, df = folder
+    shuffled = df.withColumn("part", (F.unix_seconds(F.col("ts").cast("timestamp")) + 7200 * F.rand(3)).cast("long"))
+    edges = [r[0] for r in shuffled.selectExpr("explode(percentile_approx(part, array(0.25, 0.5, 0.75)))").collect()]
+    for i, (lo, hi) in enumerate(zip([0, *edges], [*edges, 1 << 60])):
+        out = shuffled.filter((F.col("part") > lo) & (F.col("part") <= hi)).drop("part")
+        out.coalesce(1).write.parquet(f"{tmp_path}/mixed/{i}")
+    names = f"{tmp_path}/mixed/*"
+    ticks = live.tick_stream(spark, names, files=1)
+    got = live.stream_signals(ticks, f"{tmp_path}/w1", 20.0, 60.0, late=7200).toPandas()
+    plain = live.stream_signals(live.tick_stream(spark, f"{tmp_path}/ticks", files=1), f"{tmp_path}/w2", 20.0, 60.0).toPandas()
+    assert live.dropped_ticks(spark, f"{tmp_path}/w1") == 0
+    a, b = (t.sort_values("event_id").set_index("event_id")["forecast"] for t in (got, plain))
+    np.testing.assert_allclose(a.to_numpy(), b.to_numpy(), rtol=1e-12)
+    hasty = live.stream_signals(ticks, f"{tmp_path}/w3", 20.0, 60.0, late=0).toPandas()
+    lost = live.dropped_ticks(spark, f"{tmp_path}/w3")
+    assert lost > 0 and len(hasty) == 400 - lost
+    none = live.tick_stream(spark, f"{tmp_path}/ticks").filter("false")
+    assert live.stream_signals(none, f"{tmp_path}/w4", 20.0, 60.0, late=60).count() == 0
