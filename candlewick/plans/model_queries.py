@@ -197,6 +197,30 @@ def vif_all(spark, root):
     return regress.vif(views.bars(spark, root), ["open", "high", "low", "volume", "market_cap"])
 
 
+FEATURE_ROWS = f"""{NUM}, f AS (SELECT * FROM (SELECT symbol, d, close, open, volume,
+        {full(3, "close", f"avg(close) {rows(3)}")} AS moving_avg, lag(close) {W} AS prev_close FROM num)
+      WHERE moving_avg IS NOT NULL AND prev_close IS NOT NULL)"""
+
+
+@query(
+    "rfe_step",
+    f"""WITH {FEATURE_ROWS}, m AS (SELECT symbol, var_pop(open) AS a, var_pop(volume) AS b, var_pop(prev_close) AS c,
+      covar_pop(open, volume) AS p, covar_pop(open, prev_close) AS q, covar_pop(volume, prev_close) AS r,
+      covar_pop(open, close) AS x, covar_pop(volume, close) AS y, covar_pop(prev_close, close) AS z FROM f GROUP BY 1),
+    b AS (SELECT symbol,
+      abs(x * (b * c - r * r) - p * (y * c - r * z) + q * (y * r - b * z)) AS d1,
+      abs(a * (y * c - z * r) - x * (p * c - q * r) + q * (p * z - q * y)) AS d2,
+      abs(a * (b * z - r * y) - p * (p * z - q * y) + x * (p * r - b * q)) AS d3 FROM m),
+    u AS (SELECT symbol, unnest(['open', 'volume', 'prev_close']) AS feature, unnest([d1, d2, d3]) AS v,
+      least(d1, d2, d3) AS low FROM b)
+    SELECT symbol, feature, v > low AS selected, CASE WHEN v > low THEN 1 ELSE 2 END AS ranking FROM u""",
+)
+def rfe_step(spark, root):
+    """Elimination of one of three features, against coefficients by cofactors."""
+    out = regress.rfe(_features(spark, root), ["open", "volume", "prev_close"], "close", 2)
+    return out.select("symbol", "feature", "selected", "ranking")
+
+
 @query("rfe")
 def rfe(spark, root):
     return regress.rfe(_features(spark, root), LAGGED, "close", 3)
@@ -236,6 +260,20 @@ def metrics_query(spark, root):
     return snapped(out, ["symbol"], 4)
 
 
+SQUARES = [
+    (a, b) for i, a in enumerate(("open", "volume", "prev_close")) for b in ("open", "volume", "prev_close")[i:]
+]
+MONOMIALS = ("open", "volume", "prev_close", *[f"{a}_{b}" for a, b in SQUARES])
+
+
+@query("poly_normal_equations", _upright(MONOMIALS))
+def poly_normal_equations(spark, root):
+    """The residuals of the training rows lean on no monomial of the fitted degree."""
+    scored = models.polynomial(_features(spark, root), ("open", "volume", "prev_close"), "close")
+    train = scored.filter(F.col("part") == "train")
+    return _leaning(train.withColumns({f"{a}_{b}": F.col(a) * F.col(b) for a, b in SQUARES}), MONOMIALS)
+
+
 @query("poly")
 def poly(spark, root):
     scored = models.polynomial(_features(spark, root), ("open", "volume", "prev_close"), "close")
@@ -259,6 +297,19 @@ def tree(spark, root):
     return metrics.regression_scores(test, "close", "predicted", ["symbol"])
 
 
+@query(
+    "tree_rows",
+    f"""WITH {FEATURE_ROWS}, r AS (SELECT symbol, d, row_number() OVER (PARTITION BY symbol ORDER BY d) AS i,
+      count(*) OVER (PARTITION BY symbol) AS n FROM f)
+    SELECT symbol, d, CASE WHEN i <= n - ceil(n * 0.2::DECIMAL(10, 9)) THEN 'train' ELSE 'test' END AS part,
+      TRUE AS scored FROM r""",
+)
+def tree_rows(spark, root):
+    """Which rows a tree is grown on and which it only scores."""
+    scored, _ = models.tree_regression(_coded(spark, root), CODED, "close", "tree")
+    return scored.select(*KEY, "part", F.col("predicted").isNotNull().alias("scored"))
+
+
 @query("forest")
 def forest(spark, root):
     _, importance = models.tree_regression(_coded(spark, root), CODED, "close", "forest")
