@@ -404,7 +404,20 @@ def sentiment_report_support(spark, root):
 
 # ---------------------------------------------------------------- forecasts
 
-AR1 = NUM + f""", w AS (SELECT *, close - lag(close) {W} AS w FROM num),
+# Models with lags want every day: the last close stands for a day without a bar.
+GRID = BARS + """, ends_ AS (SELECT symbol, min(d) AS lo, max(d) AS hi FROM bars GROUP BY 1),
+spine AS (SELECT symbol, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS d FROM ends_),
+num AS MATERIALIZED (
+  SELECT s.symbol, s.d, last_value(close IGNORE NULLS) OVER (PARTITION BY s.symbol ORDER BY s.d) AS close,
+    row_number() OVER (PARTITION BY s.symbol ORDER BY s.d) - 1 AS rn
+  FROM spine s LEFT JOIN bars b ON b.symbol = s.symbol AND b.d = s.d)"""
+
+
+def _daily(spark, root):
+    return bar_ops.filled_grid(views.bars(spark, root), ["close"]).select(*KEY, "close")
+
+
+AR1 = GRID + f""", w AS (SELECT *, close - lag(close) {W} AS w FROM num),
 w1 AS (SELECT *, lag(w) {W} AS w1, lag(close) {W} AS prev FROM w),
 f AS (SELECT symbol, regr_slope(w, w1) AS phi, regr_intercept(w, w1) AS const,
   regr_count(w, w1) AS n FROM w1 GROUP BY 1)"""
@@ -415,7 +428,7 @@ f AS (SELECT symbol, regr_slope(w, w1) AS phi, regr_intercept(w, w1) AS const,
     f"WITH {AR1} SELECT symbol, CAST(n AS BIGINT) AS n, {sql_columns({'phi': 'phi', 'const': 'const'}, 6)} FROM f",
 )
 def ar1_fit(spark, root):
-    out = fc.ar1(views.bars(spark, root)).select("symbol", "n", "phi", "const")
+    out = fc.ar1(_daily(spark, root)).select("symbol", "n", "phi", "const")
     return snapped(out, ["symbol", "n"], 6)
 
 
@@ -425,7 +438,7 @@ def ar1_fit(spark, root):
     FROM w1 JOIN f USING (symbol) WHERE w1 IS NOT NULL""",
 )
 def ar1_insample(spark, root):
-    return snapped(fc.ar1_in_sample(views.bars(spark, root)), KEY, 2)
+    return snapped(fc.ar1_in_sample(_daily(spark, root)), KEY, 2)
 
 
 @query(
@@ -434,7 +447,7 @@ def ar1_insample(spark, root):
 )
 def ar1_general(spark, root):
     """The general estimator at order (1, 1, 0): must equal the one-lag regression."""
-    fit = fc.fit(views.bars(spark, root), fc.Order(1, 1, 0)).coef
+    fit = fc.fit(_daily(spark, root), fc.Order(1, 1, 0)).coef
     out = fit.select(
         "symbol", "n", F.get("beta", F.lit(1)).alias("phi"), F.get("beta", F.lit(0)).alias("const")
     )
@@ -459,7 +472,7 @@ ahead AS (
         "upper_conf_int": "y + 1.96 * sqrt(sigma2 * q)"}, 2)} FROM ahead WHERE step > 0""",
 )
 def forecast_ar1(spark, root):
-    out = fc.forecast(fc.fit(views.bars(spark, root), fc.Order(1, 1, 0)), 7)
+    out = fc.forecast(fc.fit(_daily(spark, root), fc.Order(1, 1, 0)), 7)
     return snapped(out, [*KEY, "step"], 2)
 
 
