@@ -105,9 +105,12 @@ def telling(rows: list[np.ndarray], labels: np.ndarray, settings: Settings) -> n
         return np.zeros(0, np.int64)
     ids = np.concatenate(rows)
     of = np.repeat(labels, [len(r) for r in rows])
-    seen = np.bincount(ids, minlength=settings.buckets).astype(float)
-    bad = np.bincount(ids, of, settings.buckets)
-    n, share = len(rows), labels.mean()
+    seen = np.bincount(ids, minlength=settings.buckets)
+    return differing(seen, np.bincount(ids, of, settings.buckets), len(rows), labels.mean(), settings)
+
+
+def differing(seen: np.ndarray, bad: np.ndarray, n: int, share: float, settings: Settings) -> np.ndarray:
+    """`telling` from each bucket's rows and toxic rows."""
     with np.errstate(divide="ignore", invalid="ignore"):
         spread = seen * share * (1 - share) * (n - seen) / n
         chi = np.where(spread > 0, (bad - seen * share) ** 2 / spread, 0.0)
@@ -245,25 +248,72 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column, settings: Settin
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Terms(settings.buckets)
         for batch in batches:
-            made = [make(t).tobytes() for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["toxic"], pa.array(made, pa.binary())], ["doc_id", "toxic", "terms"]
-            )
+            made = pa.array([make(t) for t in batch["text"].to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], made], ["doc_id", "toxic", "terms"])
 
     texts = store.documents(docs).withColumn("text", F.col("text").cast("binary"))
     rows = (
         # The sample is bounded by train_rows.
         texts.join(F.broadcast(sample), "doc_id")
         .select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-        .mapInArrow(terms, "doc_id long, toxic int, terms binary")
-        # Of rows that repeat an id one is learnt from, so no more than train_rows are collected.
+        .mapInArrow(terms, "doc_id long, toxic int, terms array<int>")
+        # Of rows that repeat an id one is learnt from, so no more than train_rows are.
         .groupBy("doc_id", "toxic")
         .agg(F.min("terms").alias("terms"))
-        .collect()
     )
-    rows.sort(key=lambda r: r["doc_id"])
-    made = [np.frombuffer(r["terms"], np.int32) for r in rows]
-    return train(made, np.array([r["toxic"] for r in rows], float), settings)
+    rows = store.keep(rows, "toxicity-terms")
+    used = telling_in(rows, settings)
+    made, marks = collected(rows, used)
+    machine = train(made, marks, settings)
+    wrong = np.abs([machine.score(r) - y for r, y in zip(made, marks)]) >= 0.5 if len(made) > settings.min_rows else []
+    if np.sum(wrong) < settings.min_rows:  # no term can be short of rows to explain
+        return machine
+    # Terms that tell only beside another one are looked for among all terms of the rows.
+    every, marks = collected(rows)
+    pairs = joint(every, marks, np.array([machine.score(r) for r in every]), used, settings)
+    del every
+    if not len(pairs):
+        return machine
+    both = np.union1d(used, pairs)
+    return fit(*collected(rows, both), both, settings)
+
+
+def telling_in(rows: DataFrame, settings: Settings) -> np.ndarray:
+    """`telling` of a table of rows; one row per bucket reaches the driver."""
+    counts = (
+        rows.select("toxic", F.explode("terms").alias("b"))
+        .groupBy("b")
+        .agg(F.count(F.lit(1)).alias("seen"), F.sum("toxic").alias("bad"))
+        .toArrow()
+    )
+    seen, bad = np.zeros(settings.buckets), np.zeros(settings.buckets)
+    at = counts["b"].to_numpy()
+    seen[at], bad[at] = counts["seen"].to_numpy(), counts["bad"].to_numpy()
+    n, toxic = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    return differing(seen, bad, n, toxic / n, settings) if n else np.zeros(0, np.int64)
+
+
+def collected(rows: DataFrame, chosen: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Terms (the ``chosen`` buckets, or all) and labels of at most train_rows rows, by id."""
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.intersect1d(t, chosen, assume_unique=True).astype(np.int32) for t in lists(batch["terms"])]
+            yield batch.set_column(2, "terms", pa.array(made, pa.list_(pa.int32())))
+
+    if chosen is not None:
+        rows = rows.mapInArrow(only, rows.schema)
+    # Sorted in the driver: a sort in Spark would run the job twice.
+    table = rows.toArrow().sort_by("doc_id").combine_chunks()
+    if not len(table):
+        return [], np.zeros(0)
+    return lists(table["terms"].chunk(0)), table["toxic"].to_numpy().astype(float)
+
+
+def lists(terms: pa.ListArray) -> list[np.ndarray]:
+    """Views on the values of each row."""
+    flat, ends = terms.values.to_numpy(), terms.offsets.to_numpy()
+    return [flat[a:z] for a, z in zip(ends, ends[1:])]
 
 
 def score(docs: DataFrame, machine: Machine, settings: Settings = Settings()) -> DataFrame:
