@@ -53,3 +53,11 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )
+
+
+def unused(taken: list[str], *names: str) -> list[str]:
+    """The names with as many underscores in front as none of the ``taken`` columns has."""
+    lead, low = "_", {t.lower() for t in taken}
+    while any(lead + n in low for n in names):
+        lead += "_"
+    return [lead + n for n in names]

@@ -20,7 +20,8 @@ on its own, placed by the string's own hash, so that no phrase, however common,
 
 NULL or empty text and texts shorter than ``span`` lose nothing. Rows that share a doc_id do
 not shorten each other. Rows without doc_id lose nothing and shorten nothing. Extra columns
-pass through `dedup` and are ignored by `removed`. An empty table gives no rows.
+pass through `dedup`, whatever their names, and are ignored by `removed`. An empty table gives
+no rows. A very long text is hashed in overlapping parts and held whole by one task at a time.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ SPAN, GRAM = 50, 18
 HOT = 20_000
 CHUNK = 1 << 19  # bytes hashed at once
 BLOCK = 24 << 20  # text bytes whose suffixes form one set of runs
+BUCKET_BYTES = 16 << 20  # text bytes whose suffixes one bucket takes, on average
+MOST_BUCKETS = 1 << 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -275,50 +278,67 @@ def repeats(runs: list[bytes], names: list[np.ndarray], span: int, gram: int) ->
 
     ``names[r]`` gives the doc_id of each document number of run r.
     """
-    read = [read_run(r) for r in runs]
+    read, held_by = [], []
+    for value, own in zip(runs, names):
+        strings, prefixes, ends, doc, start = read_run(value)
+        read.append((strings, prefixes))
+        held_by.append((ends.tolist(), doc, start, own[doc]))
+
+    def holders(members: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+        """(doc_id, run, document, start) of everyone who holds a suffix."""
+        found = []
+        for r, i in members:
+            ends, doc, start, ids = held_by[r]
+            a, z = ends[i], ends[i + 1]
+            if z - a == 1:
+                found.append((int(ids[a]), r, int(doc[a]), int(start[a])))
+            else:
+                found += zip(ids[a:z].tolist(), [r] * (z - a), doc[a:z].tolist(), start[a:z].tolist())
+        return found
 
     def settle(group: list[tuple[bytes, list[tuple[int, int]]]]) -> Iterator[tuple[int, int, int, int]]:
-        if len(group) == 1 and len(group[0][1]) == 1:
-            run, i = group[0][1][0]
-            if read[run][2][i + 1] - read[run][2][i] == 1:
-                return  # one suffix in one document: nobody else holds its strings
-        held = []
-        for text, members in group:
-            runs_ = np.concatenate([np.full(read[r][2][i + 1] - read[r][2][i], r) for r, i in members])
-            docs = np.concatenate([read[r][3][read[r][2][i] : read[r][2][i + 1]] for r, i in members])
-            starts = np.concatenate([read[r][4][read[r][2][i] : read[r][2][i + 1]] for r, i in members])
-            ids = np.concatenate([names[r][read[r][3][read[r][2][i] : read[r][2][i + 1]]] for r, i in members])
-            held.append((text, runs_, docs, starts.astype(np.int64), ids))
-        if len(held) == 1:
-            text, runs_, docs, starts, ids = held[0]
-            if len(ids) > 1:
-                on = ids > ids.min()
-                end = span + text[-1] - 1
-                yield from zip(runs_[on].tolist(), docs[on].tolist(), starts[on].tolist(), (starts[on] + end).tolist())
+        if len(group) == 1:
+            text, members = group[0]
+            if len(members) == 1:
+                r, i = members[0]
+                if held_by[r][0][i + 1] - held_by[r][0][i] == 1:
+                    return  # one suffix in one document: nobody else holds its strings
+            held = holders(members)
+            low, end = min(held)[0], span + text[-1] - 1
+            for doc_id, r, doc, start in held:
+                if doc_id > low:
+                    yield r, doc, start, start + end
             return
         first: dict[bytes, int] = {}
         cut = []
-        for text, _, _, _, ids in held:
+        for text, members in group:
             lead, windows = text[-2] - 1, text[-1]
             size = span + windows - 1
             plain = text[size - lead : size] + text[: size - lead]
             own = [plain[w : w + span] for w in range(windows)]
-            low = int(ids.min())
+            held = holders(members)
+            low = min(held)[0]
             for string in own:
                 if first.get(string, low) >= low:
                     first[string] = low
-            cut.append(own)
-        for (text, runs_, docs, starts, ids), own in zip(held, cut):
-            limit = np.array([first[string] for string in own])
-            hit = limit[None, :] < ids[:, None]
-            on = hit.any(1)
-            # Strings of one suffix lie closer than they are long: their union has no gap.
-            left = starts + hit.argmax(1)
-            right = starts + len(own) - 1 - hit[:, ::-1].argmax(1) + span
-            yield from zip(runs_[on].tolist(), docs[on].tolist(), left[on].tolist(), right[on].tolist())
+            cut.append((own, held))
+        for own, held in cut:
+            limits = [first[string] for string in own]
+            low, high = min(limits), max(limits)
+            for doc_id, r, doc, start in held:
+                if doc_id <= low:
+                    continue
+                left, right = 0, len(own) - 1
+                if doc_id <= high:
+                    # Strings of one suffix lie closer than they are long: their union has no gap.
+                    while limits[left] >= doc_id:
+                        left += 1
+                    while limits[right] >= doc_id:
+                        right -= 1
+                yield r, doc, start + left, start + right + span
 
     group: list[tuple[bytes, list[tuple[int, int]]]] = []
-    for run, place, won in merge([(r[0], r[1]) for r in read]):
+    for run, place, won in merge(read):
         if won == FULL:
             group[-1][1].append((run, place))
             continue
@@ -429,7 +449,7 @@ def shared_anchors(docs: DataFrame, buckets: int, span: int, gram: int, hot: int
     # Two rows of one id and text have the same anchors; one of them stands for both.
     named = _texts(docs).filter("doc_id IS NOT NULL")
     sent = store.keep(named.mapInArrow(emit, schema), "anchors")
-    replies = sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(count, schema)
+    replies = sent.filter("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count, schema)
     heads = sent.filter("bucket < 0")
     found = heads.unionByName(replies).groupBy("block").applyInArrow(answer, "doc_id long, sig long, spots binary")
     kept = store.keep(found.dropDuplicates(["doc_id", "sig"]), "shared-anchors")
@@ -439,7 +459,9 @@ def shared_anchors(docs: DataFrame, buckets: int, span: int, gram: int, hot: int
 
 def repeated_bytes(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, sig, bytes): packed (first, end) pairs of what earlier documents hold."""
-    buckets = min(1 << 16, max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    size = _texts(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(MOST_BUCKETS, max(8, tasks, size // BUCKET_BYTES))
     spots = shared_anchors(docs, buckets, span, gram, hot)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -530,8 +552,8 @@ def repeated_bytes(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
         .select("doc_id", "sig", "text", "spots")
         .mapInArrow(emit, "bucket int, names binary, run binary")
     )
-    merged = runs.groupBy("bucket").applyInArrow(combine, "part int, data binary")
-    found = merged.groupBy("part").applyInArrow(gather, "doc_id long, sig long, bytes binary")
+    merged = runs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(combine, "part int, data binary")
+    found = merged.repartition(buckets, "part").groupBy("part").applyInArrow(gather, "doc_id long, sig long, bytes binary")
     kept = store.keep(found, "repeats")
     store.forget(spots)
     return kept
@@ -578,24 +600,25 @@ def dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
 
     Half a character that a cut leaves behind goes as well.
     """
+    id_, sig_, bytes_ = store.unused(docs.columns, "id", "sig", "bytes")
     found = repeated_bytes(docs, span, gram).select(
-        F.col("doc_id").alias("_id"), F.col("sig").alias("_sig"), F.col("bytes").alias("_bytes")
+        F.col("doc_id").alias(id_), F.col("sig").alias(sig_), F.col("bytes").alias(bytes_)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, pairs in zip(batch["text"].to_pylist(), batch["_bytes"].to_pylist()):
+            for text, pairs in zip(batch["text"].to_pylist(), batch[bytes_].to_pylist()):
                 if pairs:
                     text = without(text.encode(), pairs)[0].decode(errors="ignore")
                 texts.append(text)
-            out = {c: batch[c] for c in batch.schema.names if c != "_bytes"}
+            out = {c: batch[c] for c in batch.schema.names if c != bytes_}
             out["text"] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_pydict(out)
 
     text = F.coalesce("text", F.lit(""))
-    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(text) == F.col("_sig"))
-    joined = docs.join(found, same, "left").select(*docs.columns, "_bytes")
+    same = (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64(text) == F.col(sig_))
+    joined = docs.join(found, same, "left").select(*docs.columns, bytes_)
     cut = joined.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
