@@ -6,7 +6,8 @@ and nothing is shuffled: a document is judged from its own row.
 
 NULL text counts as empty; an empty text has no words, so every ratio is 0 and the word
 count rule rejects it. Repeated rows are judged alike. Extra columns pass through `judge`
-unless they have the name of an output, in which case the output replaces them.
+unless they have the name of an output, in which case the output replaces them. An empty table
+gives no rows. A very long text is judged whole, with its windows sorted inside its row.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candlewick.llm import store
+
 # The most frequent function words of the four languages.
 STOP_WORDS = {
     "en": "the of and to in a is that for it as was with be by on not this are or from at an",
@@ -74,48 +77,51 @@ def repeated_positions(ranked: str, width: int) -> Column:
 def measured(docs: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
     """Every measure the rules read, as columns beside those of ``docs``."""
     stops = sorted({w for words in STOP_WORDS.values() for w in words.split()})
-    shed = "_text", "_words", "_lines", "_windows", "_ranked"
+    shed = store.unused(
+        docs.columns, "text", "words", "lines", "windows", "ranked", "marks", "stops", "lettered", "bullets", "cut"
+    )
+    text_, words_, lines_, windows_, ranked_, marks_, stops_, lettered_, bullets_, cut_ = shed
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "")
+    lines = F.filter(F.split(text_, "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "")
     windows = F.when(
-        F.size("_words") >= width,
+        F.size(words_) >= width,
         F.transform(
-            F.sequence(F.lit(0), F.size("_words") - width),
-            lambda i: F.xxhash64(*[F.get("_words", i + j) for j in range(width)]),
+            F.sequence(F.lit(0), F.size(words_) - width),
+            lambda i: F.xxhash64(*[F.get(words_, i + j) for j in range(width)]),
         ),
     ).otherwise(F.array().cast("array<bigint>"))
     ranked = F.sort_array(
-        F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        F.transform(windows_, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     )
 
     def share(count: Column, whole: Column) -> Column:
         return F.when(whole > 0, count / whole).otherwise(0.0)
 
     def absent(chars: str) -> Column:
-        return F.length("_text") - F.length(F.translate("_text", chars, ""))
+        return F.length(text_) - F.length(F.translate(text_, chars, ""))
 
-    n_lines = F.size("_lines")
+    n_lines = F.size(lines_)
     step = (
-        docs.withColumn("_text", body)
-        .withColumns({"_words": words_of(F.col("_text")), "_lines": lines})
-        .withColumn("_windows", windows)
-        .withColumn("_ranked", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), ranked))
+        docs.withColumn(text_, body)
+        .withColumns({words_: words_of(F.col(text_)), lines_: lines})
+        .withColumn(windows_, windows)
+        .withColumn(ranked_, F.when(F.size(F.array_distinct(windows_)) < F.size(windows_), ranked))
         .withColumns(
             {
-                "n_words": F.size("_words").cast("long"),
-                "word_chars": F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")).cast("long"),
+                "n_words": F.size(words_).cast("long"),
+                "word_chars": F.length(F.translate(text_, " \t\n\x0b\x0c\r", "")).cast("long"),
                 "n_symbols": absent("#*$%&|<>").cast("long"),
-                "n_dup_lines": (n_lines - F.size(F.array_distinct("_lines"))).cast("long"),
+                "n_dup_lines": (n_lines - F.size(F.array_distinct(lines_))).cast("long"),
                 "n_repeat_words": F.when(
-                    F.col("_ranked").isNotNull(), repeated_positions("_ranked", width)
+                    F.col(ranked_).isNotNull(), repeated_positions(ranked_, width)
                 )
                 .otherwise(0)
                 .cast("long"),
-                "_marks": absent("!?"),
-                "_stops": F.size(F.filter("_words", lambda w: F.lower(w).isin(stops))),
-                "_lettered": F.size(F.filter("_words", lambda w: w.rlike(r"\p{L}"))),
-                "_bullets": F.size(F.filter("_lines", lambda x: F.ltrim(x).rlike("^[-*•]"))),
-                "_cut": F.size(F.filter("_lines", lambda x: F.rtrim(x).rlike(r"(…|\.\.\.)$"))),
+                marks_: absent("!?"),
+                stops_: F.size(F.filter(words_, lambda w: F.lower(w).isin(stops))),
+                lettered_: F.size(F.filter(words_, lambda w: w.rlike(r"\p{L}"))),
+                bullets_: F.size(F.filter(lines_, lambda x: F.ltrim(x).rlike("^[-*•]"))),
+                cut_: F.size(F.filter(lines_, lambda x: F.rtrim(x).rlike(r"(…|\.\.\.)$"))),
             }
         )
     )
@@ -125,14 +131,14 @@ def measured(docs: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
             "repeat_share": share(F.col("n_repeat_words"), n),
             "mean_word_chars": share(F.col("word_chars"), n),
             "symbol_share": share(F.col("n_symbols"), n),
-            "mark_share": share(F.col("_marks"), n),
-            "stop_share": share(F.col("_stops"), n),
-            "letter_share": share(F.col("_lettered"), n),
+            "mark_share": share(F.col(marks_), n),
+            "stop_share": share(F.col(stops_), n),
+            "letter_share": share(F.col(lettered_), n),
             "dup_line_share": share(F.col("n_dup_lines"), n_lines),
-            "bullet_share": share(F.col("_bullets"), n_lines),
-            "ellipsis_share": share(F.col("_cut"), n_lines),
+            "bullet_share": share(F.col(bullets_), n_lines),
+            "ellipsis_share": share(F.col(cut_), n_lines),
         }
-    ).drop(*shed, "_marks", "_stops", "_lettered", "_bullets", "_cut")
+    ).drop(*shed)
 
 
 def fails(rule: Rule) -> Column:
@@ -159,6 +165,7 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     pushed below the measures and carry all of their expressions into each other, with the
     sort of the windows inside its own lambdas.
     """
+    # Under one name, so that no column of the documents meets a measure's.
     judged = judge(docs.select(F.struct(*docs.columns).alias("_row"), "text"), rules)
     row = F.when(F.col("kept"), F.array("_row"))
     return judged.select(F.explode(row).alias("_row")).select("_row.*")

@@ -14,7 +14,8 @@ star contraction over written tables.
 
 NULL text is empty; texts without words share fingerprint zero and link like any other.
 NULL doc_ids get the component of their text's group, NULL if the group has no id at all.
-An empty table gives an empty result; extra columns are ignored.
+An empty table gives an empty result; extra columns are ignored, and kept by `keep_one`,
+whatever their names. A very long text is hashed whole, in its own batch.
 """
 
 from __future__ import annotations
@@ -294,8 +295,9 @@ def keep_one(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
     """
     marks = store.keep(signed(docs.select("doc_id", "text"), width), "simhash")
     found = grouped(marks, bits).filter("doc_id = component_id")
-    heads_ = found.groupBy(F.col("doc_id").alias("_head"), "group").agg(F.min("sig").alias("_own"))
-    named = docs.filter("doc_id IS NOT NULL").withColumn("_sig", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = (F.col("doc_id") == F.col("_head")) & (F.col("_sig") == F.col("_own"))
-    kept = named.join(heads_.drop("group"), same).dropDuplicates(["doc_id", "_sig"]).drop("_head", "_own", "_sig")
+    head, own, sig = store.unused(docs.columns, "head", "own", "sig")
+    heads_ = found.groupBy(F.col("doc_id").alias(head), "group").agg(F.min("sig").alias(own)).drop("group")
+    named = docs.filter("doc_id IS NOT NULL").withColumn(sig, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = (F.col("doc_id") == F.col(head)) & (F.col(sig) == F.col(own))
+    kept = named.join(heads_, same).dropDuplicates(["doc_id", sig]).drop(head, own, sig)
     return kept.unionByName(docs.filter("doc_id IS NULL"))
