@@ -2,7 +2,8 @@
 
 Each round points every node's larger neighbours at its smallest one (large star), then its
 smaller ones (small star). Links never outnumber the input, rounds grow with the logarithm
-of the longest chain, and every round is a written table.
+of the longest chain, and every round is a written table. Repeated links count once; without
+links there are no components.
 """
 
 from __future__ import annotations

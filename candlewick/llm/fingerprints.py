@@ -9,7 +9,8 @@ subtracts.
 Shingles are five words, A-Z lowered; a shorter text is one shingle, and a text without
 words has an empty fingerprint, which is like another empty one (1.0) and unlike any other.
 The next document is that with the next row in (doc_id, text) order, NULL ids first, so
-repeated ids follow each other; extra columns are ignored; an empty table gives no rows.
+repeated ids follow each other; extra columns are ignored, whatever their names; an empty
+table gives no rows. NULL text is empty. A very long text is hashed whole, in its own batch.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ each of them rarer than all of those, meet the word table in a join.
 Text is cut at space and the control characters 09 to 0D, A-Z lowered. NULL or empty text
 has only its end mark. NULL ids belong to the held-out rows. Repeated rows
 are scored one by one and counted as often as they occur. Without training rows the piece
-weights stay at their start. Extra columns are ignored; an empty table gives no rows.
+weights stay at their start. Extra columns are ignored, whatever their names; an empty table
+gives no rows. A very long text is scored by its words; a word's lattice costs a step per
+character, so a word of a million characters is slow, not cut.
 """
 
 from __future__ import annotations

@@ -11,6 +11,8 @@ length, however common, is sorted in one task.
 
 NULL text is empty and gives the single closing id. Repeated rows are packed one by one,
 which keeps duplicates of a doc_id apart through their rank. An empty table gives no rows.
+Pieces of one length are placed in the order of their ranks. A very long text is encoded whole
+before it is cut. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ piece wins. Characters without a piece fall back to their UTF-8 bytes.
 
 Spaces are kept, so decoding gives the text back, except that the space mark itself
 (U+2581) decodes to a space. NULL or empty text has no ids. Repeated rows encode alike;
-extra columns are ignored; an empty table gives no rows.
+extra columns are ignored, whatever their names; an empty table gives no rows. A very long
+text is encoded whole; a unit costs a step per character, so a unit of a million characters
+is slow, not cut.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ count. Records are numbered inside their slot, and slots inside their shard thro
 sums, so no shard is sorted as a whole.
 
 NULL text has no bytes. NULL ids share one slot. Repeated rows are numbered one by one.
-An empty table gives an empty result.
+An empty table gives an empty result. A very long text counts with its whole size, which no
+shard divides. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,10 @@ model is a fixed number of floats. Scoring reads every whole text in one pass wi
 
 NULL or empty text has no terms and scores the bias. Repeated rows score alike. Rows without
 a label, and labels without a document, are not learnt from. If nothing can be learnt every
-score is 0. Extra columns pass through `keep_clean` and are ignored by `score`.
+score is 0. Extra columns pass through `keep_clean`, whatever their names, and are ignored by
+`score`. Of learnt rows that repeat an id with different texts one counts; labels that
+contradict each other count as toxic. A very long text is the set of its terms, at most as many
+as there are buckets. An empty table gives no scores.
 """
 
 from __future__ import annotations

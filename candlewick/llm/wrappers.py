@@ -16,7 +16,10 @@ inside it are the text; on a page without one, all others, or of them those in b
 class like 'content' if these hold most of the text.
 
 NULL html is empty and gives an empty text. A NULL or odd url is a host of its own. Repeated
-rows give repeated results. Extra columns are ignored. An empty table gives no rows.
+rows give repeated results. Extra columns are ignored, whatever their names. An empty table
+gives no rows. A very long page is parsed whole; elements below 250 levels are no nodes of the
+tree, but their text keeps its place and what their tags say of it. Of children with one label
+the first that fits the order is matched.
 """
 
 from __future__ import annotations
