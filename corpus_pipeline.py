@@ -1,6 +1,9 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
-Each stage reads what the one before it kept, as a written table.
+Each stage reads what the one before it kept, as a written table. Columns of the documents, of
+whatever names, pass through every stage but the last, which returns its own. NULL texts are
+empty texts: the quality rules reject them. Rows without doc_id are never near-duplicates, and
+neither shorten others nor are shortened. An empty table passes as one.
 """
 
 from __future__ import annotations
