@@ -42,8 +42,10 @@ from pyspark.sql import functions as F
 from candlewick.llm import store
 
 COMMON = 1 << 20  # pairs shared with every task, 16 bytes each
-SLICE = 1 << 20  # bytes of text whose tokens are aligned at once
-CACHE_UNITS = 200_000
+SLICE = 1 << 17  # bytes of text whose tokens are aligned at once
+CHUNK = 1 << 19  # bytes of texts, one at least, that leave a task together
+JOINED_BYTES = 1 << 14  # new units encoded as one text
+CACHE_UNITS = 100_000
 CACHE_BYTES = 48  # longer units are rare and not remembered
 SPACE = 32
 MARK = "▁"
@@ -63,9 +65,11 @@ class ByteTokenizer:
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes[i] = b"".join(stand_in.get(c, c.encode()) for c in token)
+        self.lengths = np.array([len(b) for b in self.bytes])
 
     def encode(self, units: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
+        # Without offsets, which nothing here reads.
+        return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
 
 class PieceTokenizer:
@@ -82,6 +86,7 @@ class PieceTokenizer:
             bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace(MARK, " ").encode()
             for i, n in enumerate(names)
         ]
+        self.lengths = np.array([len(b) for b in self.bytes])
 
     def encode(self, units: list[str]) -> list[list[int]]:
         return self.model.encode([u[1:] for u in units], num_threads=1)
@@ -120,22 +125,54 @@ class Aligner:
 
     def learn(self, units: list[bytes]) -> list[tuple[bytes, bytes] | None]:
         """Packed ids of both sides for every unit; None if a side does not spell it."""
-        found = [self.known.get(u, ()) for u in units]
-        new = [i for i, f in enumerate(found) if f == ()]
-        if new:
-            if len(self.known) > CACHE_UNITS:
-                self.known.clear()
-            texts = [units[i].decode() for i in new]
-            for i, ids_a, ids_b in zip(new, self.a.encode(texts), self.b.encode(texts)):
-                unit = units[i]
-                spelt = all(
-                    b"".join(map(t.bytes.__getitem__, ids)) == unit for t, ids in ((self.a, ids_a), (self.b, ids_b))
-                )
-                found[i] = (np.array(ids_a, np.int32).tobytes(), np.array(ids_b, np.int32).tobytes()) if spelt else None
-                if len(unit) <= CACHE_BYTES:
-                    self.known[unit] = found[i]
+        found = list(map(self.known.get, units))
+        new = [i for i, f in enumerate(found) if f is None and units[i] not in self.known]
+        if not new:
+            return found
+        if len(self.known) > CACHE_UNITS:
+            self.known.clear()
+        single, joined, size = [], [], 0
+        for i in new:
+            rest = units[i].decode()[1:]
+            # Units whose own characters at both ends are no white space stay apart in a row.
+            if not rest or rest[0].isspace() or rest[-1].isspace():
+                single.append(i)
+                continue
+            joined.append(i)
+            size += len(units[i])
+            if size > JOINED_BYTES:
+                single += self.encode_row(units, joined, found)
+                joined, size = [], 0
+        single += self.encode_row(units, joined, found)
+        for i in single:
+            self.encode_row(units, [i], found, alone=True)
+        for i in new:
+            if len(units[i]) <= CACHE_BYTES:
+                self.known[units[i]] = found[i]
         return found
 
+    def encode_row(self, units: list[bytes], at: list[int], found: list, alone: bool = False) -> list[int]:
+        """Encode units as one text and part its ids; returns the units if they have to go one by one."""
+        if not at:
+            return []
+        text = b"".join([units[i] for i in at])
+        ends = np.cumsum([len(units[i]) for i in at])
+        parts = []
+        for tokenizer in (self.a, self.b):
+            ids = tokenizer.encode([text.decode()])[0]
+            if b"".join(map(tokenizer.bytes.__getitem__, ids)) != text:
+                return [] if alone else at
+            ids = np.array(ids, np.int32)
+            upto = np.cumsum(tokenizer.lengths[ids])
+            cuts = np.searchsorted(upto, ends)
+            if (upto[cuts] != ends).any():
+                return [] if alone else at
+            data, edges = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
+            parts.append(list(map(data.__getitem__, map(slice, edges, edges[1:]))))
+        for i, *both in zip(at, *parts):
+            found[i] = tuple(both)
+        return []
+
 
 def aligner(path_a: str, path_b: str) -> Aligner:
     kept = sys.modules.setdefault("_candlewick_aligner", types.ModuleType("_candlewick_aligner")).__dict__
@@ -241,7 +278,9 @@ def batch_rows(texts: pa.Array, work: Aligner) -> tuple[dict[str, pa.Array], tup
     texts = pc.binary_join_element_wise(none, texts.cast(pa.large_binary()), space)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[: n + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: offsets[-1]]
-    cuts = np.unique(np.concatenate([unit_starts(data), offsets]))
+    edge = np.zeros(len(data) + 1, bool)
+    edge[unit_starts(data)] = edge[offsets] = True
+    cuts = np.flatnonzero(edge)
     units = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
     coded = units.dictionary_encode()
     index = coded.indices.to_numpy()
@@ -269,7 +308,7 @@ def batch_rows(texts: pa.Array, work: Aligner) -> tuple[dict[str, pa.Array], tup
         pairs.append(got.pair)
         pair_of.append(got.parent)
         count = pa.table({"pair": got.pair}).group_by("pair", use_threads=False).aggregate([([], "count_all")])
-        partial.append(count)
+        partial.append((count["pair"].to_numpy(), count["count_all"].to_numpy()))
         spans, text = got.spelt
         for doc, a, z in spans.tolist():
             # The last mark of a document is not written: it waits for what follows.
@@ -280,13 +319,20 @@ def batch_rows(texts: pa.Array, work: Aligner) -> tuple[dict[str, pa.Array], tup
     flat = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
     ends = np.zeros(n + 1, np.int32)
     np.cumsum(totals[3], out=ends[1:])
-    merged = pa.concat_tables(partial).group_by("pair", use_threads=False).aggregate([("count_all", "sum")]) if partial else None
-    counts = (merged["pair"].to_numpy(), merged["count_all_sum"].to_numpy()) if merged else (np.zeros(0, np.int64),) * 2
     rows = {name: pa.array(totals[i]) for i, name in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
     rows["groups_sha256"] = pa.array([digests[i].hexdigest() if i in digests else "" for i in range(n)])
     rows["pairs"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
     rows["times"] = pa.array([None] * n, pa.list_(pa.int64()))
-    return rows, counts
+    return rows, add_up(partial)
+
+
+def add_up(partial: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Partial (pairs, counts) as one."""
+    if not partial:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    table = pa.table({"pair": np.concatenate([p for p, _ in partial]), "n": np.concatenate([n for _, n in partial])})
+    table = table.group_by("pair", use_threads=False).aggregate([("n", "sum")])
+    return table["pair"].to_numpy(), table["n_sum"].to_numpy()
 
 
 ROWS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
@@ -298,9 +344,18 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = aligner(path_a, path_b)
         for batch in batches:
-            rows, (pair, times) = batch_rows(batch["text"], work)
-            made = pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], **rows})
-            yield made
+            partial = []
+            sizes = pc.binary_length(batch["text"]).to_numpy().astype(np.int64)
+            chunk = np.cumsum(sizes) // CHUNK
+            heads = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])).tolist() if len(batch) else []
+            for a, z in zip(heads, [*heads[1:], len(batch)]):
+                rows, counts = batch_rows(batch["text"].slice(a, z - a), work)
+                made = pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].slice(a, z - a), **rows})
+                partial.append(counts)
+                yield made
+            if not partial:
+                continue
+            pair, times = add_up(partial)
             one = {f.name: pa.nulls(1, f.type) for f in made.schema}
             one["pairs"] = pa.array([pair], pa.list_(pa.int64()))
             one["times"] = pa.array([times], pa.list_(pa.int64()))
