@@ -14,8 +14,8 @@ from candlewick.sources import keyed, views
 
 MIN_SUPPORT = 0.0001
 MIN_CONFIDENCE = 0.2
-# A rule is significant above these.
-STRONG = {"confidence": 0.5, "lift": 1.0, "support": 0.0008}
+# A rule is significant above these: no rule that is mined and lifts is left out.
+STRONG = {"confidence": MIN_CONFIDENCE, "lift": 1.0, "support": MIN_SUPPORT}
 STRONG_SQL = " AND ".join(f"{c} > {v}" for c, v in STRONG.items())
 
 N = BASKETS + """, n AS (SELECT count(DISTINCT basket) AS n FROM items)"""

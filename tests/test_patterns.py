@@ -121,3 +121,12 @@ def test_neighbours_of_named_baskets(spark):
     items = spark.createDataFrame(rows, "basket string, item int")
     df = patterns.repeats_in_neighbours(items, 1, "next")
     assert {r.basket: r.appearances for r in df.collect()} == {"a": 0, "b": 1, "c": 0, "monday": 1, "tuesday": 0}
+
+
+def test_rule_items_leave_no_lifting_rule_out(spark, data):
+    from candlewick.plans import pattern_queries as q
+
+    found = patterns.rules(q._sets(spark, data), q.MIN_CONFIDENCE)
+    wide = found.filter((F.col("confidence") > 0.2) & (F.col("lift") > 1) & (F.col("support") > 0.0001))
+    want = {i for r in wide.select("antecedents").collect() for i in r.antecedents}
+    assert want and {r["item"] for r in q.rule_items(spark, data).collect()} == want
