@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +12,12 @@ def encode(items: DataFrame) -> DataFrame:
     """One sorted, duplicate-free array per basket.
 
     Duplicates are dropped on (basket, item) first, so an array never holds more
-    than the distinct items, however many rows a basket has.
+    than the distinct items, however many rows a basket has. Rows move once: those of a
+    basket meet before either step.
     """
     return (
         items.select("basket", "item")
+        .repartition("basket")
         .distinct()
         .groupBy("basket")
         .agg(F.array_sort(F.collect_list("item")).alias("items"))
@@ -45,12 +46,56 @@ def combination_counts(baskets: DataFrame, size: int) -> DataFrame:
 def itemsets(baskets: DataFrame, min_support: float) -> DataFrame:
     """Frequent itemsets of every size with their share of all baskets.
 
-    Mining is MLlib's parallel FP-growth; the basket count is one scalar subquery.
+    Equal baskets are counted once and weighted, so mining follows the different baskets and
+    not their number. Sets grow by a larger item of the same basket, one item a level; only
+    baskets that hold a frequent set carry it on, and only by items that are frequent
+    themselves. Counts are exact; there are as many levels as the largest frequent set has
+    items, and one more.
     """
-    model = FPGrowth(itemsCol="items", minSupport=min_support).fit(baskets)
-    n = baskets.select(F.count(F.lit(1)).alias("n")).scalar()
-    return model.freqItemsets.select(
-        F.array_sort("items").alias("items"), "freq", (F.col("freq") / n).alias("support")
+    kinds = settle(baskets.groupBy("items").agg(F.count(F.lit(1)).alias("n")))
+    total = kinds.select(F.sum("n")).first()[0] or 0
+    rows = kinds.select("items", "n", F.posexplode("items").alias("at", "item")).select(
+        "items", "n", "at", F.array("item").alias("chosen")
+    )
+    found: DataFrame | None = None
+    while True:
+        # Support as a quotient, as it is returned.
+        level = settle(
+            rows.groupBy("chosen")
+            .agg(F.sum("n").alias("freq"))
+            .withColumn("support", F.col("freq") / F.lit(total))
+            .filter(F.col("support") >= min_support)
+        )
+        if found is not None and level.isEmpty():
+            break
+        if found is None:
+            found = level
+            rows = _of_frequent_items(kinds, level)
+        else:
+            found = found.unionByName(level)
+            rows = rows.join(level.select("chosen"), "chosen", "left_semi")
+        rows = (
+            rows.filter(F.col("at") + 1 < F.size("items"))
+            .select("items", "n", "chosen", F.explode(F.sequence(F.col("at") + 1, F.size("items") - 1)).alias("at"))
+            .select("items", "n", "at", F.concat("chosen", F.array(F.get("items", F.col("at")))).alias("chosen"))
+        )
+    return found.withColumnRenamed("chosen", "items")
+
+
+def _of_frequent_items(kinds: DataFrame, level: DataFrame) -> DataFrame:
+    """Baskets cut to their frequent items, equal ones counted together, one row per item."""
+    frequent = level.select(F.get("chosen", F.lit(0)).alias("item"))
+    keyed = kinds.withColumn("id", F.monotonically_increasing_id())
+    cut = settle(
+        settle(keyed.select("id", "n", F.explode("items").alias("item")))
+        .join(frequent, "item")
+        .groupBy("id", "n")
+        .agg(F.array_sort(F.collect_list("item")).alias("items"))
+        .groupBy("items")
+        .agg(F.sum("n").alias("n"))
+    )
+    return cut.select("items", "n", F.posexplode("items").alias("at", "item")).select(
+        "items", "n", "at", F.array("item").alias("chosen")
     )
 
 

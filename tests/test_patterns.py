@@ -130,3 +130,36 @@ def test_rule_items_leave_no_lifting_rule_out(spark, data):
     wide = found.filter((F.col("confidence") > 0.2) & (F.col("lift") > 1) & (F.col("support") > 0.0001))
     want = {i for r in wide.select("antecedents").collect() for i in r.antecedents}
     assert want and {r["item"] for r in q.rule_items(spark, data).collect()} == want
+
+
+def test_equal_baskets_are_mined_once(spark, monkeypatch):
+    written = []
+
+    def kept(df):
+        out = settle(df)
+        written.append(out.count())
+        return out
+
+    settle = patterns.settle
+    monkeypatch.setattr(patterns, "settle", kept)
+    many = {k: [1, 2] if k % 2 else [2, 3, 9] for k in range(500)} | {1000: [5]}
+    sets = patterns.itemsets(patterns.encode(items(spark, many)), 0.01)
+    assert counts(sets) == {
+        (1,): 250, (2,): 500, (3,): 250, (9,): 250, (1, 2): 250, (2, 3): 250, (2, 9): 250, (3, 9): 250, (2, 3, 9): 250,
+    }
+    assert written and max(written) <= 10
+
+
+def test_itemsets_against_loop(spark):
+    rng = np.random.default_rng(5)
+    baskets = {k: rng.choice(14, rng.integers(1, 8), replace=False).tolist() for k in range(200)}
+    want = Counter(c for b in baskets.values() for n in range(1, 8) for c in combinations(sorted(b), n))
+    for support in (0.0001, 0.02, 0.1, 1.0):
+        got = counts(patterns.itemsets(patterns.encode(items(spark, baskets)), support))
+        assert got == {c: n for c, n in want.items() if n / 200 >= support}
+    assert patterns.itemsets(patterns.encode(items(spark, {})), 0.1).collect() == []
+
+
+def test_rows_of_a_basket_move_once(spark):
+    plan = patterns.encode(items(spark, SMALL))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
