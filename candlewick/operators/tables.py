@@ -173,6 +173,30 @@ def ranked(df: DataFrame, column: str, name: str) -> DataFrame:
     )
 
 
+def quantile_disc(df: DataFrame, column: str, q: float) -> DataFrame:
+    """One row (value): the least value with at least a share ``q`` of the rows at or below it.
+
+    Values are range-partitioned and counted per range; only the range that holds the place is
+    sorted, so no task sees more than a range.
+    """
+    values = df.select(F.col(column).alias("value")).na.drop().repartitionByRange("value")
+    values = settle(values.withColumn("_range", F.spark_partition_id()))
+    # One row per range.
+    counts = values.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_range"))
+    place = F.greatest(F.ceil(F.sum("_n").over(Window.partitionBy()) * F.lit(q)), F.lit(1))
+    chosen = counts.select("_range", "_n", upto.alias("_upto"), place.alias("_place")).filter(
+        (F.col("_upto") >= F.col("_place")) & (F.col("_upto") - F.col("_n") < F.col("_place"))
+    ).select("_range", (F.col("_place") - F.col("_upto") + F.col("_n")).alias("_at"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy("value"))
+    return (
+        values.join(F.broadcast(chosen), "_range")
+        .withColumn("_rank", rank)
+        .filter(F.col("_rank") == F.col("_at"))
+        .select("value")
+    )
+
+
 def label_encode(df: DataFrame, column: str, name: str) -> DataFrame:
     """Replace a category by its rank in sorted order, from 0.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from candlewick.functions.columns import row_total
 from candlewick.operators import patterns, tables
 from candlewick.plans.registry import BARS, BASKETS, query, snap, snapped, sql_columns, sql_snap
-from candlewick.session import checkpoint_root
+from candlewick.session import checkpoint_root, settle
 from candlewick.sources import keyed, views
 
 MIN_SUPPORT = 0.0001
@@ -321,7 +321,7 @@ def upsert_latest(spark, root):
 def upsert_files(spark, root):
     """Changes of the last tenth of the keys and new keys behind them, merged into the files they touch."""
     current, _ = _order_changes(spark, root)
-    edge = current.select(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY k)").alias("e"))
+    edge = settle(tables.quantile_disc(current, "k", 0.9).withColumnRenamed("value", "e"))
     last = current.join(F.broadcast(edge), F.col("k") >= F.col("e")).drop("e").withColumn("v", F.col("v") + 1)
     fresh = last.withColumn("k", F.col("k") + 10_000_000_000)
     table = f"{checkpoint_root(spark)}/keyed-{uuid.uuid4().hex}"

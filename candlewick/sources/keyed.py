@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.operators.tables import dedupe_first
+from candlewick.session import settle
 
 FILE_ROWS = 1 << 20
 
@@ -72,11 +73,12 @@ def merge(
     last = versions(spark, root)[-1]
     files = manifest(spark, root, last)
     latest = dedupe_first(changes.withColumn("_order", -F.unix_micros(F.col(newest).cast("timestamp"))), [key], ["_order"])
-    latest = latest.drop("_order")
+    # Read several times below.
+    latest = settle(latest.drop("_order"))
     keys = latest.select(key)
     # One row per file: ranges meet the changed keys in the tasks that hold these.
     inside = (F.col(key) >= F.col("lo")) & (F.col(key) <= F.col("hi"))
-    touched = keys.join(F.broadcast(files.select("path", "lo", "hi")), inside).select("path").distinct()
+    touched = settle(keys.join(F.broadcast(files.select("path", "lo", "hi")), inside).select("path").distinct())
     paths = [r["path"] for r in touched.collect()]
     rows = latest
     if paths:

@@ -225,3 +225,15 @@ def test_merge_rewrites_touched_files_only(spark, tmp_path):
     assert keyed.versions(spark, root) == [0, 1]
     assert keyed.merge(spark, root, new.limit(0), "k", "t") == (0, len(after))
     assert keyed.load(spark, root).count() == 1001
+
+
+def test_quantile_against_sorted_values(spark):
+    from candlewick.operators import tables
+
+    for n in (1, 2, 9, 10, 11, 300):
+        values = [(i * 7919) % 131 for i in range(n)]
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "k bigint").repartition(5)
+        for q in (0.0, 0.1, 0.5, 0.9, 1.0)[:: 1 if n in (10, 300) else 3]:
+            want = sorted(values)[max(-(-round(n * q * 10) // 10), 1) - 1]
+            assert [r["value"] for r in tables.quantile_disc(df, "k", q).collect()] == [want]
+    assert tables.quantile_disc(df.limit(0), "k", 0.9).collect() == []
