@@ -120,3 +120,61 @@ def test_every_term_has_a_feature_of_its_own(spark):
         pairs = dict(zip(vector.indices.tolist(), vector.values.tolist()))
         assert vector.size == len(index) + 1 and pairs.pop(len(index)) == (0.5 if i == 99 else 0.25)
         assert pairs == pytest.approx(want.get(i, {}))
+
+
+def test_a_lexicon_by_function_needs_no_join(spark):
+    from candlewick.sources import views
+
+    df = docs(spark, "good good bad thing not good", "plain words", "", None, "très mauvais jour")
+    table = views.lexicon(text.tokens(df))
+    for rules in ({}, {"negations": ["not"], "boosters": {"good": 1.0}}):
+        rows = text.in_context(df) if rules else text.tokens(df)
+        near = text.sentiment(rows, views.valence, **rules)
+        assert sorted(near.collect()) == sorted(text.sentiment(rows, table, **rules).collect())
+        assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_corpus_counts_of_repeated_and_missing_documents(spark):
+    rows = [(1, "aa bb aa bb"), (1, "aa bb cc"), (2, "aa bb"), (None, "aa bb"), (None, "bb aa"), (3, None), (4, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for lo, hi in ((2, 2), (1, 3)):
+        tf = text.term_counts(text.ngrams(df, lo, hi))
+        want = tf.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("total"))
+        out = text.corpus_counts(df, lo, hi)
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    plan = text.corpus_counts(df, 2, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_candidates_hold_the_whole_vocabulary(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.15)), 60):02d}" for _ in range(rng.randrange(40))) for _ in range(60)]
+    df = docs(spark, *texts, None, "")
+    every = text.ngrams(df, 1, 3)
+    for size in (5, 40, 1000):
+        kept = text.candidates(df, 3, size)
+        order = ["total", "term"]
+        want = sorted(map(tuple, text.vocabulary(every, size).select(*order).collect()))
+        assert sorted(map(tuple, text.vocabulary(kept, size).select(*order).collect())) == want
+        terms = [t for _, t in want]
+        count = lambda rows: sorted(map(tuple, text.term_counts(rows.filter(F.col("term").isin(terms))).collect()))
+        assert count(kept) == count(every)
+    assert text.candidates(df, 3, 5).count() < every.count()
+
+
+def test_features_of_documents_partitioned_by_id(spark):
+    rows = [(i, f"w{i % 7} w{i % 5} w{i % 3}", 0.5) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, share double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    try:
+        got = models.text_features(df.repartition(8, "doc_id"), "text", ["share"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = {r.doc_id: r.raw for r in models.text_features(df.coalesce(1), "text", ["share"]).collect()}
+    assert len(got) == 200
+    for r in got:
+        assert r.raw.indices.tolist() == want[r.doc_id].indices.tolist()
+        assert r.raw.values.tolist() == pytest.approx(want[r.doc_id].values.tolist())
