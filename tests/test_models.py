@@ -346,3 +346,11 @@ def test_polynomial_of_degree_four_equals_numpy(spark):
     z = (v - v.mean()) / v.std(ddof=1)
     x = np.column_stack([z**i for i in range(5)])
     np.testing.assert_allclose(got, x @ np.linalg.lstsq(x, y, rcond=None)[0], rtol=1e-7)
+
+
+def test_rows_carry_their_tree_nodes():
+    """Without this every level sends all trees grown so far to the tasks."""
+    from candlewick.operators import models
+
+    assert models._tree("forest", "y", 30).getCacheNodeIds()
+    assert models._tree("tree", "y", 30).getCacheNodeIds()
