@@ -5,8 +5,11 @@ Nothing here builds a column per term: matrices are (doc, term, value) rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -307,6 +310,125 @@ def tfidf(tf: DataFrame, docs: DataFrame, doc: str = "doc_id") -> DataFrame:
     )
 
 
+COMMON_TERMS = 1 << 18  # terms whose document counts travel to every task
+OUT_ROWS = 1 << 16
+
+
+def term_rows(df: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
+    """(uid, doc, texts, terms, tf): one settled row per document, its words once each with their counts.
+
+    Texts of a document meet once and are cut there, so no row per word is exchanged. Their
+    number of partitions is that of any shuffle: cutting takes long for the bytes it reads.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = df.filter(F.col(text).isNotNull()).select(doc, text).repartition(parts, doc)
+    near = near.groupBy(doc).agg(F.collect_list(text).alias("texts"))
+    cut = near.select(
+        F.monotonically_increasing_id().alias("uid"),
+        doc,
+        F.size("texts").cast("long").alias("texts"),
+        F.flatten(F.transform("texts", lambda t: words(t, WORD))).alias("w"),
+    )
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, flat = _unfolded(batch["w"])
+            coded = flat.dictionary_encode()
+            size = max(1, len(coded.dictionary))
+            pairs, tf = np.unique(owner * size + coded.indices.to_numpy(), return_counts=True)
+            starts = pa.array(np.searchsorted(pairs // size, np.arange(batch.num_rows + 1)), pa.int32())
+            terms = pa.ListArray.from_arrays(starts, coded.dictionary.take(pa.array(pairs % size)))
+            columns = [*batch.columns[:3], terms, pa.ListArray.from_arrays(starts, pa.array(tf, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["uid", doc, "texts", "terms", "tf"])
+
+    kind = df.schema[doc].dataType.simpleString()
+    return settle(cut.mapInArrow(fold, f"uid long, `{doc}` {kind}, texts long, terms array<string>, tf array<long>"))
+
+
+def _unfolded(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row, value) of every value of a column of lists."""
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), lengths), lists.flatten()
+
+
+def text_tfidf(df: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
+    """``tfidf`` of the single words of whole texts, with less exchanged.
+
+    Counts of the most common terms, ``COMMON_TERMS`` at most, travel to the tasks, which look
+    them up for all words of a batch at once. The rows of all other terms take an equi-join.
+    Both parts add to the norm of a document, which meets its row before that is unfolded.
+    """
+    docs = term_rows(df, text, doc)
+    n = docs.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
+
+    def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch["terms"].flatten().value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["term", "df"])
+
+    counted = docs.select("terms").mapInArrow(holders, "term string, df long")
+    counts = settle(counted.groupBy("term").agg(F.sum("df").alias("df")))
+    least, held = None, 0
+    # Different counts: fewer than the root of twice the rows.
+    for r in sorted(counts.groupBy("df").agg(F.count(F.lit(1)).alias("terms")).collect(), reverse=True):
+        held += r["terms"]
+        if held > COMMON_TERMS:
+            break
+        least = r["df"]
+    known = F.col("df") >= least if least is not None else F.lit(False)
+    table = counts.filter(known).toArrow().combine_chunks()
+    columns = [table[c].chunk(0) if table.num_rows else pa.array([], t) for c, t in (("term", pa.string()), ("df", pa.int64()))]
+    common = df.sparkSession.sparkContext.broadcast((columns[0], columns[1].to_numpy()))
+
+    def looked_up(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """(row, term, tf, place among the common terms or -1, df, raw weight) of every word."""
+        terms, dfs = common.value
+        owner, flat = _unfolded(batch["terms"])
+        tf = batch["tf"].flatten().to_numpy()
+        at = pc.fill_null(pc.index_in(flat, value_set=terms), -1).to_numpy()
+        own = dfs[at] if len(dfs) else np.zeros(len(at), np.int64)
+        return owner, flat, tf, at, own, tf * (np.log((1 + n) / (1 + own)) + 1)
+
+    kind = df.schema[doc].dataType.simpleString()
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["uid", doc, "term", "tf", "square"]
+        for batch in batches:
+            owner, flat, tf, at, _, raw = looked_up(batch)
+            rows = batch.num_rows
+            square = np.bincount(owner, np.where(at < 0, 0.0, raw * raw), rows).astype(float)
+            none = [pa.nulls(rows, pa.string()), pa.nulls(rows, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch["uid"], batch[doc], *none, pa.array(square)], names)
+            left = np.flatnonzero(at < 0)
+            rest = [batch["uid"].take(pa.array(owner[left])), batch[doc].take(pa.array(owner[left]))]
+            rest += [flat.take(pa.array(left)), pa.array(tf[left]), pa.nulls(len(left), pa.float64())]
+            yield pa.RecordBatch.from_arrays(rest, names)
+
+    parted = settle(
+        docs.select("uid", doc, "terms", "tf").mapInArrow(part, f"uid long, `{doc}` {kind}, term string, tf long, square double")
+    )
+    raw = F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
+    rare = settle(parted.filter(F.col("term").isNotNull()).drop("square").join(counts, "term"))
+    squares = parted.filter(F.col("term").isNull()).select("uid", "square").unionAll(rare.select("uid", raw * raw))
+    norms = settle(squares.groupBy("uid").agg(F.sqrt(F.sum("square")).alias("norm")))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, flat, tf, at, own, raw = looked_up(batch)
+            weight = raw / batch["norm"].to_numpy()[owner]
+            hits = np.flatnonzero(at >= 0)
+            for i in range(0, len(hits), OUT_ROWS):
+                hit = hits[i : i + OUT_ROWS]
+                rows = [batch[doc].take(pa.array(owner[hit])), flat.take(pa.array(hit)), *(pa.array(x[hit]) for x in (tf, own, weight))]
+                yield pa.RecordBatch.from_arrays(rows, [doc, "term", "tf", "df", "weight"])
+
+    schema = f"`{doc}` {kind}, term string, tf long, df long, weight double"
+    near = docs.join(norms, "uid").select(doc, "terms", "tf", "norm").mapInArrow(weigh, schema)
+    far = rare.join(norms, "uid").select(doc, "term", "tf", "df", (raw / F.col("norm")).alias("weight"))
+    return near.unionAll(far)
+
+
 def source_counts(df: DataFrame, source: str = "source") -> DataFrame:
     return (
         df.groupBy(source)

@@ -178,3 +178,31 @@ def test_features_of_documents_partitioned_by_id(spark):
     for r in got:
         assert r.raw.indices.tolist() == want[r.doc_id].indices.tolist()
         assert r.raw.values.tolist() == pytest.approx(want[r.doc_id].values.tolist())
+
+
+def test_tfidf_of_texts_exchanges_no_row_per_common_word(spark, monkeypatch):
+    rows = [(1, "aa bb aa"), (1, "bb cc Über über"), (2, "aa bb"), (None, "aa bb x"), (None, "bb aa"), (3, None),
+            (4, "x"), (5, ""), (6, "zz zz zz yy"), (7, " ".join(f"w{i}" for i in range(3000)) + " aa" * 999)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole = df.filter(F.col("text").isNotNull())
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.term)
+    want = sorted(text.tfidf(text.term_counts(text.ngrams(whole, 1, 1)), whole).collect(), key=key)
+    for size in (1 << 18, 3, 0):
+        monkeypatch.setattr(text, "COMMON_TERMS", size)
+        out = text.text_tfidf(df)
+        got = sorted(out.collect(), key=key)
+        assert [r[:4] for r in got] == [r[:4] for r in want]
+        assert [r.weight for r in got] == pytest.approx([r.weight for r in want], rel=1e-12)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.text_tfidf(df.filter("doc_id > 99")).collect() == []
+
+
+def test_tfidf_queries_cut_texts_without_a_row_per_word(spark, data, monkeypatch):
+    from candlewick.plans import catalog
+
+    def refuse(*_):
+        raise AssertionError("a row per word is exchanged")
+
+    monkeypatch.setattr(text, "term_counts", refuse)
+    for name in ("tfidf",):
+        assert catalog.queries()[name](spark, data).count() > 0
