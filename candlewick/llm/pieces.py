@@ -43,13 +43,13 @@ def code_points(words: list[str]) -> np.ndarray:
     return flat.reshape(len(words), -1)
 
 
-def batches_of(words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
+def batches_of(words: list[str], cells: int = CELLS) -> Iterator[tuple[list[int], np.ndarray]]:
     """(positions, code points) of words of equal length, within a bound on cells."""
     by_length: dict[int, list[int]] = defaultdict(list)
     for i, word in enumerate(words):
         by_length[len(word)].append(i)
     for length, rows in sorted(by_length.items()):
-        step = max(1, CELLS // length)
+        step = max(1, cells // length)
         for at in range(0, len(rows), step):
             part = rows[at : at + step]
             yield part, code_points([words[i] for i in part])

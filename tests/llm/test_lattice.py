@@ -3,6 +3,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,5 +94,27 @@ def test_training_raises_the_likelihood(docs, prose, spark):
     assert totals[0] < totals[1] < totals[2]
 
 
+def test_plain_and_log_space_agree(model, monkeypatch, prose):
+    """Long words, words that underflow a double and characters without a piece included."""
+    words = [*dict.fromkeys(prose(3, 400).split()), *WORDS, "a" * 63, "a" * 64, "ab" * 90, "🙂" * 50, "🙂" * 63]
+    counts = np.arange(len(words)) % 7 + 1.0
+    near = model.score(words), model.expect(words, counts)
+    assert np.isfinite(near[0]).all() and near[0].min() / math.log(10) < -308
+    monkeypatch.setattr(lattice, "LONGEST", 0)
+    far = model.score(words), model.expect(words, counts)
+    assert near[0] == pytest.approx(far[0], rel=1e-12)
+    assert near[1] == pytest.approx(far[1], rel=1e-9, abs=1e-12)
+
+
+def test_small_batches_are_worked_out_together(monkeypatch):
+    batches = [pa.RecordBatch.from_pydict({"word": [f"w{i}", "x"]}) for i in range(10)] + [pa.RecordBatch.from_pydict({"word": pa.array([], pa.string())})]
+    assert [t.num_rows for t in lattice.gathered(iter(batches))] == [20]
+    monkeypatch.setattr(lattice, "AT_ONCE", 7)
+    tables = list(lattice.gathered(iter(batches)))
+    assert [t.num_rows for t in tables] == [8, 8, 4]
+    assert [w for t in tables for w in t["word"].to_pylist()] == [w for b in batches for w in b["word"].to_pylist()]
+    assert list(lattice.gathered(iter([]))) == []
+
+
 def test_no_rows(docs):
     assert lattice.score(docs([]), F.lit(True), PATH).collect() == []
