@@ -206,3 +206,74 @@ def test_tfidf_queries_cut_texts_without_a_row_per_word(spark, data, monkeypatch
     monkeypatch.setattr(text, "term_counts", refuse)
     for name in ("tfidf", "tfidf_top"):
         assert catalog.queries()[name](spark, data).count() > 0
+
+
+def test_features_exchange_no_row_per_word(spark, monkeypatch):
+    from candlewick.operators import packed
+
+    rows = [(1, "aa bb aa", 0.1), (1, "cc aa Über", 0.2), (2, "aa bb", 0.3), (None, "aa cc", 0.4), (3, None, 0.5),
+            (4, "", 0.6), (5, " ".join(f"w{i}" for i in range(300)) + " aa bb", 0.7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, share double")
+
+    def refuse(*_):
+        raise AssertionError("a row per word is exchanged")
+
+    monkeypatch.setattr(models, "ngrams", refuse, raising=False)
+    monkeypatch.setattr(packed, "candidates", refuse)
+    words, total = {}, {}
+    for doc, body, _ in rows:
+        cut = (body or "").lower().split()
+        for terms, into in ((cut, words.setdefault(doc, {})), ([" ".join(x) for x in zip(cut, cut[1:])], words[doc])):
+            for t in terms:
+                into[t] = into.get(t, 0) + 1
+                total[t] = total.get(t, 0) + 1
+    for size, common in ((7, 1 << 18), (7, 2), (3, 0), (2000, 5)):
+        monkeypatch.setattr(packed, "COMMON_TERMS", common)
+        index = sorted(sorted(total, key=lambda t: (-total[t], t))[:size])
+        df_of = lambda t: sum(t in w for w in words.values())
+        raw = {d: {t: n if " " in t else n * (math.log(8 / (1 + df_of(t))) + 1) for t, n in w.items()} for d, w in words.items()}
+        got = models.text_features(df, "text", ["share"], size, keep=["doc_id", "share"]).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            w = raw[r.doc_id] if r.doc_id is not None else {}
+            norm = math.sqrt(sum(v * v for t, v in w.items() if " " not in t))
+            want = {i: w[t] if " " in t else w[t] / norm for i, t in enumerate(index) if t in w}
+            assert r.raw.indices.tolist() == [*sorted(want), len(index)]
+            assert r.raw.values.tolist() == pytest.approx([*(want[i] for i in sorted(want)), r.share])
+
+
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_classifier_reaches_the_optimum_in_passes_over_blocks(spark, monkeypatch, levels):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from candlewick.operators import logistic
+
+    rng = np.random.default_rng(levels)
+    x = rng.random((300, 6)) * (rng.random((300, 6)) < 0.5)
+    x[:, 4], x[:, 5] = 0.1, 0.0  # a constant and an empty feature
+    names = ["a", "b", "c"][:levels]
+    label = [names[int(i)] for i in np.minimum(x[:, 0] * 2 + x[:, 1] + rng.random(300), levels - 1)]
+    vectors = [Vectors.dense(r) if i % 7 == 0 else Vectors.sparse(6, [(int(j), float(r[j])) for j in np.flatnonzero(r)]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(list(zip(range(300), label, vectors)), ["doc_id", "label_name", "raw"])
+    found = []
+    fit = logistic.fit
+    monkeypatch.setattr(logistic, "fit", lambda *a: found.append(fit(*a)) or found[-1])
+    monkeypatch.setattr(logistic, "BLOCK", 40)
+    out = {r.doc_id: r for r in models.sentiment_classifier(df, "label_name", tol=1e-12).collect()}
+    assert len(out) == 300
+    weights = found[0][:, :-1], found[0][:, -1]
+    train = np.array([out[i].part == "train" for i in range(300)])
+    size = weights[0].shape[1]
+    z = x[:, :size] @ weights[0].T + weights[1]
+    assert [out[i].predicted_sentiment for i in range(300)] == [names[k] for k in z.argmax(axis=1)]
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    residual = (p - (np.array(label)[:, None] == np.array(names)))[train]
+    spread = x[train, :size].std(axis=0, ddof=1)
+    spread[:4][spread[:4] == 0] = 1
+    assert (weights[0][:, 4:] == 0).all()
+    # At the optimum of the scaled features: sum of residuals times features + weights = 0.
+    scaled = x[train, :4] / spread[:4]
+    assert np.abs(residual.T @ scaled + weights[0][:, :4] * spread[:4]).max() < 1e-3
+    assert np.abs(residual.sum(axis=0)).max() < 1e-3
